@@ -1,6 +1,6 @@
 """All registered queries, by subject."""
 
-from veritable.catalog import metrics  # noqa: F401
+from veritable.catalog import metrics, sampling  # noqa: F401
 from veritable.catalog.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
