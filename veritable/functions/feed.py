@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritable.functions.hashing import as_column
@@ -31,97 +33,107 @@ def _first(*candidates: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in candidates])
 
 
-def _record(post: Column, qualities: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
-    """Flat struct of one parsed post; `video_url` is null when no way to it worked."""
-
-    def f(name: str) -> Column:
-        return post[name]
+def _media_columns(df: DataFrame, qualities: Sequence[str], hosts: Sequence[str]) -> DataFrame:
+    """Ways to the media of the parsed post `_post`: `_best`, `_direct`, `_one`, `_entry`.
 
-    listed = F.array(*[F.lit(q) for q in qualities])
+    They are columns of their own, so that each is worked out once per row and not once per use.
+    """
+    post = F.col("_post")
     encoded = F.transform(
-        listed,
+        F.array(*[F.lit(q) for q in qualities]),
         lambda q: F.struct(
             q.alias("quality"),
-            _first(f("encodings")[q]["path"], f("encodings")[q]["url"]).alias("url"),
-            F.coalesce(f("encodings")[q]["width"], f("width"), F.lit(0)).alias("width"),
-            F.coalesce(f("encodings")[q]["height"], f("height"), F.lit(0)).alias("height"),
-            F.coalesce(f("encodings")[q]["duration_secs"], F.lit(0.0)).alias("duration"),
+            _first(post["encodings"][q]["path"], post["encodings"][q]["url"]).alias("url"),
+            post["encodings"][q]["width"].alias("width"),
+            post["encodings"][q]["height"].alias("height"),
+            post["encodings"][q]["duration_secs"].alias("duration"),
         ),
     )
-    best = F.get(F.filter(encoded, lambda e: e["url"].isNotNull()), F.lit(0))
-
-    direct = _first(f("url"), f("video_url"), f("videoUrl"))
+    direct = _first(post["url"], post["video_url"], post["videoUrl"])
     usable = direct.endswith(".mp4")
     for host in hosts:
         usable = usable | direct.contains(host)
-    direct = F.when(usable, direct)
-
-    media_text = _first(f("media"), f("video"))
-    one = F.from_json(F.when(media_text.startswith("{"), media_text), _MEDIA)
-    many = F.from_json(F.when(media_text.startswith("["), media_text), f"array<struct<{_MEDIA}>>")
+    media = _first(post["media"], post["video"])
+    many = F.from_json(F.when(media.startswith("["), media), f"array<struct<{_MEDIA}>>")
     # In a list the first entry that is a video is taken; one without a type counts as video.
-    listed_media = F.get(
-        F.filter(many, lambda m: F.coalesce(m["type"], F.lit("video")) == "video"), F.lit(0)
+    is_video = lambda m: F.coalesce(m["type"], F.lit("video")) == "video"
+    return df.withColumns(
+        {
+            "_best": F.get(F.filter(encoded, lambda e: e["url"].isNotNull()), F.lit(0)),
+            "_direct": F.when(usable, direct),
+            "_one": F.from_json(F.when(media.startswith("{"), media), _MEDIA),
+            "_entry": F.get(F.filter(many, is_video), F.lit(0)),
+        }
+    ).withColumn(
+        "_nested",
+        F.coalesce(
+            _first(F.col("_one.url"), F.col("_one.path"), F.col("_one.source")),
+            _first(F.col("_entry.url"), F.col("_entry.path")),
+        ),
     )
-    nested = F.coalesce(_first(one["url"], one["path"], one["source"]), _first(listed_media["url"], listed_media["path"]))
 
-    def size(name: str) -> Column:
-        return F.when(best.isNotNull(), best[name]).otherwise(
-            F.coalesce(
-                F.when(direct.isNull(), F.coalesce(one[name], listed_media[name])),
-                f(name),
-                F.lit(0),
+
+def _inner_post(post: Column) -> Column:
+    """The post inside a post: a single generation, or the first of a list."""
+    single = F.when(
+        post["generation"].startswith("{") & (post["generation"] != "{}"), post["generation"]
+    )
+    return F.coalesce(single, F.get(F.from_json(post["generations"], "array<string>"), F.lit(0)))
+
+
+def normalize_posts(
+    df: DataFrame,
+    text: str,
+    depth: int = 2,
+    qualities: Sequence[str] = QUALITIES,
+    hosts: Sequence[str] = VIDEO_HOSTS,
+) -> DataFrame:
+    """Nested post JSON to flat records beside the other columns; posts without media are left out.
+
+    Looks at encodings by quality, then a direct URL, then nested media, and when all of them
+    fail goes down to the post inside the post, at most `depth - 1` times.
+    """
+    kept = [c for c in df.columns if c != text]
+    out = df.withColumn("_post", F.from_json(text, _POST))
+    for level in range(depth):
+        out = _media_columns(out, qualities, hosts)
+        found = F.coalesce("_best.url", "_direct", "_nested")
+        if level < depth - 1:
+            out = out.withColumn("_inner", F.when(found.isNull(), _inner_post(F.col("_post")))).withColumn(
+                "_post", F.when(F.col("_inner").isNull(), F.col("_post")).otherwise(F.from_json("_inner", _POST))
             )
-        )
+    post = F.col("_post")
 
-    return F.struct(
-        F.coalesce(_first(f("id"), f("generation_id"), f("gen_id"), f("post_id")), F.lit("unknown")).alias("id"),
-        F.coalesce(_first(f("title"), f("text")), F.lit("")).alias("title"),
-        F.coalesce(_first(f("created_at"), f("createdAt")), F.lit("")).alias("created_at"),
-        F.coalesce(f("model"), F.lit("")).alias("model"),
+    def size(name: str) -> Column:
+        other = F.when(F.col("_direct").isNull(), F.coalesce(f"_one.{name}", f"_entry.{name}"))
+        encoded = F.col("_best").isNotNull()
+        return F.coalesce(F.when(encoded, F.col(f"_best.{name}")).otherwise(other), post[name], F.lit(0))
+
+    return out.filter(found.isNotNull()).select(
+        *kept,
+        F.coalesce(_first(post["id"], post["generation_id"], post["gen_id"], post["post_id"]), F.lit("unknown")).alias("id"),
+        F.coalesce(_first(post["title"], post["text"]), F.lit("")).alias("title"),
+        F.coalesce(_first(post["created_at"], post["createdAt"]), F.lit("")).alias("created_at"),
+        F.coalesce(post["model"], F.lit("")).alias("model"),
         F.coalesce(
-            _first(f("prompt")),
-            F.array_join(F.map_values(f("actions")), " | "),
-            f("text"),
-            F.lit(""),
+            _first(post["prompt"]), F.array_join(F.map_values(post["actions"]), " | "), post["text"], F.lit("")
         ).alias("prompt"),
         F.coalesce(
-            _first(f("user")["username"], f("user")["name"], f("author")["username"], f("author")["name"]),
+            _first(post["user"]["username"], post["user"]["name"], post["author"]["username"], post["author"]["name"]),
             F.lit("unknown"),
         ).alias("creator"),
-        F.coalesce(best["url"], direct, nested).alias("video_url"),
-        F.when(best.isNotNull(), best["quality"]).otherwise(F.lit("unknown")).alias("quality"),
+        found.alias("video_url"),
+        F.coalesce("_best.quality", F.lit("unknown")).alias("quality"),
         size("width").alias("width"),
         size("height").alias("height"),
         F.coalesce(
-            best["duration"],
-            F.when(direct.isNull(), F.coalesce(one["duration"], one["duration_secs"])),
+            "_best.duration",
+            F.when(F.col("_best").isNull() & F.col("_direct").isNull(), F.coalesce("_one.duration", "_one.duration_secs")),
             F.lit(0.0),
         ).alias("duration"),
     )
 
 
-def normalize_post(
-    text: Column | str,
-    depth: int = 2,
-    qualities: tuple[str, ...] = QUALITIES,
-    hosts: tuple[str, ...] = VIDEO_HOSTS,
-) -> Column:
-    """A nested post as a flat struct; null when no media URL is found.
-
-    Looks at encodings by quality, then a direct URL, then nested media, then down to `depth`
-    nested generations.
-    """
-    post = F.from_json(as_column(text), _POST)
-    record = _record(post, qualities, hosts)
-    found = F.when(record["video_url"].isNotNull(), record)
-    if depth <= 1:
-        return found
-    single = F.when(post["generation"].startswith("{") & (post["generation"] != "{}"), post["generation"])
-    inner = F.coalesce(single, F.get(F.from_json(post["generations"], "array<string>"), F.lit(0)))
-    return F.coalesce(found, normalize_post(inner, depth - 1, qualities, hosts))
-
-
 def unwrap_page(text: Column | str) -> Column:
     """A page as struct(posts array<string>, cursor): list under any known name or a bare list."""
     text = as_column(text)

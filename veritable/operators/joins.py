@@ -54,7 +54,8 @@ def first_per_key(
     text = F.min_by(value, order)
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
-    return df.filter((F.col(key) != "") & (F.col(value) != "")).groupBy(key).agg(text.alias(value))
+    named = (F.col(key).cast("string") != "") & (F.col(value) != "")
+    return df.filter(named).groupBy(key).agg(text.alias(value))
 
 
 def capped_list(

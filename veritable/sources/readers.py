@@ -86,13 +86,17 @@ def read_tagged_union(
 
 
 def read_record_stream(
-    spark: SparkSession, folder: str, schema: T.StructType, max_files: int = 16
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    max_files: int = 16,
+    pattern: str = "*.parquet",
 ) -> DataFrame:
     """Parquet files of a folder as a stream, a bounded number of files per micro-batch."""
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", max_files)
-        .option("pathGlobFilter", "*.parquet")
+        .option("pathGlobFilter", pattern)
         .parquet(folder)
     )
 
