@@ -73,6 +73,17 @@ def _media_columns(df: DataFrame, qualities: Sequence[str], hosts: Sequence[str]
     )
 
 
+def _hold(df: DataFrame, *names: str) -> DataFrame:
+    """Compute the columns here, once per row.
+
+    Later filters and projections would otherwise be rewritten in terms of the parse expressions,
+    each use repeating all of them. A one-element explode is not rewritten through.
+    """
+    kept = [c for c in df.columns if c not in names]
+    held = F.explode_outer(F.array(F.struct(*names))).alias("_held")
+    return df.select(*kept, held).select(*kept, *[F.col(f"_held.{n}").alias(n) for n in names])
+
+
 def _inner_post(post: Column) -> Column:
     """The post inside a post: a single generation, or the first of a list."""
     single = F.when(
@@ -94,14 +105,18 @@ def normalize_posts(
     fail goes down to the post inside the post, at most `depth - 1` times.
     """
     kept = [c for c in df.columns if c != text]
-    out = df.withColumn("_post", F.from_json(text, _POST))
+    out = _hold(df.withColumn("_post", F.from_json(text, _POST)), "_post")
+    found = F.col("_url")
     for level in range(depth):
-        out = _media_columns(out, qualities, hosts)
-        found = F.coalesce("_best.url", "_direct", "_nested")
+        out = _media_columns(out, qualities, hosts).withColumn(
+            "_url", F.coalesce("_best.url", "_direct", "_nested")
+        )
+        out = _hold(out, "_best", "_direct", "_one", "_entry", "_nested", "_url")
         if level < depth - 1:
-            out = out.withColumn("_inner", F.when(found.isNull(), _inner_post(F.col("_post")))).withColumn(
-                "_post", F.when(F.col("_inner").isNull(), F.col("_post")).otherwise(F.from_json("_inner", _POST))
-            )
+            inner = F.when(found.isNull(), _inner_post(F.col("_post")))
+            out = _hold(out.withColumn("_inner", inner), "_inner")
+            deeper = F.when(F.col("_inner").isNull(), F.col("_post")).otherwise(F.from_json("_inner", _POST))
+            out = _hold(out.withColumn("_post", deeper), "_post")
     post = F.col("_post")
 
     def size(name: str) -> Column:
