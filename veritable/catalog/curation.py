@@ -415,7 +415,8 @@ def run_outcomes(spark, d):
         .when(k < 50, "no such file or directory: a.csv").when(k < 70, "Time Embedding mismatch")
         .otherwise("division by zero")
     )
-    coded = table(spark, d, "events").select("event_id", fault_code(text).alias("code"))
+    messages = table(spark, d, "events").select("event_id", text.alias("message"))
+    coded = messages.select("event_id", fault_code("message").alias("code"))
     return coded.withColumn("_s", run_status("code")).select("event_id", "code", "_s.reason", "_s.status")
 
 

@@ -185,18 +185,20 @@ WITH t AS (SELECT doc_id, n_chars % 3 AS k, regexp_replace(text, '[^a-zA-Z ]', '
 SELECT doc_id, trim(body, ' ') AS prompt,
        coalesce(nullif(rtrim(left(trim(replace(body, 'e', '_'), ' .'), 80), ' .'), ''), 'untitled') AS filename FROM t""")
 def extract_text(spark, d):
-    docs = table(spark, d, "documents")
-    body = F.regexp_replace("text", "[^a-zA-Z ]", "")
-    k = F.col("n_chars") % 3
+    docs = table(spark, d, "documents").withColumn("body", F.regexp_replace("text", "[^a-zA-Z ]", ""))
+    body, k = F.col("body"), F.col("n_chars") % 3
     reply = (
         F.when(k == 0, F.concat(F.lit('{"prompt": " '), body, F.lit(' "}')))
         .when(k == 1, F.concat(F.lit('Sure: {"prompt" : "'), body, F.lit('", "n": 1} done')))
         .otherwise(F.concat(F.lit("\n"), body, F.lit("\t")))
     )
-    return docs.select(
+    replies = docs.select(
         "doc_id",
-        text.extract_prompt(F.when(F.trim(body) == "", body).otherwise(reply)).alias("prompt"),
-        text.safe_filename(F.translate(body, "e", ":")).alias("filename"),
+        F.when(F.trim(body) == "", body).otherwise(reply).alias("reply"),
+        F.translate(body, "e", ":").alias("title"),
+    )
+    return replies.select(
+        "doc_id", text.extract_prompt("reply").alias("prompt"), text.safe_filename("title").alias("filename")
     )
 
 

@@ -150,21 +150,26 @@ def normalize_posts(
 
 
 def unwrap_page(text: Column | str) -> Column:
-    """A page as struct(posts array<string>, cursor): list under any known name or a bare list."""
-    text = as_column(text)
+    """A page as struct(posts array<string>, cursor): list under any known name or a bare list.
 
-    def at(path: str) -> Column:
-        return F.get_json_object(text, path)
+    The page is parsed once; lists arrive as text and only the one that counts is split up.
+    """
+    text = as_column(text)
+    nested = ", ".join(f"{k} string" for k in NESTED_CURSOR_KEYS)
+    names = dict.fromkeys([*POST_LIST_KEYS, *CURSOR_KEYS, "has_more", "hasMore"])
+    schema = ", ".join(f"{k} string" for k in names) + f", pagination struct<{nested.replace(' string', ': string')}>"
+    page = F.from_json(F.when(~F.ltrim(text).startswith("["), text), schema)
+
+    def split_up(p: Column) -> Column:
+        lists = [F.when(p[k].startswith("["), p[k]) for k in POST_LIST_KEYS]
+        bare = F.when(F.ltrim(text).startswith("["), text)
+        cursor = _first(*[p[k] for k in CURSOR_KEYS], *[p["pagination"][k] for k in NESTED_CURSOR_KEYS])
+        more = F.coalesce(p["has_more"], p["hasMore"], F.lit("true"))
+        posts = F.from_json(F.coalesce(*lists, bare), "array<string>")
+        return F.struct(
+            F.coalesce(posts, F.array().cast("array<string>")).alias("posts"),
+            F.when(~more.isin("false", "0", "null", ""), cursor).alias("cursor"),
+        )
 
-    lists = [F.when(at(f"$.{k}").startswith("["), at(f"$.{k}")) for k in POST_LIST_KEYS]
-    bare = F.when(F.ltrim(text).startswith("["), text)
-    posts = F.from_json(F.coalesce(*lists, bare), "array<string>")
-    cursor = _first(
-        *[at(f"$.{k}") for k in CURSOR_KEYS],
-        *[at(f"$.pagination.{k}") for k in NESTED_CURSOR_KEYS],
-    )
-    more = F.coalesce(at("$.has_more"), at("$.hasMore"), F.lit("true"))
-    return F.struct(
-        F.coalesce(posts, F.array().cast("array<string>")).alias("posts"),
-        F.when(~more.isin("false", "0", "null", ""), cursor).alias("cursor"),
-    )
+    # The lambda argument stands for the parsed page, so the page is not parsed per use.
+    return F.get(F.transform(F.array(page), split_up), F.lit(0))

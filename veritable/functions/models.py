@@ -55,19 +55,19 @@ def task_tiers(quota: Column | str, smallest: int = 2) -> Column:
 
 def run_status(code: Column | str) -> Column:
     """struct(reason, status) of an exit code."""
-    code = as_column(code)
 
-    def chain(i: int) -> Column:
-        out = None
-        for value, pair in EXIT_CODES.items():
-            out = F.when(code == value, pair[i]) if out is None else out.when(code == value, pair[i])
-        return out.otherwise(OTHER_EXIT[i])
+    def pair(reason: str, status: str) -> Column:
+        return F.struct(F.lit(reason).alias("reason"), F.lit(status).alias("status"))
 
-    return F.struct(chain(0).alias("reason"), chain(1).alias("status"))
+    known = F.create_map(*[x for c, p in EXIT_CODES.items() for x in (F.lit(c), pair(*p))])
+    return F.coalesce(F.try_element_at(known, as_column(code).cast("int")), pair(*OTHER_EXIT))
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return found
 
 
 def fault_code(message: Column | str, io_error: Column | None = None) -> Column:

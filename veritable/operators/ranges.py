@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.hashing import as_column, uniform
+from veritable.functions.hashing import as_column
+from veritable.session import settle
 
 SAMPLES_PER_RANGE = 32
 MAX_RANGES = 4096
@@ -41,14 +42,14 @@ def quantile_bounds(df: DataFrame, value: Column | str, ranges: int) -> Column:
 def sampled_bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
     """Split points of a composite key from a hash sample of about 32 keys per range."""
     wanted = ranges * SAMPLES_PER_RANGE
-    keys = df.select(F.struct(*order).alias("k"))
+    keys = df.select(F.struct(*order).alias("k"), (F.xxhash64(*order) / F.lit(2.0**64) + 0.5).alias("u"))
     total = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
-    chosen = keys.filter(uniform("split", F.to_json("k")) * total < F.lit(float(wanted)))
+    chosen = keys.filter(F.col("u") * total < F.lit(float(wanted)))
     ordered = chosen.agg(F.array_sort(F.collect_list("k")).alias("s"))
     step = F.greatest(F.lit(1), F.floor(F.size("s") / F.lit(ranges)).cast("int"))
-    return ordered.select(
-        F.filter("s", lambda _, i: (i % step == 0) & (i > 0)).alias("b")
-    ).scalar()
+    bounds = ordered.select(F.filter("s", lambda _, i: (i % step == 0) & (i > 0)).alias("b"))
+    # Written once: branches of a plan share the one row instead of drawing the sample again.
+    return settle(bounds, "bounds").scalar()
 
 
 def range_number(value: Column, bounds: Column, ranges: int) -> Column:

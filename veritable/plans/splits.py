@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,6 @@ from veritable.operators.sampling import (
     three_way_holdout,
     trim_largest,
 )
-from veritable.session import settle
 
 
 @dataclass(frozen=True)
@@ -31,7 +30,6 @@ class SplitPlan:
     seed: int = 42
     key: str = "file_name"
     report_rows: int = 20
-    tables: dict = field(default_factory=dict)
 
 
 def build_splits(
@@ -47,9 +45,7 @@ def build_splits(
     pool = tagged.filter(F.col("bucket") == "pool").drop("match", "bucket")
     dropped = dropped_report(tagged.filter(F.col("bucket") == "dropped"), plan.report_rows)
 
-    split = settle(
-        holdout_per_group(pool, plan.key, plan.min_pool, plan.per_group, plan.seed), "holdout"
-    )
+    split = holdout_per_group(pool, plan.key, plan.min_pool, plan.per_group, plan.seed)
     train = balance_by_source(
         split.filter(F.col("split") == "train").drop("split"), plan.balance_source, plan.key, plan.seed
     )
