@@ -236,4 +236,7 @@ def metric_leader(results: DataFrame, metric: str) -> DataFrame:
 
 def overall_auc(manifests: DataFrame) -> DataFrame:
     """AUC of a run under any of the three names manifests use."""
-    return manifests.withColumn("auc", F.coalesce("roc_auc", "roc_AUC", "auc_roc"))
+    names = ("roc_auc", "roc_AUC", "auc_roc")
+    return manifests.withColumn(
+        "auc", F.coalesce(*[F.get_json_object("body", f"$.{n}") for n in names]).cast("double")
+    )

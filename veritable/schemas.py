@@ -46,8 +46,3 @@ METRICS = T.StructType(
     + [T.StructField(n, T.DoubleType()) for n in ("accuracy", "tpr", "tnr", "f1", "roc_auc")]
 )
 REGISTRY_ENTRY = T.StructType(_strings("status", "reason", "date"))
-MANIFEST = T.StructType(
-    _strings("test_csv")
-    + [T.StructField("rows", T.LongType())]
-    + [T.StructField(n, T.DoubleType()) for n in ("roc_auc", "roc_AUC", "auc_roc")]
-)
