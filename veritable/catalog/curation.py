@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veritable.catalog.base import DOCUMENTS, query, sample_documents, table
-from veritable.functions.media import archive_shard, parse_staged_name, resize_target, url_kind as url_kind_of
+from veritable.functions.media import (
+    archive_shard,
+    parse_staged_name,
+    resize_target as resize_target_of,
+    url_kind as url_kind_of,
+)
 from veritable.functions.models import classify_model, fault_code, run_status, task_tiers
 from veritable.functions.naming import release_month
 from veritable.operators import canonical, filters, joins, reports, sampling, sets
@@ -291,6 +296,16 @@ def moderate(spark, d):
     return filters.moderate(vectors, "scores", "nsfw", F.lit(0.1).cast("float"))[0].select("vec_id", "label")
 
 
+@query("""
+SELECT * FROM (SELECT p_partkey, p_size * 60 AS w, CAST(floor(p_retailprice) AS INTEGER) AS h FROM part) AS s
+WHERE least(w, h) >= 640""")
+def min_dimensions(spark, d):
+    sizes = table(spark, d, "part").select(
+        "p_partkey", (F.col("p_size") * 60).alias("w"), F.floor("p_retailprice").cast("int").alias("h")
+    )
+    return filters.min_dimensions(sizes, "w", "h", 640)
+
+
 @query("""
 WITH s AS (SELECT p_partkey, p_size * 60 AS w, CAST(floor(p_retailprice) AS INTEGER) AS h FROM part),
      k AS (SELECT * FROM s WHERE least(w, h) >= 640)
@@ -298,12 +313,9 @@ SELECT p_partkey, w, h,
        CAST(CASE WHEN greatest(w, h) <= 1024 THEN w ELSE greatest(1, floor(w * (1024 / CAST(greatest(w, h) AS DOUBLE)))) END AS INTEGER) AS width,
        CAST(CASE WHEN greatest(w, h) <= 1024 THEN h ELSE greatest(1, floor(h * (1024 / CAST(greatest(w, h) AS DOUBLE)))) END AS INTEGER) AS height
 FROM k""")
-def resize_target_dims(spark, d):
-    sizes = table(spark, d, "part").select(
-        "p_partkey", (F.col("p_size") * 60).alias("w"), F.floor("p_retailprice").cast("int").alias("h")
-    )
-    kept = filters.min_dimensions(sizes, "w", "h", 640)
-    return kept.withColumn("_t", resize_target("w", "h", 1024)).select("p_partkey", "w", "h", "_t.width", "_t.height")
+def resize_target(spark, d):
+    kept = min_dimensions(spark, d)
+    return kept.withColumn("_t", resize_target_of("w", "h", 1024)).select("p_partkey", "w", "h", "_t.width", "_t.height")
 
 
 @query("""

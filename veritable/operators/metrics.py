@@ -27,7 +27,7 @@ def score_totals(
     table without keys is ever ordered in one task, and ties count one half exactly.
     """
     keys = list(keys)
-    ranges = range_count(preds)
+    ranges = range_count(preds, most=1024)
     counts = preds.groupBy(*keys, score).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
     )

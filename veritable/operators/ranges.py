@@ -18,11 +18,11 @@ SAMPLES_PER_RANGE = 32
 MAX_RANGES = 4096
 
 
-def range_count(df: DataFrame) -> int:
-    """A power of two near the session's shuffle width."""
+def range_count(df: DataFrame, most: int = MAX_RANGES) -> int:
+    """A power of two near the session's shuffle width, at most `most`."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     count = 8
-    while count < width and count < MAX_RANGES:
+    while count < width and count < most:
         count *= 2
     return count
 
@@ -30,12 +30,13 @@ def range_count(df: DataFrame) -> int:
 def quantile_bounds(df: DataFrame, value: Column | str, ranges: int) -> Column:
     """Split points of one numeric column, as a scalar subquery (one pass, no shuffle of rows).
 
-    The approximate quantiles may differ a little between runs: use them only where a plan
-    needs the ranges once.
+    The sketches of all partitions meet in one task, so they are kept as small as the number of
+    ranges allows. Approximate quantiles may differ a little between runs: use them only where a
+    plan needs the ranges once.
     """
     fractions = [i / ranges for i in range(1, ranges)]
     return df.agg(
-        F.percentile_approx(as_column(value), fractions, F.lit(max(10000, 8 * ranges))).alias("b")
+        F.percentile_approx(as_column(value), fractions, F.lit(4 * ranges)).alias("b")
     ).scalar()
 
 
@@ -45,7 +46,8 @@ def sampled_bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
     keys = df.select(F.struct(*order).alias("k"), (F.xxhash64(*order) / F.lit(2.0**64) + 0.5).alias("u"))
     total = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
     chosen = keys.filter(F.col("u") * total < F.lit(float(wanted)))
-    ordered = chosen.agg(F.array_sort(F.collect_list("k")).alias("s"))
+    # A set, so that an order with many equal keys cannot fill the sample.
+    ordered = chosen.agg(F.array_sort(F.collect_set("k")).alias("s"))
     step = F.greatest(F.lit(1), F.floor(F.size("s") / F.lit(ranges)).cast("int"))
     bounds = ordered.select(F.filter("s", lambda _, i: (i % step == 0) & (i > 0)).alias("b"))
     # Written once: branches of a plan share the one row instead of drawing the sample again.

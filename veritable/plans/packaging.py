@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from veritable.operators.filters import keep_existing, moderate
 from veritable.sources.readers import embed_payload
-from veritable.sources.writers import mark_packaged, only_new, write_shards
+from veritable.sources.writers import assign_shards, mark_packaged, only_new, write_assigned
 
 
 def package(
@@ -27,12 +28,13 @@ def package(
     """
     fresh = only_new(meta).join(scores, key, "left")
     passed, quarantine = moderate(fresh, "scores", label, threshold)
-    present, _ = keep_existing(passed.drop("scores"), media.withColumnRenamed("name", key), key)
-    embedded, missing = embed_payload(passed.drop("scores"), media, key)
-    shards = write_shards(
-        embedded.select("image.path", "image", *[c for c in embedded.columns if c != "image"]),
-        folder, "path", rows_per_shard, seed,
-    )
+    # Shards are dealt among the narrow rows that have a file, before any payload is touched, so
+    # payloads move twice at most: to their row and to their shard.
+    listing = media.select(F.col("name").alias(key))
+    present, missing = keep_existing(passed.drop("scores"), listing, key)
+    dealt = assign_shards(present, key, rows_per_shard, seed)
+    embedded, _ = embed_payload(dealt, media, key)
+    shards = write_assigned(embedded.withColumn("path", F.col("image.path")), folder, "path", seed)
     return {
         "shards": shards,
         "quarantine": quarantine,

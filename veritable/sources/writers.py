@@ -67,16 +67,19 @@ def assign_shards(df: DataFrame, key: str, rows_per_shard: int, seed: int) -> Da
 def write_shards(df: DataFrame, folder: str, key: str, rows_per_shard: int, seed: int) -> DataFrame:
     """Write each shard as one Parquet file in `shard=<i>`; shards already there are skipped.
 
-    Returns the shard sizes written. The shard of a row depends on seed and keys only, so a
-    restarted run makes the same shards and completes the missing ones. `repartition` by the
-    shard puts a shard into one task; it holds `rows_per_shard` rows by construction.
+    Returns the shard sizes. The shard of a row depends on seed and keys only, so a restarted run
+    makes the same shards and completes the missing ones.
     """
+    return write_assigned(assign_shards(df, key, rows_per_shard, seed), folder, key, seed)
+
+
+def write_assigned(df: DataFrame, folder: str, key: str, seed: int) -> DataFrame:
+    """Write rows that carry their `shard`. A shard goes into one task whole; it holds a fixed
+    number of rows by construction."""
     spark = df.sparkSession
-    todo = assign_shards(df, key, rows_per_shard, seed).join(
-        existing_shards(spark, folder), "shard", "left_anti"
-    )
     (
-        todo.repartition("shard")
+        df.join(existing_shards(spark, folder), "shard", "left_anti")
+        .repartition("shard")
         .sortWithinPartitions("shard", order_hash(seed, key))
         .write.mode("append")
         .partitionBy("shard")
