@@ -23,8 +23,8 @@ def order_hash(seed: int | str | Column, key: Column | str) -> Column:
 
 
 def hash_prefix(h: Column, digits: int) -> Column:
-    """The leading hex digits as an integer: evenly filled buckets in hash order."""
-    return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
+    """The leading hex digits: evenly filled buckets that sort as the hash does."""
+    return F.substring(h, 1, digits)
 
 
 def uniform(seed: int | str | Column, key: Column | str) -> Column:

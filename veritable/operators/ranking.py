@@ -20,7 +20,18 @@ from veritable.functions.hashing import as_column, hash_prefix, order_hash
 from veritable.operators.ranges import with_range
 from veritable.session import settle
 
-BUCKET_DIGITS = 4  # 65,536 hash buckets per group
+
+def bucket_digits(df: DataFrame) -> int:
+    """Hex digits that give every group at least as many buckets as the session has reducers.
+
+    A group that holds most of a table is then dealt over the whole cluster, while the table of
+    bucket totals stays small beside the rows when there are many groups.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    digits = 2
+    while 16**digits < width:
+        digits += 1
+    return digits
 
 
 def group_key(groups: Sequence[str]) -> Column:
@@ -63,7 +74,7 @@ def hash_rank(
             "_g": group_key(groups),
             "_h": order_hash(seed, key),
         }
-    ).withColumn("_bucket", hash_prefix(F.col("_h"), BUCKET_DIGITS))
+    ).withColumn("_bucket", hash_prefix(F.col("_h"), bucket_digits(df)))
     return _ranked(hashed, ["_g"], "_bucket", [F.col("_h"), F.col(key)], name).drop("_g", "_h")
 
 
@@ -163,7 +174,8 @@ def mark_first(
     h = order_hash(seed, key)
     keyed = df.withColumns(
         {
-            "_bucket": hash_prefix(h, BUCKET_DIGITS),
+            # One digit finer than for ranks: a single bucket per group is ranked in one task.
+            "_bucket": hash_prefix(h, bucket_digits(df) + 1),
             "_o": F.struct(h.alias("h"), as_column(key).alias("k")),
         }
     )
