@@ -147,8 +147,19 @@ def by_bytes(rows: Iterator, size, most: int) -> Iterator[list]:
     if group:
         yield group
 
+class Words:
+    """Words of several UTF-8 texts at once: hashes, places in the joined bytes, first word of each text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+        self.starts, self.ends = word_bounds(self.data)
+        self.text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.starts, self.text_starts)  # first[i] .. first[i + 1]: words of text i
+        # Bytes count from 1, so that a leading zero byte is not nothing.
+        self.hashes = Rolling(self.data.astype(np.uint64) + np.uint64(1))(self.starts, self.ends)
+
 
 __all__ = [
     "WORD", "prepare", "words", "text_key", "remove", "write", "settle", "held_out_fold", "mix", "powers",
-    "Rolling", "word_bounds", "leftmost_minima", "by_bytes",
+    "Rolling", "Words", "word_bounds", "leftmost_minima", "by_bytes",
 ]

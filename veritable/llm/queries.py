@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritable.llm import bpe, chat, fingerprint, langid, mixing, spherical_caps, toxicity
+from veritable.llm import bpe, chat, fingerprint, langid, minhash, mixing, spherical_caps, toxicity
 from veritable.llm.common import held_out_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,37 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    rf"""
+WITH RECURSIVE listed AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM listed),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM places),
+sizes AS (
+    SELECT l.doc_id AS id, count(s) AS n FROM listed l LEFT JOIN shingles x ON x.doc_id = l.doc_id GROUP BY l.doc_id
+),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b
+    WHERE 100 * both >= 80 * (p.n + q.n - both)
+),
+nodes AS (SELECT id FROM sizes),
+{COMPONENT_SQL}
+SELECT sizes.id AS doc_id, n AS n_shingles, component_id, sizes.id = component_id AS kept
+FROM sizes JOIN least ON least.id = sizes.id"""
+)
+def op5_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = minhash.group(table(spark, folder, "documents"), width=4, percent=80)
+    return grouped.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query()
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
