@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from veritable.llm.common import schema
+
 VOCABULARY_BYTES = 64 << 20
 CACHE_WORDS = 250_000
 #: White space as the vocabulary's pattern means it.
@@ -159,6 +161,5 @@ def tokenize(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_c
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], ["id", "ids", "decoded"])
 
-    kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return plain.mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_column)
+    return plain.mapInArrow(run, schema(docs, [(id_column, "id")], "ids array<int>, decoded string")).withColumnRenamed("id", id_column)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritable.session import fresh_path, settle
 
@@ -52,6 +53,12 @@ def write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def schema(docs: DataFrame, kept: Sequence[tuple[str, str]], more: str) -> T.StructType:
+    """Columns of `docs` under new names, (column, name), and further ones in DDL."""
+    fields = [T.StructField(name, docs.schema[column].dataType) for column, name in kept]
+    return T.StructType([*fields, *T.StructType.fromDDL(more).fields])
+
+
 def held_out_fold(doc_id: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the id as text falls in the fold; a null id never does."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
@@ -120,19 +127,21 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` hashes the place of its smallest, the leftmost of equal ones.
 
-    Hash and place share 64 bits, so a batch holds at most 2 ** 26 places.
+    Hashes count by their upper 40 bits; the lower 24 hold the place within a piece of the input.
     """
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    low = np.uint64((1 << 26) - 1)
-    best = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        best = np.minimum(best[:-step], best[step:])
-        done += step
-    return (best & low).astype(np.int64)
+    n = max(len(hashes) - width + 1, 0)
+    found = np.empty(n, dtype=np.int64)
+    low, piece = np.uint64((1 << 24) - 1), 1 << 23
+    for start in range(0, n, piece):
+        part = hashes[start : start + piece + width - 1]
+        best = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        done = 1
+        while done < width:
+            step = min(done, width - done)
+            best = np.minimum(best[:-step], best[step:])
+            done += step
+        found[start : start + piece] = (best & low).astype(np.int64) + start
+    return found
 
 
 def by_bytes(rows: Iterator, size, most: int) -> Iterator[list]:
@@ -160,6 +169,6 @@ class Words:
 
 
 __all__ = [
-    "WORD", "prepare", "words", "text_key", "remove", "write", "settle", "held_out_fold", "mix", "powers",
+    "WORD", "prepare", "words", "text_key", "remove", "write", "settle", "schema", "held_out_fold", "mix", "powers",
     "Rolling", "Words", "word_bounds", "leftmost_minima", "by_bytes",
 ]

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritable.llm.common import schema
+
 BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
 MOST_ROWS = 20_000
@@ -151,6 +153,5 @@ def predict(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"]
             )
 
-    kind = docs.schema[id_column].dataType.simpleString()
     plain = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return plain.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_column)
+    return plain.mapInArrow(run, schema(docs, [(id_column, "id")], "lang_pred string, score double")).withColumnRenamed("id", id_column)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import Rolling, Words, by_bytes, mix, prepare, settle, text_key
+from veritable.llm.common import Rolling, Words, by_bytes, mix, prepare, schema, settle, text_key
 from veritable.llm.components import components
 
 SAMPLES, ROWS = 128, 4
@@ -99,8 +99,6 @@ def set_keys(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _sign(rows: DataFrame, width: int) -> DataFrame:
-    kind = rows.schema["id"].dataType.simpleString()
-
     def run(batches):
         for batch in batches:
             sets = list(shingle_sets(batch.column(2).to_pylist(), width))
@@ -119,7 +117,8 @@ def _sign(rows: DataFrame, width: int) -> DataFrame:
                 ["id", "text_key", "n", "one", "two", "bands", "sketch"],
             )
 
-    return rows.mapInArrow(run, f"id {kind}, text_key binary, n long, one long, two long, bands array<long>, sketch binary")
+    more = "text_key binary, n long, one long, two long, bands array<long>, sketch binary"
+    return rows.mapInArrow(run, schema(rows, [("id", "id")], more))
 
 
 def _sets_of(rows: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

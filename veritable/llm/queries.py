@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritable.llm import bpe, chat, fingerprint, langid, minhash, mixing, spherical_caps, toxicity
+from veritable.llm import (
+    bpe,
+    chat,
+    fingerprint,
+    langid,
+    minhash,
+    mixing,
+    seed_extend,
+    spherical_caps,
+    suffix_array,
+    toxicity,
+)
 from veritable.llm.common import held_out_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,12 +159,12 @@ sizes AS (
     SELECT l.doc_id AS id, count(s) AS n FROM listed l LEFT JOIN shingles x ON x.doc_id = l.doc_id GROUP BY l.doc_id
 ),
 shared AS (
-    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
     FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2
 ),
 links AS (
     SELECT a, b FROM shared JOIN sizes p ON p.id = a JOIN sizes q ON q.id = b
-    WHERE 100 * both >= 80 * (p.n + q.n - both)
+    WHERE 100 * common >= 80 * (p.n + q.n - common)
 ),
 nodes AS (SELECT id FROM sizes),
 {COMPONENT_SQL}
@@ -174,6 +185,35 @@ def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    r"""
+WITH listed AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+windows AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM listed WHERE len(w) >= 35),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i : i + 34], ' ')) AS n FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM counted WHERE n > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM listed),
+left_ AS (
+    SELECT words.doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY words.doc_id
+)
+SELECT listed.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM listed LEFT JOIN left_ ON left_.doc_id = listed.doc_id"""
+)
+def op7_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    cut = seed_extend.remove_repeats(table(spark, folder, "documents"), window=35)
+    return cut.select("doc_id", "n_words", "n_removed", digest(F.col("kept")).alias("kept_sha256"))
+
+
+@query()
+def op8_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffix_array.remove_repeats(table(spark, folder, "documents"), window=200)
+    runs = F.size("removed").cast("long").alias("n_spans")
+    return cut.select("doc_id", "n_bytes", "n_removed", runs, digest(F.col("kept")).alias("kept_sha256"))
+
+
 @query()
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"), weights=(5, 2, 1), share=1.5)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import settle, words
+from veritable.llm.common import schema, settle, words
 
 MOST_ROWS = 20_000
 MOST_CLAUSES = 4
@@ -268,18 +268,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return {"learned": learned, "weights": newton(x, y)}
 
 
-def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score) of every row, with the columns in `keep`, whose names must not be taken."""
+def score(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, score) of every row."""
     scorer = Scorer(model["learned"], model["weights"])
-    columns = [docs[id_column].alias(id_column), docs[text_column].alias("_text"), *[docs[c] for c in keep]]
-    plain = docs.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = pa.array(scorer.score(batch.column(1).to_pylist()), pa.float64())
-            others = [batch.column(i) for i in range(2, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores, *others], ["id", "score", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["id", "score"])
 
-    out = plain.drop("_text").schema
-    kind = ", ".join([f"`{id_column}` {out[0].dataType.simpleString()}", "score double", *[f"`{f.name}` {f.dataType.simpleString()}" for f in out[1:]]])
-    return plain.mapInArrow(run, kind)
+    plain = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
+    scored = plain.mapInArrow(run, schema(docs, [(id_column, "id")], "score double"))
+    return scored.withColumnRenamed("id", id_column)
