@@ -9,9 +9,9 @@ The word of the least `a`, with its t, is the sample. Two texts agree in a sampl
 sum(min(w)) / sum(max(w)), the generalised Jaccard similarity of their counts, so `likeness` (the
 share of equal samples) estimates it with a standard error of at most 0.5 / sqrt(SAMPLES).
 
-A Gamma(2, 1) variable is the sum of two exponential ones; these come from a table of quantiles, 12
-bits of the hash each. `ln a` (upper 31 bits) and 32 bits for (word, t) are packed in a long, so a
-sample is a plain `min` of longs. Counting and minima run within one row's group of columns, so a
+A Gamma(2, 1) variable is minus the logarithm of a product of two uniform ones, cut from one 64-bit
+hash. `ln a` (upper 31 bits) and 32 bits for (word, t) are packed in a long, so a sample is a plain
+`min` of longs. Counting and minima run within one row's group of columns, so a
 caller that has dealt its rows by a column in `keys` pays no further shuffle.
 
 All work is DataFrame operations.
@@ -26,7 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.llm.common import settle, words
@@ -35,44 +35,37 @@ from veritable.operators.ranges import range_number
 SAMPLES = 32
 DIGITS = 8  # hex digits of a sample
 EMPTY = "empty"
-BITS = 12
 #: Rows of a range in `with_next`.
 RANGE_ROWS = 2_000
 
 
-def _quantiles(spark: SparkSession) -> Column:
-    """Quantiles of the exponential distribution as one array, computed once."""
-    cells = 1 << BITS
-    rule = f"transform(sequence(0, {cells - 1}), i -> -ln((i + 0.5D) / {cells}))"
-    return spark.range(1).selectExpr(f"{rule} AS q").scalar()
-
-
-def _sample(k: int, quantiles: Column) -> Column:
+def _sample(k: int) -> Column:
     """ln a and the identity of (word, t), packed; from `h`, `lw`."""
     bits = F.xxhash64("h", F.lit(k))
 
-    def cell(i: int) -> Column:
-        return F.get(quantiles, F.shiftrightunsigned(bits, BITS * i).bitwiseAND((1 << BITS) - 1).cast("int"))
+    def uniform(width: int, at: int) -> Column:
+        """An odd whole number: twice the uniform variable, times 2 ** width."""
+        return F.shiftrightunsigned(bits, at).bitwiseAND((1 << width) - 1) * 2 + 1
 
-    r, c = cell(0) + cell(1), cell(2) + cell(3)
-    b = F.shiftrightunsigned(bits, 4 * BITS) / float(1 << (64 - 4 * BITS))
+    r = -F.ln(uniform(12, 0) * uniform(12, 12) / float(1 << 26))
+    c = -F.ln(uniform(14, 24) * uniform(14, 38) / float(1 << 30))
+    b = F.shiftrightunsigned(bits, 52) / 4096.0
     t = F.floor(F.col("lw") / r + b)
     level = ((F.ln(c) - r * (t - b + 1) + 96.0) * (1 << 24)).cast("long")
     # 0x9E3779B1 spreads t over the 32 bits.
-    name = F.col("h").bitwiseXOR(t.cast("long") * 0x9E3779B1).bitwiseAND(0xFFFFFFFF)
-    return F.shiftleft(F.greatest(level, F.lit(0).cast("long")), 32).bitwiseOR(name)
+    name = F.col("h").bitwiseXOR(t * 0x9E3779B1).bitwiseAND(0xFFFFFFFF)
+    return F.shiftleft(level, 32).bitwiseOR(name)
 
 
 def fingerprints(texts: DataFrame, keys: Sequence[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(keys, fingerprint) of the rows that have words; the others are left to `or_empty`."""
-    quantiles = _quantiles(texts.sparkSession)
     counts = (
         texts.select(*keys, F.explode(words(F.col(text))).alias("word"))
         .groupBy(*keys, "word")
         .agg(F.count("*").alias("n"))
         .select(*keys, F.xxhash64("word").alias("h"), F.ln(F.col("n").cast("double")).alias("lw"))
     )
-    least = counts.groupBy(*keys).agg(*[F.min(_sample(k, quantiles)).alias(f"m{k}") for k in range(samples)])
+    least = counts.groupBy(*keys).agg(*[F.min(_sample(k)).alias(f"m{k}") for k in range(samples)])
     digits = [F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseAND(0xFFFFFFFF))), DIGITS, "0") for k in range(samples)]
     return least.select(*keys, F.concat(*digits).alias("fingerprint"))
 
