@@ -150,3 +150,9 @@ def test_benchmark_table_ignores_matched_pairs(spark):
     assert got[("d2", "t1")]["best"] and got[("d3", "t1")]["best"] and got[("d1", "t2")]["best"]
     assert got[("d2", "t2")]["value"] is None and not got[("d2", "t2")]["best"]
     assert got[("d2", "t1")]["best_average"] and not got[("d1", "t1")]["best_average"]
+
+
+def test_label_of_the_first_alias_that_is_set(spark):
+    df = spark.createDataFrame([(None, "fake", "a"), (1, "real", "b"), (0, "fake", "c"), (None, "real", "d")], "label int, class string, path string")
+    got = canonical.canonicalize(df, "cfg")
+    assert values(got, "file_name", "label") == [("a", "fake"), ("b", "fake"), ("c", "real"), ("d", "real")]

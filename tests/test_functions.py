@@ -116,7 +116,7 @@ def test_posts_use_every_way_to_media(spark):
     posts = [
         '{"id":"1","encodings":{"source":{"path":""},"ld":{"url":"u1","width":7}},"height":5}',
         '{"gen_id":"2","url":"","video_url":"v.mp4"}',
-        '{"id":"3","url":"http://videos.openai.com/z","author":{"name":"n"}}',
+        '{"id":"3","url":"http://videos.test/z","author":{"name":"n"}}',
         '{"id":"4","media":[{"type":"image","url":"i"},{"path":"p4","height":3}]}',
         '{"id":"5","video":{"source":"s5","duration_secs":4.0}}',
         '{"id":"6","generation":{"id":"6b","media":{"url":"u6"}}}',
@@ -125,11 +125,11 @@ def test_posts_use_every_way_to_media(spark):
         "not json",
     ]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(posts, 1)], "n int, post string")
-    got = feed.normalize_posts(df, "post")
+    got = feed.normalize_posts(df, "post", hosts=["videos.test"])
     assert values(got, "n", "id", "video_url", "width", "height", "duration", "creator") == [
         (1, "1", "u1", 7, 5, 0.0, "unknown"),
         (2, "2", "v.mp4", 0, 0, 0.0, "unknown"),
-        (3, "3", "http://videos.openai.com/z", 0, 0, 0.0, "n"),
+        (3, "3", "http://videos.test/z", 0, 0, 0.0, "n"),
         (4, "4", "p4", 0, 3, 0.0, "unknown"),
         (5, "5", "s5", 0, 0, 4.0, "unknown"),
         (6, "6b", "u6", 0, 0, 0.0, "unknown"),
@@ -137,6 +137,25 @@ def test_posts_use_every_way_to_media(spark):
     ]
 
 
+def test_posts_nest_without_limit(spark):
+    def nested(levels):
+        body = '{"id":"in","url":"x.mp4"}'
+        for i in range(levels):
+            body = f'{{"generation":{body}}}' if i % 2 else f'{{"generations":[{body}]}}'
+        return body
+
+    df = spark.createDataFrame([(n, nested(n)) for n in range(5)] + [(9, '{"id":"q"}'), (8, "junk"), (7, None)], "n int, post string")
+    assert values(feed.normalize_posts(df, "post", hosts=()), "n", "id", "video_url") == [(n, "in", "x.mp4") for n in range(5)]
+    left = feed.posts_without_media(df, "post", "n", hosts=())
+    assert values(left, "n", "reason") == [(7, "no post"), (8, "not JSON"), (9, "no media at any level")]
+
+
+def test_prompts_in_prose(spark):
+    rows = [('Sure: {"prompt": "say \\"hi\\""} ok',), ('{"a":1} then {"prompt":"b"}',), (" plain ",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in df.select(text.extract_prompt("t")).collect()] == ['say "hi"', "b", "plain"]
+
+
 def test_pages(spark):
     pages = [
         ('{"items":[{"a":1}],"nextCursor":"c"}',), ('[{"a":1},{"b":2}]',), ('{"posts":"no","data":[1],"hasMore":false,"next":"n"}',),

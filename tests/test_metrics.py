@@ -110,12 +110,23 @@ def test_balanced_and_reports(table):
     assert math.isclose(summary[0]["overall_acc"], (5 + 16) / 30) and summary[2]["fake_acc"] is None
 
 
-def test_plan_combines_before_shuffle_and_reads_three_columns(spark, tmp_path, rows):
+def test_input_is_read_once_and_counted_first(spark, tmp_path, rows):
     path = str(tmp_path / "p")
     spark.createDataFrame(rows, SCHEMA).write.parquet(path)
-    df = metrics.metrics_by(spark.read.parquet(path))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    read = spark.read.parquet(path)
+    df = metrics.metrics_by(read.mapInPandas(count, read.schema))
+    assert df.filter(F.col("model") == "hot").count() == 1
+    df.collect()
+    assert seen.value == len(rows)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "partial_count" in plan
-    assert "ReadSchema: struct<model:string,label:int,prob_fake:double>" in plan
-    assert df.filter(F.col("model") == "hot").count() == 1
+    # All that is left to read are the counts per model and score.
+    assert "ReadSchema: struct<model:string,prob_fake:double,_pos:bigint,_neg:bigint>" in plan
+    assert "label:int" not in plan

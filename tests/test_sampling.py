@@ -209,3 +209,20 @@ def test_first_seen(spark):
     known = spark.createDataFrame([("z",), ("a",), ("c",)], "m string")
     got = ranking.first_seen_order(df, "m", "o", known).collect()
     assert [r["m"] for r in sorted(got, key=lambda r: r["position"])] == ["b", "a", "c", "z"]
+
+
+def test_group_keys_are_told_apart(spark):
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "x"), ("\x00", "x"), ("-", "x"), ("", "x")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(ranking.group_key(["a", "b"])).distinct().count() == len(rows)
+
+
+def test_held_out_names_ignore_white_space(spark):
+    df = spark.createDataFrame([("sora-2\n", "fake"), ("\tsora-2 x", "fake"), ("other", "real")], "model string, label string")
+    got = sampling.three_way_holdout(df, ["sora-2"])
+    assert values(got, "model", "bucket") == sorted([("sora-2\n", "held_test"), ("\tsora-2 x", "dropped"), ("other", "pool")], key=repr)
+
+
+def test_rows_without_a_side_are_left_out(spark):
+    df = spark.createDataFrame([(1, "m", "fake"), (2, "m", "real"), (3, "m", "maybe"), (4, "m", None)], "id int, model string, label string")
+    assert values(sampling.holdout_per_group(df, "id", 5, 1, 1), "id", "split") == [(1, "train"), (2, "train")]

@@ -71,6 +71,50 @@ def test_sweep_scores_every_variant(samples):
     assert all(r["tpr"] == 1.0 and r["roc_auc"] == 0.5 for (v, _), r in rows.items() if v == "0")
 
 
+def test_sweep_scores_once(spark, samples):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def call(batch):
+            calls.add(len(batch))
+            return batch["x"].to_numpy()
+
+        return call
+
+    scoring.sweep(samples, ["none", "0"], lambda b, v: b, make, ["x"], batch_size=9).collect()
+    assert calls.value == 200
+
+
+def test_text_errors(spark):
+    df = spark.createDataFrame([(1, "red"), (2, "blue")], "i int, c string")
+
+    def make():
+        def call(messages):
+            if "blue" in messages:
+                raise ValueError("no")
+            return [m.upper() for m in messages]
+
+        return call
+
+    kept = scoring.generate_text(df, make, F.col("c"))
+    assert values(kept, "i", "generated_prompt", "error") == [(1, "RED", None), (2, None, "ValueError: no")]
+    assert values(scoring.generate_text(df, make, F.col("c"), on_error="skip"), "i") == [(1,)]
+
+    def judge():
+        def call(batch):
+            if (batch["c"] == "blue").any():
+                raise ValueError("no")
+            return ["humans: yes"] * len(batch)
+
+        return call
+
+    def prompter():
+        return lambda batch: ["ok"] * len(batch)
+
+    assert values(scoring.annotate(df, judge, prompter), "i") == [(1,)]
+    assert values(scoring.annotate(df, judge, prompter, on_error="null"), "i", "error") == [(1, None), (2, "ValueError: no")]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(1, "red"), (2, "blue")], "i int, c string")
     got = scoring.generate_text(df, lambda: lambda ms: [f'{{"prompt": "{m}!"}}' for m in ms], F.concat(F.lit("a "), "c"))

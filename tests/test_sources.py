@@ -136,3 +136,45 @@ def test_pending_batches(spark):
     assert numbered.count() == 23
     assert values(batches, "batch", "files") == [(1, 10), (2, 10), (3, 3)]
     assert writers.mark_packaged(shards).filter("packaged").count() == 25
+
+
+def test_package_never_loses_rows_of_a_second_run(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    media = spark.createDataFrame([(f"f{i}.jpg", bytes([i])) for i in range(16)], "name string, content binary")
+    scores = spark.createDataFrame([], "filename string, scores array<struct<label string, score double>>")
+    first = spark.createDataFrame([(f"f{i}.jpg", False) for i in range(8)], "filename string, packaged boolean")
+    package(first, media, scores, folder, rows_per_shard=4)
+    grown = spark.createDataFrame([(f"f{i}.jpg", False) for i in range(16)], "filename string, packaged boolean")
+    out = package(grown, media, scores, folder, rows_per_shard=4)
+    on_disk = spark.read.parquet(folder)
+    assert values(on_disk, "path") == sorted((f"f{i}.jpg",) for i in range(16))
+    assert values(out["shards"], "shard", "rows") == [(i, 4) for i in range(4)]
+    assert out["meta"].filter("packaged").count() == 16
+    missing = spark.createDataFrame([("none.jpg", False)], "filename string, packaged boolean")
+    assert package(missing, media, scores, folder)["meta"].filter("packaged").count() == 0
+
+
+def test_grown_input_goes_to_new_shards(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    writers.write_shards(spark.range(8).withColumnRenamed("id", "k"), folder, "k", 4, 42)
+    sizes = writers.write_shards(spark.range(11).withColumnRenamed("id", "k"), folder, "k", 4, 42)
+    assert values(sizes, "shard", "rows") == [(0, 4), (1, 4), (2, 3)]
+
+
+def test_one_name_in_two_folders_is_an_error(spark):
+    meta = spark.createDataFrame([("a.jpg",)], "filename string")
+    media = spark.createDataFrame([("a.jpg", b"1"), ("a.jpg", b"2")], "name string, content binary")
+    with pytest.raises(Exception, match="several files named a.jpg"):
+        readers.embed_payload(meta, media, "filename")[0].collect()
+
+
+def test_quoted_texts_in_worker_outputs(spark, tmp_path):
+    (tmp_path / "w1.csv").write_text('id,text\n1,"two ""quoted""\nlines"\n2,plain\n')
+    schema = T.StructType.fromDDL("id string, text string")
+    rows, counts = readers.merge_shards(spark, str(tmp_path), schema)
+    assert values(rows, "id", "text") == [("1", 'two "quoted"\nlines'), ("2", "plain")]
+    assert values(counts, "shard", "rows") == [("w1", 2)]
+    (tmp_path / "bad.csv").write_text("id,text\n1,a\n2\n3,b,c\n")
+    bad = readers.bad_records(spark, str(tmp_path / "bad.csv"), schema)
+    kept = readers.read_metadata(spark, str(tmp_path / "bad.csv"), schema, bad_lines="skip")
+    assert bad.count() + kept.count() == 3 and bad.count() > 0

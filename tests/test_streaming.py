@@ -120,6 +120,23 @@ def test_guard_stops_the_stream(spark, tmp_path):
         q.awaitTermination()
 
 
+def test_runs_of_failures_cross_batches(spark, tmp_path):
+    src = tmp_path / "src"
+    for part in range(3):
+        feed(spark, src, [(f"{part}-{i:02d}", "c", "2024-01-01", part * 10 + i) for i in range(10)])
+
+    def run(bad, limit, name):
+        one = stream(spark, src).sparkSession.readStream.schema(spark.read.parquet(str(src)).schema)
+        one = one.option("maxFilesPerTrigger", 1).parquet(str(src))
+        ingest.guarded_stream(one, bad, ["k"], str(tmp_path / name), str(tmp_path / f"{name}-c"), limit=limit).awaitTermination()
+        return spark.read.parquet(str(tmp_path / name)).count()
+
+    assert run(F.col("v").between(5, 24), 21, "a") == 10
+    with pytest.raises(StreamingQueryException, match="20 consecutive failures"):
+        run(F.col("v").between(5, 24), 20, "b")
+    assert run(F.col("v").isin(9, 10, 11, 20), 4, "c") == 26
+
+
 def test_registry_rules(spark):
     cols = "model string, status string, reason string, ts int"
     reg = spark.createDataFrame([("done", "COMPLETED", "", 5), ("retry", "INFRASTRUCTURE_FAULT", "old", 5), ("kept", "MODEL_FAULT", "m", 1)], cols)

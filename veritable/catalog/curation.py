@@ -286,14 +286,14 @@ def sample_with_assets(spark, d):
 
 @query("""
 SELECT vec_id, label FROM embeddings
-WHERE NOT ((embedding[1] >= CAST(0.1 AS FLOAT)) OR (embedding[3] >= CAST(0.1 AS FLOAT)))""")
+WHERE len(list_filter(embedding, lambda x, i: i % 2 = 1 AND x >= CAST(0.3 AS FLOAT))) = 0""")
 def moderate(spark, d):
     scores = F.transform(
-        F.slice("embedding", 1, 4),
+        "embedding",
         lambda x, i: F.struct(F.when(i % 2 == 0, "nsfw").otherwise("safe").alias("label"), x.alias("score")),
     )
     vectors = table(spark, d, "embeddings").withColumn("scores", scores)
-    return filters.moderate(vectors, "scores", "nsfw", F.lit(0.1).cast("float"))[0].select("vec_id", "label")
+    return filters.moderate(vectors, "scores", "nsfw", F.lit(0.3).cast("float"))[0].select("vec_id", "label")
 
 
 @query("""
@@ -417,7 +417,8 @@ WITH m AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) A
                   ELSE 'division by zero' END AS message FROM events),
      c AS (SELECT event_id, CASE WHEN k < 10 THEN 12 WHEN k < 30 THEN 11 WHEN k < 50 THEN 10 WHEN k < 70 THEN 11 ELSE 14 END AS code FROM m)
 SELECT event_id, code,
-       CASE code WHEN 12 THEN 'Node/GPU Out of Memory' WHEN 11 THEN 'Incompatible Architecture' WHEN 10 THEN 'Data/Path Typo' ELSE 'Critical Code Bug' END AS reason,
+       CASE code WHEN 12 THEN 'Node/GPU Out of Memory (Exit 12)' WHEN 11 THEN 'Incompatible Architecture (Exit 11)'
+                 WHEN 10 THEN 'Data/Path Typo (Exit 10)' ELSE 'Critical Code Bug' END AS reason,
        CASE code WHEN 11 THEN 'MODEL_FAULT' WHEN 14 THEN 'HALT' ELSE 'INFRASTRUCTURE_FAULT' END AS status
 FROM c""")
 def run_outcomes(spark, d):
@@ -590,10 +591,10 @@ SELECT l_partkey AS ImageID, l_orderkey, l_linenumber, l_quantity, l_tax, l_disc
 FROM lineitem LEFT JOIN ({CLASSES}) AS a ON l_suppkey = a.label LEFT JOIN ({CLASSES}) AS b ON l_linenumber = b.label"""
 
 
-@query(f"SELECT ImageID, triplet, count(*) AS rows FROM ({TRIPLETS}) AS t GROUP BY ImageID, triplet")
+@query(f"SELECT ImageID, l_orderkey, l_linenumber, l_quantity, triplet FROM ({TRIPLETS}) AS t")
 def relationship_text(spark, d):
     text = joins.relationship_text(_triples(spark, d), _classes(spark, d))
-    return text.groupBy("ImageID", "triplet").agg(F.count(F.lit(1)).alias("rows"))
+    return text.select("ImageID", "l_orderkey", "l_linenumber", "l_quantity", "triplet")
 
 
 LIST_ORDER = ["l_orderkey", "l_linenumber", "triplet"]
@@ -623,18 +624,19 @@ def scene_objects(spark, d):
     return lists.withColumn("objects", F.array_join("objects", ", "))
 
 
-# Captions exist for the images that have a conversation; relations for those with a rare
-# combination of discount and tax; objects for those with a known class.
+# Captions exist for the images that have a conversation, relations for every third image, and known
+# classes for three images in four; all segments take part.
+LABEL = "CASE WHEN l_partkey % 4 = 0 THEN -l_suppkey ELSE l_suppkey END"
 CONTEXTS = f"""
 WITH cap AS (SELECT conv_id, left(arg_min(text, turn), 300) AS caption FROM conversations WHERE text <> '' GROUP BY conv_id),
      tri AS (SELECT ImageID, string_agg(triplet, '; ' ORDER BY l_orderkey, l_linenumber, triplet) AS relations
              FROM (SELECT *, row_number() OVER (PARTITION BY ImageID ORDER BY l_orderkey, l_linenumber, triplet) AS place
-                   FROM ({TRIPLETS}) AS t WHERE l_tax = 0.08 AND l_discount = 0.1) AS r WHERE place <= 8 GROUP BY ImageID),
+                   FROM ({TRIPLETS}) AS t WHERE ImageID % 3 = 0) AS r WHERE place <= 8 GROUP BY ImageID),
      obj AS (SELECT l_partkey AS ImageID, string_agg(DISTINCT class, ', ' ORDER BY class) AS objects
-             FROM lineitem JOIN ({CLASSES}) AS c ON l_suppkey = label WHERE l_quantity > 48 GROUP BY 1),
+             FROM lineitem JOIN ({CLASSES}) AS c ON {LABEL} = label GROUP BY 1),
      s AS (SELECT l_partkey AS ImageID, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS MaskPath,
-                  l_suppkey AS LabelName, class AS ClassName, coalesce(class, 'nan') AS name
-           FROM lineitem LEFT JOIN ({CLASSES}) AS c ON l_suppkey = label WHERE l_quantity > 48)
+                  {LABEL} AS LabelName, class AS ClassName, coalesce(class, 'nan') AS name
+           FROM lineitem LEFT JOIN ({CLASSES}) AS c ON {LABEL} = label)
 SELECT s.ImageID, MaskPath, LabelName, ClassName,
        CASE WHEN caption IS NOT NULL THEN 1 WHEN relations IS NOT NULL THEN 2 WHEN objects IS NOT NULL THEN 3 ELSE 4 END AS tier,
        CASE WHEN caption IS NOT NULL THEN 'Image description: "' || caption || '"' || chr(10) || 'Object to replace: ' || name
@@ -649,13 +651,11 @@ FROM s LEFT JOIN cap ON s.ImageID = conv_id LEFT JOIN tri ON s.ImageID = tri.Ima
 
 
 def _contexts(spark, d):
-    large = table(spark, d, "lineitem").filter("l_quantity > 48")
+    items = table(spark, d, "lineitem")
     mask = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber")])
-    segments = large.select(
-        F.col("l_partkey").alias("ImageID"), mask.alias("MaskPath"), F.col("l_suppkey").alias("LabelName")
-    )
+    segments = items.select(F.col("l_partkey").alias("ImageID"), mask.alias("MaskPath"), F.expr(LABEL).alias("LabelName"))
     narratives = table(spark, d, "conversations").selectExpr("conv_id AS image_id", "text AS caption", "turn AS ordinal")
-    triples = _triples(spark, d).filter("l_tax = 0.08D AND l_discount = 0.1D")
+    triples = _triples(spark, d).filter("ImageID % 3 = 0")
     return segment_contexts(segments, _classes(spark, d), narratives, triples, LIST_ORDER)
 
 

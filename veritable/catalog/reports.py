@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veritable.catalog.base import DOCUMENTS, PARTS, query, sample_documents, sample_parts, table
 from veritable.functions import naming, text
+from veritable.functions.labels import strip
 from veritable.functions.feed import normalize_posts, unwrap_page as unwrap_page_of
 from veritable.functions.media import sniff_media as sniff_media_of
 from veritable.functions.naming import Rule
@@ -154,20 +155,20 @@ def display_names(spark, d):
 
 
 @query("""
-WITH t AS (SELECT doc_id, text, n_chars % 4 AS k, split_part(text, chr(10), 1) AS line FROM documents)
+WITH t AS (SELECT doc_id, text, n_chars % 4 AS k, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM documents)
 SELECT doc_id,
-       CASE k WHEN 0 THEN upper(left(line, 1)) || substr(line, 2) WHEN 1 THEN trim(line)
-              WHEN 2 THEN upper(left(trim(line), 1)) || substr(trim(line), 2) ELSE line END AS cleaned,
+       CASE k WHEN 0 THEN upper(left(text, 1)) || substr(text, 2) WHEN 1 THEN bare
+              WHEN 2 THEN upper(left(bare, 1)) || substr(bare, 2) ELSE text END AS cleaned,
        CASE k WHEN 0 THEN 'both' WHEN 1 THEN 'human' WHEN 2 THEN 'catastrophe' ELSE 'none' END AS category
 FROM t""")
 def clean_text(spark, d):
     k = F.col("n_chars") % 4
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    whole = F.col("text")
     reply = (
-        F.when(k == 0, F.concat(F.lit("The image shows "), line))
-        .when(k == 1, F.concat(F.lit("Prompt: "), line))
-        .when(k == 2, F.concat(F.lit("Prompt: The image depicts "), F.trim(line), F.lit(" ")))
-        .otherwise(line)
+        F.when(k == 0, F.concat(F.lit("The image shows "), whole))
+        .when(k == 1, F.concat(F.lit("Prompt: "), whole))
+        .when(k == 2, F.concat(F.lit("Prompt: The image depicts "), strip(whole), F.lit(" ")))
+        .otherwise(whole)
     )
     verdict = (
         F.when(k == 0, "Humans: YES. Catastrophes: yes").when(k == 1, "humans: yes, Catastrophes: no")
@@ -254,7 +255,7 @@ SELECT event_id, CAST(event_id AS VARCHAR) AS id,
        CASE event_type WHEN 'click' THEN CAST(1.5 AS DOUBLE) WHEN 'purchase' THEN CAST(2.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS duration
 FROM f WHERE event_type <> 'error'""")
 def normalize_post(spark, d):
-    return normalize_posts(_feed(spark, d), "post").drop("created_at", "model", "event_type")
+    return normalize_posts(_feed(spark, d), "post", hosts=()).drop("created_at", "model", "event_type")
 
 
 @query(f"""

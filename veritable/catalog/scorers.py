@@ -16,15 +16,24 @@ PROB_DIGITS = 9
 
 
 def _linear():
-    """Two logits from the first two components; one float addition each."""
+    """Two logits: the sums of the components at even and at odd places.
+
+    Components are cut to multiples of 2 ** -20, so that sums are exact in any order.
+    """
 
     def call(batch: pd.DataFrame) -> np.ndarray:
-        x = np.stack(batch["embedding"].to_numpy()).astype("float64")
-        return np.stack([x[:, 0] * 2, x[:, 1] * 4], axis=1)
+        x = np.floor(np.stack(batch["embedding"].to_numpy()).astype("float64") * 2**20) / 2**20
+        return np.stack([x[:, 0::2].sum(axis=1), x[:, 1::2].sum(axis=1)], axis=1)
 
     return call
 
 
+def _margin_sql(component: str = "x") -> str:
+    """Difference of the two logits in SQL, of components changed to `component`."""
+    cut = f"floor(CAST({component} AS DOUBLE) * 1048576) / 1048576"
+    return f"list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i % 2 = 0 THEN {cut} ELSE -({cut}) END))"
+
+
 def _vectors(spark, d):
     return table(spark, d, "embeddings").select(
         F.col("vec_id").cast("string").alias("file_name"),
@@ -36,8 +45,7 @@ def _vectors(spark, d):
 
 VECTORS = f"""
 SELECT CAST(vec_id AS VARCHAR) AS file_name, CAST(label >= 5 AS INTEGER) AS label, 'm' || CAST(label % 3 AS VARCHAR) AS model,
-       CAST(embedding[2] AS DOUBLE) * 4 - CAST(embedding[1] AS DOUBLE) * 2 AS margin,
-       1 / (1 + exp(-(CAST(embedding[2] AS DOUBLE) * 4 - CAST(embedding[1] AS DOUBLE) * 2))) AS prob
+       1 / (1 + exp(-{_margin_sql()})) AS prob
 FROM embeddings"""
 
 
@@ -64,7 +72,7 @@ SWEPT = " UNION ALL ".join(
     [f"SELECT 'none' AS variant, model, label, prob AS prob_fake FROM ({VECTORS}) AS v"]
     + [
         f"""SELECT '{q}' AS variant, 'm' || CAST(label % 3 AS VARCHAR), CAST(label >= 5 AS INTEGER),
-        1 / (1 + exp(-(floor(CAST(embedding[2] AS DOUBLE) * {q}) / {q} * 4 - floor(CAST(embedding[1] AS DOUBLE) * {q}) / {q} * 2))) FROM embeddings"""
+        1 / (1 + exp(-{_margin_sql(f"floor(x * {q}) / {q}")})) FROM embeddings"""
         for q in (64, 16, 4)
     ]
 )
@@ -76,14 +84,20 @@ def sweep(spark, d):
 
 
 @query("""
-SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[1] AS DOUBLE))), 9) AS one,
-       round(1 / (1 + exp(-(CAST(embedding[2] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)))), 9) AS two FROM embeddings""")
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
+SELECT vec_id, i AS place, round(1 / (1 + exp(-e[i])), 9) AS one,
+       round(1 / (1 + exp(-(e[i % len(e) + 1] - e[i]))), 9) AS two FROM v""")
 def logit_probabilities(spark, d):
-    as_double = F.col("embedding").cast("array<double>")
-    return table(spark, d, "embeddings").select(
+    """Each component as a single logit, and with the component after it as a pair."""
+    vector = F.col("embedding").cast("array<double>")
+    after = F.concat(F.slice(vector, 2, F.size(vector)), F.slice(vector, 1, 1))
+    pairs = F.arrays_zip(vector.alias("a"), after.alias("b"))
+    placed = table(spark, d, "embeddings").select("vec_id", F.posexplode(pairs).alias("place", "p"))
+    return placed.select(
         "vec_id",
-        F.round(fake_probability(F.slice(as_double, 1, 1)), PROB_DIGITS).alias("one"),
-        F.round(fake_probability(F.slice(as_double, 1, 2)), PROB_DIGITS).alias("two"),
+        (F.col("place") + 1).cast("bigint").alias("place"),
+        F.round(fake_probability(F.array("p.a")), PROB_DIGITS).alias("one"),
+        F.round(fake_probability(F.array("p.a", "p.b")), PROB_DIGITS).alias("two"),
     )
 
 

@@ -14,7 +14,6 @@ POST_LIST_KEYS = ("posts", "items", "results", "data", "generations")
 CURSOR_KEYS = ("cursor", "next_cursor", "next", "nextCursor", "next_page")
 NESTED_CURSOR_KEYS = ("cursor", "next_cursor", "next")
 QUALITIES = ("source", "md", "ld")
-VIDEO_HOSTS = ("videos.openai.com",)
 
 _SIZE = "width bigint, height bigint"
 _POST = (
@@ -95,15 +94,18 @@ def _inner_post(post: Column) -> Column:
 def normalize_posts(
     df: DataFrame,
     text: str,
-    depth: int = 2,
+    hosts: Sequence[str],
+    depth: int | None = None,
     qualities: Sequence[str] = QUALITIES,
-    hosts: Sequence[str] = VIDEO_HOSTS,
 ) -> DataFrame:
-    """Nested post JSON to flat records beside the other columns; posts without media are left out.
+    """Nested post JSON to flat records beside the other columns; posts without media are left out
+    (`posts_without_media` gives them).
 
-    Looks at encodings by quality, then a direct URL, then nested media, and when all of them
-    fail goes down to the post inside the post, at most `depth - 1` times.
+    Looks at encodings by quality, then a direct URL (a video file, or on one of `hosts`), then nested
+    media, and when all of them fail goes down to the post inside the post, as often as posts nest.
+    `depth` levels are unrolled; without it the deepest nesting is found first, in one pass.
     """
+    depth = nesting(df, text) if depth is None else depth
     kept = [c for c in df.columns if c != text]
     out = _hold(df.withColumn("_post", F.from_json(text, _POST)), "_post")
     found = F.col("_url")
@@ -149,6 +151,20 @@ def normalize_posts(
     )
 
 
+def nesting(df: DataFrame, text: str) -> int:
+    """Levels of posts inside posts, at most: one more than the names of inner posts in a text."""
+    inner = F.regexp_count(F.col(text), F.lit('"generations?"'))
+    return 1 + (df.agg(F.max(inner)).first()[0] or 0)
+
+
+def posts_without_media(df: DataFrame, text: str, key: str, hosts: Sequence[str], **options) -> DataFrame:
+    """(key, `reason`) of the rows that `normalize_posts` leaves out; `key` identifies rows."""
+    parsed = F.from_json(text, "map<string,string>").isNotNull()
+    reason = F.when(F.col(text).isNull(), "no post").when(~parsed, "not JSON").otherwise("no media at any level")
+    found = normalize_posts(df, text, hosts, **options).select(key)
+    return df.select(key, reason.alias("reason")).join(found, key, "left_anti")
+
+
 def unwrap_page(text: Column | str) -> Column:
     """A page as struct(posts array<string>, cursor): list under any known name or a bare list.
 

@@ -54,13 +54,16 @@ def task_tiers(quota: Column | str, smallest: int = 2) -> Column:
 
 
 def run_status(code: Column | str) -> Column:
-    """struct(reason, status) of an exit code."""
+    """struct(reason, status) of an exit code; the reason of a failure names the code."""
 
     def pair(reason: str, status: str) -> Column:
         return F.struct(F.lit(reason).alias("reason"), F.lit(status).alias("status"))
 
     known = F.create_map(*[x for c, p in EXIT_CODES.items() for x in (F.lit(c), pair(*p))])
-    return F.coalesce(F.try_element_at(known, as_column(code).cast("int")), pair(*OTHER_EXIT))
+    found = F.coalesce(F.try_element_at(known, as_column(code).cast("int")), pair(*OTHER_EXIT))
+    exit_ = F.concat(found["reason"], F.lit(" (Exit "), as_column(code).cast("string"), F.lit(")"))
+    failed = found["status"].isin("MODEL_FAULT", "INFRASTRUCTURE_FAULT") & as_column(code).isNotNull()
+    return F.struct(F.when(failed, exit_).otherwise(found["reason"]).alias("reason"), found["status"].alias("status"))
 
 
 def _mentions(text: Column, words: tuple[str, ...]) -> Column:

@@ -59,14 +59,15 @@ def canonicalize(
     for need in ("file_name", "label"):
         if not any(a in df.columns for a in aliases[need]):
             raise ValueError(f"no {need} column; found {', '.join(sorted(df.columns))}")
-    source = next(a for a in aliases["label"] if a in df.columns)
-    numeric = isinstance(df.schema[source].dataType, T.NumericType | T.BooleanType)
     raw = first_present(df, aliases["label"], "")
-    label = (
-        normalize_label(F.col(source).cast("int"), numeric=True)
-        if numeric
-        else normalize_label(raw, vocabulary)
-    )
+
+    def label_of(alias: str) -> Column:
+        """The label by the alias' own type; null where the alias is null."""
+        numeric = isinstance(df.schema[alias].dataType, T.NumericType | T.BooleanType)
+        value = F.col(alias).cast("int") if numeric else F.col(alias)
+        return F.when(F.col(alias).isNotNull(), normalize_label(value, vocabulary, numeric))
+
+    label = F.coalesce(*[label_of(a) for a in aliases["label"] if a in df.columns])
 
     def required(value: Column, what: str) -> Column:
         return F.when(value != "", value).otherwise(F.raise_error(F.lit(f"row without {what}")))

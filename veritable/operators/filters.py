@@ -30,6 +30,10 @@ def existing_counts(meta: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     )
 
 
+# Fixed value: the reason stored for an adapter whose base model is not named.
+NO_BASE = "Missing base model dependency"
+
+
 def judge_models(
     catalog: DataFrame,
     registry: DataFrame,
@@ -39,8 +43,12 @@ def judge_models(
 ) -> DataFrame:
     """The catalogue with `reason` to skip a model, null for eligible ones.
 
-    `catalog` is (`model`, `downloads`, `pipeline_tag`, `files`); `registry` is (`model`, `status`).
+    `catalog` is (`model`, `downloads`, `pipeline_tag`, `files`) and, where `classify_model` has been
+    applied, (`type`, `base_id`); `registry` is (`model`, `status`).
     """
+    orphan = F.lit(False)
+    if {"type", "base_id"} <= set(catalog.columns):
+        orphan = (F.col("type") == "LoRA") & (F.coalesce("base_id", F.lit("None")) == "None")
     done = registry.filter(F.col("status").isin(*TERMINAL)).select(
         "model", F.col("status").alias("_done")
     )
@@ -58,7 +66,8 @@ def judge_models(
             F.when(F.col("_done").isNotNull(), F.concat(F.lit("already "), "_done"))
             .when(F.coalesce("downloads", F.lit(0)) < min_downloads, "too few downloads")
             .when(~has_file, F.lit(f"No {suffix.lstrip('.')} found"))
-            .when(blocked, F.concat(F.lit("Incompatible task: "), "pipeline_tag")),
+            .when(blocked, F.concat(F.lit("Incompatible task: "), "pipeline_tag"))
+            .when(orphan, NO_BASE),
         )
         .drop("_done")
     )
@@ -98,6 +107,14 @@ def is_finite(score: Column | str) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 
 
+def finite_counts(df: DataFrame, score: str = "prob_fake") -> DataFrame:
+    """One row: `rows`, `kept` and `dropped` of `finite_only`."""
+    kept = finite_only(df, score).agg(F.count(F.lit(1)).alias("kept"))
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", kept.scalar().alias("kept"), (F.col("rows") - kept.scalar()).alias("dropped")
+    )
+
+
 def drop_blank(df: DataFrame, *columns: str) -> DataFrame:
     """Rows in which all the columns are present and not empty."""
     out = df.na.drop(subset=list(columns))

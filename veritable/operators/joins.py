@@ -16,6 +16,7 @@ from veritable.functions.media import archive_shard, parse_staged_name, safe_id
 from veritable.operators.canonical import first_present
 from veritable.operators.ranking import head_rows, top_per_group
 from veritable.operators.sampling import sample_n
+from veritable.session import settle
 
 
 def attach_class(
@@ -176,8 +177,12 @@ def detector_test_matrix(
 ) -> DataFrame:
     """Every detector with every test set; null where no result exists.
 
-    Test sets are a short parameter list: each detector row is exploded over it.
+    Test sets are a short parameter list: each detector row is exploded over it. Detectors and
+    results may come from one plan, so they are written once.
     """
+    shared = detectors is results
+    results = settle(results, "results")
+    detectors = results if shared else detectors
     pairs = detectors.select("detector").distinct().withColumn(
         "test", F.explode(F.array(*[F.lit(t) for t in tests]))
     )

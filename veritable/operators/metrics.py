@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veritable.functions.hashing import as_column
 from veritable.operators.filters import finite_only
 from veritable.operators.ranges import quantile_bounds, range_count, range_number
+from veritable.session import settle
 
 
 def score_totals(
@@ -27,12 +28,16 @@ def score_totals(
     table without keys is ever ordered in one task, and ties count one half exactly.
     """
     keys = list(keys)
-    ranges = range_count(preds, most=1024)
-    counts = preds.groupBy(*keys, score).agg(
-        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
+    # Written once, so that the input is evaluated once: split points and totals read the counts.
+    counts = settle(
+        preds.groupBy(*keys, score).agg(
+            F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
+        ),
+        "counts",
     )
+    ranges = range_count(counts.count())
     ranged = (
-        counts.withColumn("_bounds", quantile_bounds(preds, score, ranges))
+        counts.withColumn("_bounds", quantile_bounds(counts, score, ranges))
         .withColumn("_range", F.coalesce(range_number(F.col(score), F.col("_bounds"), ranges), F.lit(0)))
         .drop("_bounds")
     )

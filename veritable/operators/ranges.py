@@ -15,14 +15,13 @@ from veritable.functions.hashing import as_column
 from veritable.session import settle
 
 SAMPLES_PER_RANGE = 32
-MAX_RANGES = 4096
+ROWS_PER_RANGE = 250_000
 
 
-def range_count(df: DataFrame, most: int = MAX_RANGES) -> int:
-    """A power of two near the session's shuffle width, at most `most`."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def range_count(rows: int) -> int:
+    """A power of two, so that a range holds about ROWS_PER_RANGE rows however many there are."""
     count = 8
-    while count < width and count < most:
+    while count * ROWS_PER_RANGE < rows:
         count *= 2
     return count
 
@@ -40,12 +39,11 @@ def quantile_bounds(df: DataFrame, value: Column | str, ranges: int) -> Column:
     ).scalar()
 
 
-def sampled_bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
+def sampled_bounds(df: DataFrame, order: list[str], ranges: int, rows: int) -> Column:
     """Split points of a composite key from a hash sample of about 32 keys per range."""
     wanted = ranges * SAMPLES_PER_RANGE
     keys = df.select(F.struct(*order).alias("k"), (F.xxhash64(*order) / F.lit(2.0**64) + 0.5).alias("u"))
-    total = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
-    chosen = keys.filter(F.col("u") * total < F.lit(float(wanted)))
+    chosen = keys.filter(F.col("u") * F.lit(float(rows)) < F.lit(float(wanted)))
     # A set, so that an order with many equal keys cannot fill the sample.
     ordered = chosen.agg(F.array_sort(F.collect_set("k")).alias("s"))
     step = F.greatest(F.lit(1), F.floor(F.size("s") / F.lit(ranges)).cast("int"))
@@ -70,14 +68,25 @@ def range_number(value: Column, bounds: Column, ranges: int) -> Column:
     )
 
 
-def with_range(df: DataFrame, order: list[str], name: str = "_range") -> DataFrame:
+def narrow_keys(df: DataFrame, order: list[str]) -> DataFrame:
+    """The order columns alone, written once: counts, samples and offsets are read off this table,
+    and the rows themselves are read once more, at the end."""
+    return settle(df.select(*order), "keys")
+
+
+def with_range(df: DataFrame, order: list[str], name: str = "_range", keys: DataFrame | None = None) -> DataFrame:
     """Add the range number of each row for an ascending order over `order`.
 
-    The sample is chosen by hash, so the split points are the same each time they are computed
-    and two branches of one plan agree on them.
+    The split points come from `keys` (df itself by default), by hash and written once, so two
+    branches of one plan agree on them.
     """
-    ranges = range_count(df)
-    bounds = sampled_bounds(df, order, ranges)
+    keys = df if keys is None else keys
+    rows = keys.count()
+    ranges = range_count(rows)
+    return ranged(df, order, sampled_bounds(keys, order, ranges, rows), ranges, name)
+
+
+def ranged(df: DataFrame, order: list[str], bounds: Column, ranges: int, name: str) -> DataFrame:
     # A subquery may not stand inside a lambda, so the bounds become a column first.
     return (
         df.withColumn("_bounds", bounds)

@@ -17,35 +17,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.hashing import as_column, hash_prefix, order_hash
-from veritable.operators.ranges import with_range
+from veritable.operators.ranges import narrow_keys, range_count, ranged, sampled_bounds, with_range
 from veritable.session import settle
 
 
-def bucket_digits(df: DataFrame) -> int:
-    """Hex digits that give every group at least as many buckets as the session has reducers.
+BUCKET_ROWS = 100_000
 
-    A group that holds most of a table is then dealt over the whole cluster, while the table of
-    bucket totals stays small beside the rows when there are many groups.
-    """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+def bucket_digits(rows: int) -> int:
+    """Hex digits with which a bucket holds at most about BUCKET_ROWS rows, were all in one group."""
     digits = 2
-    while 16**digits < width:
+    while 16**digits * BUCKET_ROWS < rows:
         digits += 1
     return digits
 
 
 def group_key(groups: Sequence[str]) -> Column:
-    """One null-safe text key for any number of group columns."""
-    parts = [F.coalesce(F.col(g).cast("string"), F.lit("\x00")) for g in groups]
-    return F.concat_ws("\x1f", *parts) if parts else F.lit("")
+    """One text key for any number of group columns; null and every text are told apart.
+
+    Each value stands after its length, so no value can run into the next.
+    """
+    texts = [F.col(g).cast("string") for g in groups]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.concat(*parts) if parts else F.lit("")
 
 
 # ---------------------------------------------------------------- ranks
 
 
-def _ranked(df: DataFrame, groups: list[str], bucket: str, order: list[Column], name: str):
+def _ranked(df: DataFrame, slim: DataFrame, groups: list[str], bucket: str, order: list[Column], name: str):
+    """Ranks the rows of `df`; `slim` holds group and bucket of the same rows."""
     offsets = (
-        df.groupBy(*groups, bucket)
+        slim.groupBy(*groups, bucket)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
             "_offset",
@@ -74,16 +77,24 @@ def hash_rank(
             "_g": group_key(groups),
             "_h": order_hash(seed, key),
         }
-    ).withColumn("_bucket", hash_prefix(F.col("_h"), bucket_digits(df)))
-    return _ranked(hashed, ["_g"], "_bucket", [F.col("_h"), F.col(key)], name).drop("_g", "_h")
+    )
+    # Only two digits more than the least are ever needed below 25 million rows; the first are kept.
+    slim = settle(hashed.select("_g", hash_prefix(F.col("_h"), 8).alias("_prefix")), "ranks")
+    digits = bucket_digits(slim.count())
+    slim = slim.select("_g", F.substring("_prefix", 1, digits).alias("_bucket"))
+    hashed = hashed.withColumn("_bucket", hash_prefix(F.col("_h"), digits))
+    return _ranked(hashed, slim, ["_g"], "_bucket", [F.col("_h"), F.col(key)], name).drop("_g", "_h")
 
 
 def global_index(df: DataFrame, order: Sequence[str], name: str = "index") -> DataFrame:
     """Contiguous 0-based index over an ascending order; `order` must identify rows."""
     order = list(order)
-    return _ranked(
-        with_range(df, order, "_bucket"), [], "_bucket", [F.col(c) for c in order], name
-    )
+    keys = narrow_keys(df, order)
+    rows = keys.count()
+    ranges = range_count(rows)
+    bounds = sampled_bounds(keys, order, ranges, rows)
+    slim = ranged(keys, order, bounds, ranges, "_bucket")
+    return _ranked(ranged(df, order, bounds, ranges, "_bucket"), slim, [], "_bucket", [F.col(c) for c in order], name)
 
 
 # ---------------------------------------------------------------- cuts
@@ -102,9 +113,11 @@ def _edges(slim: DataFrame, quotas: DataFrame) -> DataFrame:
     )
 
 
-def _pick_n(keyed: DataFrame, n: int, name: str) -> DataFrame:
-    """Flag the first n rows of the whole table; the cut reaches the plan as a literal."""
-    slim = keyed.select("_bucket", "_o")
+def _pick_n(keyed: DataFrame, slim: DataFrame, n: int, name: str) -> DataFrame:
+    """Flag the first n rows of the whole table; the cut reaches the plan as a literal.
+
+    `slim` holds bucket and order of the same rows.
+    """
     upto = F.sum("_n").over(Window.orderBy("_bucket"))
     edge = (
         slim.groupBy("_bucket")
@@ -127,16 +140,15 @@ def _pick_n(keyed: DataFrame, n: int, name: str) -> DataFrame:
         )
         fields = keyed.schema["_o"].dataType.fields
         picked = F.col("_o") <= F.struct(*[F.lit(cut[f.name]).cast(f.dataType).alias(f.name) for f in fields])
-    return keyed.withColumn(name, picked).drop("_bucket", "_o")
+    return keyed.withColumn(name, picked).drop("_o")
 
 
-def _pick_quotas(keyed: DataFrame, quotas: DataFrame, name: str) -> DataFrame:
+def _pick_quotas(keyed: DataFrame, slim: DataFrame, quotas: DataFrame, name: str) -> DataFrame:
     """Flag the first `_quota` rows of each group `_g`; one cut row per group is joined back.
 
     The cut table is written first, so its size is known: it is broadcast when small, and the
     table being flagged is then not shuffled at all.
     """
-    slim = keyed.select("_g", "_bucket", "_o")
     quotas = quotas.select("_g", F.col("_quota").cast("bigint").alias("_quota"))
     edges = settle(quotas.join(_edges(slim, quotas), "_g", "left"), "edges")
     place = F.row_number().over(Window.partitionBy("_g").orderBy("_o"))
@@ -154,7 +166,7 @@ def _pick_quotas(keyed: DataFrame, quotas: DataFrame, name: str) -> DataFrame:
             (F.coalesce(F.col("_quota"), F.lit(0)) > 0)
             & (F.col("_cut").isNull() | (F.col("_o") <= F.col("_cut"))),
         )
-        .drop("_g", "_bucket", "_o", "_quota", "_cut")
+        .drop("_g", "_o", "_quota", "_cut")
     )
 
 
@@ -172,24 +184,24 @@ def mark_first(
     `quotas` has the group columns and `quota`; groups without a line get no row.
     """
     h = order_hash(seed, key)
-    keyed = df.withColumns(
-        {
-            # One digit finer than for ranks: a single bucket per group is ranked in one task.
-            "_bucket": hash_prefix(h, bucket_digits(df) + 1),
-            "_o": F.struct(h.alias("h"), as_column(key).alias("k")),
-        }
-    )
+    order = F.struct(h.alias("h"), as_column(key).alias("k"))
+    keyed = df.withColumn("_o", order).withColumn("_g", group_key(groups))
+    # Groups and keys are written once; all counting and cutting is done on them, and the rows
+    # themselves are read once more to be flagged.
+    slim = settle(keyed.select("_g", "_o"), "order")
+    slim = slim.withColumn("_bucket", hash_prefix(F.col("_o.h"), bucket_digits(slim.count())))
     if quotas is None:
-        return _pick_n(keyed, n, name)
+        return _pick_n(keyed.drop("_g"), slim, n, name)
     quotas = quotas.select(group_key(groups).alias("_g"), F.col("quota").alias("_quota"))
-    return _pick_quotas(keyed.withColumn("_g", group_key(groups)), quotas, name)
+    return _pick_quotas(keyed, slim, quotas, name)
 
 
 def head_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """The first `n` rows of an ascending order that identifies rows; any n."""
     order = list(order)
-    keyed = with_range(df, order, "_bucket").withColumn("_o", F.struct(*order))
-    return _pick_n(keyed, n, "_picked").filter("_picked").drop("_picked")
+    at = F.struct(*order)
+    slim = with_range(narrow_keys(df, order), order, "_bucket").withColumn("_o", at)
+    return _pick_n(df.withColumn("_o", at), slim, n, "_picked").filter("_picked").drop("_picked")
 
 
 def top_per_group(
@@ -212,18 +224,16 @@ def first_seen_order(
 ) -> DataFrame:
     """Distinct non-empty values with their rank of first appearance.
 
-    Values that only `known` has come after all seen ones, by name. The window runs over one row
-    per distinct value.
+    Values that only `known` has come after all seen ones, by name. The distinct values are numbered
+    range by range.
     """
     seen = df.filter(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(
         F.min(order).alias("first_seen")
     )
     if known is not None:
         seen = seen.join(known.select(key).distinct(), key, "full_outer")
-    return seen.withColumn(
-        "position",
-        F.row_number().over(Window.orderBy(F.asc_nulls_last("first_seen"), F.col(key))) - F.lit(1),
-    )
+    seen = settle(seen, "seen").withColumn("_later", F.col("first_seen").isNull())
+    return global_index(seen, ["_later", "first_seen", key], "position").drop("_later")
 
 
 def display_order(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.naming import release_month
+from veritable.session import settle
 
 
 def _text(c: str) -> Column:
@@ -203,8 +204,10 @@ def best_per_column(matrix: DataFrame, matched: Sequence[tuple[str, str]]) -> Da
     """Flags on a (`detector`, `test`, `value`) table.
 
     `matched` pairs were trained and tested on the same benchmark: they are marked and do not
-    compete for `best`. `average` is the mean of a detector over its test sets.
+    compete for `best`. `average` is the mean of a detector over its test sets. The matrix is written
+    once, since flags and maximum both read it.
     """
+    matrix = settle(matrix, "matrix")
     pair = F.struct("detector", "test")
     own = F.lit(False)
     for detector, test in matched:
@@ -230,6 +233,7 @@ def best_per_column(matrix: DataFrame, matched: Sequence[tuple[str, str]]) -> Da
 
 def metric_leader(results: DataFrame, metric: str) -> DataFrame:
     """Adds `leader` on the rows that hold the maximum; nulls are ignored."""
+    results = settle(results, "results")
     top = results.agg(F.max(metric).alias("m")).scalar()
     return results.withColumn("leader", close_to(F.col(metric), top, 1e-9, 0.0))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.hashing import order_hash, uniform, uniform_int
+from veritable.functions.labels import strip
 from veritable.functions.naming import held_out_match
 from veritable.operators.ranking import hash_rank, mark_first
 from veritable.session import settle
@@ -44,15 +45,15 @@ def holdout_per_group(
     group: str = "model",
     label: str = "label",
 ) -> DataFrame:
-    """Adds `split`: test or train.
+    """Adds `split`: test or train. Rows that are neither fake nor real are left out.
 
     Groups with at least `min_pool` fake rows give `per_group` fake rows to test; as many real
     rows (or all there are) join them.
     """
     lower = F.lower(label)
-    marked = pool.withColumns(
+    marked = pool.filter(lower.isin("fake", "real")).withColumns(
         {
-            "_side": F.when(lower == "fake", "fake").when(lower == "real", "real").otherwise("none"),
+            "_side": lower,
             "_group": F.when(lower == "fake", F.coalesce(group, F.lit(""))).otherwise(F.lit("")),
         }
     )
@@ -187,7 +188,7 @@ def three_way_holdout(
     No match stays in the pool; an exact name that is fake is held-out test data; similar names
     are dropped. Real rows under an exact name are kept apart and can be counted.
     """
-    name = F.lower(F.trim(F.coalesce(model, F.lit(""))))
+    name = F.lower(strip(F.coalesce(model, F.lit(""))))
     exact = name == F.col("match")
     return df.withColumn("match", held_out_match(model, held, families)).withColumn(
         "bucket",

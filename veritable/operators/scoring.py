@@ -63,19 +63,25 @@ def score(
     on_error: str = "null",
     neutral: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
     threshold: float = 0.5,
+    variants: Sequence[str] | None = None,
+    transform: Callable[[pd.DataFrame, str], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Keyed prediction table: `keep`, `prob_fake`, `pred`, `error`.
 
     Rows that cannot be scored: `null` keeps them without a probability, `skip` drops them,
     `blank` scores what `neutral` makes of them. The error text is kept in the first and last.
+    With `variants` each row is sent once, scored once under each variant of itself that `transform`
+    makes, and gives a row per variant, named in `variant`.
     """
     if on_error not in POLICIES:
         raise ValueError(f"on_error must be one of {POLICIES}")
     if (on_error == "blank") != (neutral is not None):
         raise ValueError("on_error='blank' needs `neutral`, and only then")
     columns = list(dict.fromkeys([*keep, *inputs]))
+    named = [T.StructField("variant", T.StringType())] if variants is not None else []
     schema = T.StructType(
         [df.schema[c] for c in keep]
+        + named
         + [
             T.StructField("logits", T.ArrayType(T.DoubleType())),
             T.StructField("error", T.StringType()),
@@ -85,14 +91,19 @@ def score(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in _slices(frames, batch_size):
-            logits, errors = _guarded(scorer, batch, neutral)
-            out = batch[list(keep)].assign(logits=logits, error=errors)
-            yield out[out["logits"].notna()] if on_error == "skip" else out
+            for variant in variants if variants is not None else [None]:
+                call = scorer if variant is None else lambda part, v=variant: scorer(transform(part, v))
+                logits, errors = _guarded(call, batch, neutral)
+                out = batch[list(keep)]
+                if variant is not None:
+                    out = out.assign(variant=variant)
+                out = out.assign(logits=logits, error=errors)
+                yield out[out["logits"].notna()] if on_error == "skip" else out
 
     raw = df.select(*columns).mapInPandas(run, schema)
     probability = fake_probability("logits")
     return raw.select(
-        *keep, probability.alias("prob_fake"), predicted(probability, threshold).alias("pred"), "error"
+        *keep, *[f.name for f in named], probability.alias("prob_fake"), predicted(probability, threshold).alias("pred"), "error"
     )
 
 
@@ -126,25 +137,11 @@ def sweep(
 ) -> DataFrame:
     """Metrics per variant and key; every sample is scored once under every variant.
 
-    Samples are exploded over the variants where they lie; `transform` and scorer run in the
-    same task, so a transformed payload is never shuffled.
+    A sample travels to its task once; `transform` and scorer run there for each variant, so no
+    transformed payload is shuffled. Metrics read the predictions once (`score_totals`).
     """
-
-    def make() -> BatchFn:
-        scorer = make_scorer()
-
-        def call(batch: pd.DataFrame) -> np.ndarray:
-            parts = [
-                pd.Series(_as_lists(scorer(transform(part, str(variant)))), index=part.index)
-                for variant, part in batch.groupby("variant", sort=False)
-            ]
-            return np.array(pd.concat(parts).loc[batch.index].tolist())
-
-        return call
-
-    spread = df.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
-    predictions = score(spread, make, [*inputs, "variant"], [*keep, "variant"], **options)
-    return metrics_by(predictions, ["variant", *keys])
+    options |= {"variants": list(variants), "transform": transform}
+    return metrics_by(score(df, make_scorer, inputs, keep, **options), ["variant", *keys])
 
 
 def batch_text(
@@ -152,14 +149,33 @@ def batch_text(
     make_call: Callable[[], Callable[[pd.DataFrame], Sequence[str]]],
     name: str,
     batch_size: int = 32,
+    on_error: str = "null",
 ) -> DataFrame:
-    """Adds one text column computed by a batch function."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
+    """Adds one text column computed by a batch function, and `error`.
+
+    A batch that fails is tried row by row. Rows that fail alone are kept without text and with
+    the error (`null`), or dropped (`skip`).
+    """
+    if on_error not in ("null", "skip"):
+        raise ValueError("on_error must be null or skip")
+    kept = [f for f in df.schema.fields if f.name != "error"]
+    schema = T.StructType([*kept, T.StructField(name, T.StringType()), T.StructField("error", T.StringType())])
+
+    def answers(call, batch: pd.DataFrame) -> tuple[list, list]:
+        try:
+            return list(call(batch)), [None] * len(batch)
+        except Exception as error:
+            if len(batch) == 1:
+                return [None], [f"{type(error).__name__}: {error}"]
+            pairs = [answers(call, batch.iloc[at : at + 1]) for at in range(len(batch))]
+            return [p[0][0] for p in pairs], [p[1][0] for p in pairs]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make_call()
         for batch in _slices(frames, batch_size):
-            yield batch.assign(**{name: list(call(batch))})
+            texts, errors = answers(call, batch)
+            out = batch[[f.name for f in kept]].assign(**{name: texts, "error": errors})
+            yield out[out["error"].isna()] if on_error == "skip" else out
 
     return df.mapInPandas(run, schema)
 
@@ -170,14 +186,15 @@ def generate_text(
     message: Column,
     batch_size: int = 32,
     name: str = "generated_prompt",
+    on_error: str = "null",
 ) -> DataFrame:
-    """Build a message per row, call the generator on batches, parse the replies."""
+    """Build a message per row, call the generator on batches, parse the replies (see batch_text)."""
 
     def make() -> Callable[[pd.DataFrame], Sequence[str]]:
         generator = make_generator()
         return lambda batch: generator(batch["_message"].tolist())
 
-    replies = batch_text(df.withColumn("_message", message), make, "_reply", batch_size)
+    replies = batch_text(df.withColumn("_message", message), make, "_reply", batch_size, on_error)
     return replies.withColumn(name, extract_prompt("_reply")).drop("_message", "_reply")
 
 
@@ -186,12 +203,18 @@ def annotate(
     make_judge: Callable[[], Callable[[pd.DataFrame], Sequence[str]]],
     make_prompter: Callable[[], Callable[[pd.DataFrame], Sequence[str]]],
     batch_size: int = 32,
+    on_error: str = "skip",
 ) -> DataFrame:
-    """Judge every row; only relevant rows stay and get a `generated_prompt` and `category`."""
-    judged = batch_text(df, make_judge, "_verdict", batch_size).withColumn(
-        "category", parse_verdict("_verdict")["category"]
+    """Judge every row; only relevant rows stay and get a `generated_prompt` and `category`.
+
+    Rows that judge or prompter fail on are left out (`skip`), or kept with the `error` (`null`).
+    """
+    judged = batch_text(df, make_judge, "_verdict", batch_size, on_error).withColumn(
+        "category", F.when(F.col("error").isNull(), parse_verdict("_verdict")["category"])
     )
+    failed = judged.filter("error IS NOT NULL").drop("_verdict")
     relevant = judged.filter(F.col("category") != "none").drop("_verdict")
-    return batch_text(relevant, make_prompter, "_reply", batch_size).withColumn(
+    told = batch_text(relevant, make_prompter, "_reply", batch_size, on_error).withColumn(
         "generated_prompt", clean_prompt("_reply")
     ).drop("_reply")
+    return told if on_error == "skip" else told.unionByName(failed, allowMissingColumns=True)

@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.operators.filters import keep_existing, moderate
+from veritable.session import settle
 from veritable.sources.readers import embed_payload
-from veritable.sources.writers import assign_shards, mark_packaged, only_new, write_assigned
+from veritable.sources.writers import (
+    assign_shards,
+    free_numbers,
+    mark_packaged,
+    only_new,
+    write_assigned,
+    written_rows,
+)
 
 
 def package(
@@ -24,20 +32,24 @@ def package(
     """Moderate, drop rows without a file, embed payloads, write shards, flag what was written.
 
     `media` is (`name`, `content`); `scores` is (key, `scores`). Only rows no earlier run has
-    packaged are taken.
+    packaged or written are taken; their shards are numbered after those in the folder. A row is
+    flagged if its key is in the folder, whichever run wrote it.
     """
-    fresh = only_new(meta).join(scores, key, "left")
+    spark = meta.sparkSession
+    written = settle(written_rows(spark, folder, "path", meta.schema[key].dataType), "written")
+    fresh = only_new(meta).join(written.select(F.col("path").alias(key)), key, "left_anti")
+    fresh = fresh.join(scores, key, "left")
     passed, quarantine = moderate(fresh, "scores", label, threshold)
     # Shards are dealt among the narrow rows that have a file, before any payload is touched, so
     # payloads move twice at most: to their row and to their shard.
     listing = media.select(F.col("name").alias(key))
     present, missing = keep_existing(passed.drop("scores"), listing, key)
-    dealt = assign_shards(present, key, rows_per_shard, seed)
+    dealt = assign_shards(present, key, rows_per_shard, seed, free_numbers(written))
     embedded, _ = embed_payload(dealt, media, key)
     shards = write_assigned(embedded.withColumn("path", F.col("image.path")), folder, "path", seed)
     return {
         "shards": shards,
         "quarantine": quarantine,
         "missing": missing,
-        "meta": mark_packaged(meta, present.select(key), key),
+        "meta": mark_packaged(meta, spark.read.parquet(folder).select(F.col("path").alias(key)), key),
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,30 +13,51 @@ from veritable.operators.ranking import head_rows
 from veritable.schemas import REGISTRY_ENTRY
 
 
+def _csv(spark: SparkSession, schema: T.StructType, mode: str = "FAILFAST", multiline: bool = True) -> DataFrameReader:
+    """Quoted texts may hold quotes and, with `multiline`, line breaks."""
+    return (
+        spark.read.schema(schema)
+        .option("multiLine", multiline)
+        .option("escape", '"')
+        .option("columnPruning", False)  # whether a line is bad must not hang on the columns asked for
+        .option("mode", mode)
+    )
+
+
+BAD = "_bad_record"
+
+
 def read_metadata(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, bad_lines: str = "fail"
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType,
+    bad_lines: str = "fail",
+    multiline: bool = True,
 ) -> DataFrame:
     """Headered CSV with every column text and missing values as `""`.
 
-    Prompts hold quotes and line breaks, so records may span lines. `bad_lines='skip'` drops
-    records that do not fit the schema, `'fail'` raises. Columns are matched by position.
+    Prompts hold quotes and line breaks, so records may span lines; a file is then read in one task.
+    With `multiline=False` large files are split. `bad_lines='skip'` leaves out records that do not
+    fit the schema (`bad_records` returns them), `'fail'` raises. Columns are matched by position.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    return (
-        spark.read.schema(text)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("columnPruning", False)  # whether a line is bad must not hang on the columns asked for
-        .option("mode", {"skip": "DROPMALFORMED", "fail": "FAILFAST"}[bad_lines])
-        .csv(path)
-        .na.fill("")
-    )
+    mode = {"skip": "DROPMALFORMED", "fail": "FAILFAST"}[bad_lines]
+    return _csv(spark, text, mode, multiline).option("header", True).csv(path).na.fill("")
+
+
+def bad_records(spark: SparkSession, path: str | list[str], schema: T.StructType, multiline: bool = True) -> DataFrame:
+    """(`record`) of the lines that `read_metadata` leaves out with `bad_lines='skip'`."""
+    fields = [T.StructField(f.name, T.StringType()) for f in schema.fields]
+    kept = T.StructType([*fields, T.StructField(BAD, T.StringType())])
+    rows = _csv(spark, kept, "PERMISSIVE", multiline).option("columnNameOfCorruptRecord", BAD)
+    # Spark refuses to read the bad record alone, so the other columns take part in the test.
+    others = F.hash(*[f.name for f in fields]) % 1 == 0
+    return rows.option("header", True).csv(path).filter(F.col(BAD).isNotNull() & others).select(F.col(BAD).alias("record"))
 
 
 def read_headerless(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).csv(path)
+    return _csv(spark, schema).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -78,12 +99,8 @@ def read_tagged_union(
     spark: SparkSession, paths: str | list[str], schema: T.StructType, tag: str
 ) -> DataFrame:
     """One read over many CSV files, each row tagged with the stem of its file."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .csv(paths)
-        .withColumn(tag, file_stem(F.col("_metadata.file_path")))
-    )
+    rows = _csv(spark, schema).option("header", True).csv(paths)
+    return rows.withColumn(tag, file_stem(F.col("_metadata.file_path")))
 
 
 def read_record_stream(
@@ -124,9 +141,17 @@ def embed_payload(meta: DataFrame, media: DataFrame, key: str) -> tuple[DataFram
     """(rows with `image` = struct(bytes, path), rows without a file).
 
     `media` is (`name`, `content`). Metadata rows are narrow, so they are the side to broadcast
-    when they fit; payloads are never collected.
+    when they fit; payloads are never collected. Names must be unique: one that two files have
+    ends the job, since either could be meant.
     """
     files = media.select(F.col("name").alias(key), "content")
+    names = files.groupBy(key).agg(F.count(F.lit(1)).alias("_files"))
+    twice = F.raise_error(F.concat(F.lit("several files named "), F.col(key)))
+    meta = (
+        meta.join(names, key, "left")
+        .filter(F.when(F.col("_files") > 1, twice.cast("boolean")).otherwise(F.lit(True)))
+        .drop("_files")
+    )
     embedded = meta.join(files, key).select(
         F.struct(F.col("content").alias("bytes"), F.col(key).alias("path")).alias("image"),
         *[c for c in meta.columns if c != key],

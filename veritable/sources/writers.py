@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,7 @@ from veritable.functions.hashing import order_hash
 from veritable.operators.canonical import conform
 from veritable.operators.ranking import global_index, hash_rank
 from veritable.operators.reports import label_share
+from veritable.session import settle
 
 
 def _manifest(spark: SparkSession, path: str, body: dict) -> None:
@@ -45,41 +47,57 @@ def write_split(df: DataFrame, folder: str, name: str, params: Mapping[str, obje
     return body
 
 
-def existing_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers of the shards already committed; none when the folder does not exist yet."""
+def written_rows(spark: SparkSession, folder: str, key: str, like: T.DataType) -> DataFrame:
+    """(key, `shard`) of the rows already committed; none when the folder does not exist yet."""
     try:
-        return spark.read.parquet(folder).select(F.col("shard").cast("int")).distinct()
+        return spark.read.parquet(folder).select(key, F.col("shard").cast("int"))
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], "shard int")
+        schema = T.StructType([T.StructField(key, like), T.StructField("shard", T.IntegerType())])
+        return spark.createDataFrame([], schema)
 
 
-def assign_shards(df: DataFrame, key: str, rows_per_shard: int, seed: int) -> DataFrame:
-    """Add `shard`: fixed-size slices of the seeded random order."""
-    return (
-        hash_rank(df, key, seed, name="_rank")
-        .withColumn("shard", F.floor(F.col("_rank") / F.lit(rows_per_shard)).cast("int"))
-        .drop("_rank")
-    )
+def free_numbers(written: DataFrame) -> tuple[list[int], int]:
+    """Shard numbers to use next: those missing among the committed ones, then from the last on."""
+    shards = written.select("shard").distinct()
+    last = shards.agg(F.max("shard")).first()[0]
+    if last is None:
+        return [], 0
+    every = written.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("shard"))
+    return sorted(r["shard"] for r in every.join(shards, "shard", "left_anti").collect()), last + 1
+
+
+def assign_shards(
+    df: DataFrame, key: str, rows_per_shard: int, seed: int, numbers: tuple[list[int], int] = ((), 0)
+) -> DataFrame:
+    """Add `shard`: fixed-size slices of the seeded random order, numbered as `free_numbers` says."""
+    missing, after = numbers
+    slice_ = F.floor(F.col("_rank") / F.lit(rows_per_shard)).cast("int")
+    number = slice_ + F.lit(after - len(missing))
+    if missing:
+        number = F.coalesce(F.get(F.array(*[F.lit(m) for m in missing]), slice_), number)
+    return hash_rank(df, key, seed, name="_rank").withColumn("shard", number.cast("int")).drop("_rank")
 
 
 def write_shards(df: DataFrame, folder: str, key: str, rows_per_shard: int, seed: int) -> DataFrame:
-    """Write each shard as one Parquet file in `shard=<i>`; shards already there are skipped.
+    """Write each shard as one Parquet file in `shard=<i>`, beside the shards already there.
 
-    Returns the shard sizes. The shard of a row depends on seed and keys only, so a restarted run
-    makes the same shards and completes the missing ones.
+    Returns the shard sizes. Rows whose key is in the folder are skipped, so a run that is repeated
+    adds nothing and a run over grown input adds what is new, under new shard numbers. A run that
+    fails before its job commits leaves nothing behind.
     """
-    return write_assigned(assign_shards(df, key, rows_per_shard, seed), folder, key, seed)
+    written = settle(written_rows(df.sparkSession, folder, key, df.schema[key].dataType), "written")
+    fresh = df.join(written.select(key), key, "left_anti")
+    return write_assigned(assign_shards(fresh, key, rows_per_shard, seed, free_numbers(written)), folder, key, seed)
 
 
 def write_assigned(df: DataFrame, folder: str, key: str, seed: int) -> DataFrame:
-    """Write rows that carry their `shard`. A shard goes into one task whole; it holds a fixed
-    number of rows by construction."""
+    """Write rows that carry their `shard`, of numbers that the folder does not hold. A shard goes
+    into one task whole; it holds a fixed number of rows by construction."""
     spark = df.sparkSession
     (
-        df.join(existing_shards(spark, folder), "shard", "left_anti")
-        .repartition("shard")
+        df.repartition("shard")
         .sortWithinPartitions("shard", order_hash(seed, key))
         .write.mode("append")
         .partitionBy("shard")
@@ -89,8 +107,13 @@ def write_assigned(df: DataFrame, folder: str, key: str, seed: int) -> DataFrame
 
 
 def append_metadata(df: DataFrame, path: str, schema: T.StructType) -> None:
-    """Append rows in the fixed schema; the commit protocol keeps concurrent writers apart."""
-    df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("append").parquet(path)
+    """Append rows in the fixed schema.
+
+    Each call writes a folder `run=<id>` of its own: writers into one folder would share its
+    temporary files, and the first to commit would remove those of the others.
+    """
+    rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    rows.write.parquet(f"{path}/run={uuid.uuid4().hex}")
 
 
 def pending_batches(
@@ -159,8 +182,3 @@ def write_layout(layout: DataFrame, folder: str, key: str) -> None:
 
 def layout_shares(layout: DataFrame) -> DataFrame:
     return label_share(layout, ["config", "split"])
-
-
-def check_image_column(c: Column) -> Column:
-    """Raise on rows whose path is not absolute (the release check before publishing)."""
-    return F.assert_true(c.startswith("/"), F.concat(F.lit("not absolute: "), c))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.operators.ranges import with_range
+from veritable.session import settle
 
 
 class TooManyFailures(RuntimeError):
@@ -23,9 +24,8 @@ def failure_runs(df: DataFrame, failed: Column, order: Sequence[str], groups: Se
     """
     order, groups = list(order), list(groups)
     at = F.struct(*order)
-    slim = with_range(df, order, "_range").select(
-        *groups, "_range", at.alias("_at"), F.coalesce(failed, F.lit(True)).alias("_bad")
-    )
+    slim = df.select(*groups, *order, F.coalesce(failed, F.lit(True)).alias("_bad"))
+    slim = with_range(settle(slim, "outcomes"), order, "_range").select(*groups, "_range", at.alias("_at"), "_bad")
     success = F.when(~F.col("_bad"), F.col("_at"))
     line = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -52,9 +52,30 @@ def failure_runs(df: DataFrame, failed: Column, order: Sequence[str], groups: Se
     )
 
 
-def check_failures(df: DataFrame, failed: Column, order: Sequence[str], limit: int = 100) -> int:
-    """Length of the longest run; raises when it reaches the limit."""
-    longest = failure_runs(df, failed, order).agg(F.max("length").alias("n")).first()["n"] or 0
+def check_failures(
+    df: DataFrame, failed: Column, order: Sequence[str], limit: int = 100, carried: int = 0
+) -> int:
+    """Length of the run that is still open at the end; raises when a run reaches the limit.
+
+    `carried` failures came directly before the first row.
+    """
+    at = F.struct(*order)
+    ends = df.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).first()
+    if not ends["n"]:
+        return carried
+    runs = failure_runs(df, failed, order)
+    # Lengths of the run at the start, the run at the end, and the longest of all.
+    found = runs.agg(
+        F.max(F.when(F.struct(*[F.col(f"first.{c}") for c in order]) == _literal(ends["first"], df, order), F.col("length"))).alias("head"),
+        F.max(F.when(F.struct(*[F.col(f"last.{c}") for c in order]) == _literal(ends["last"], df, order), F.col("length"))).alias("tail"),
+        F.max("length").alias("longest"),
+    ).first()
+    head, tail = found["head"] or 0, found["tail"] or 0
+    longest = max(found["longest"] or 0, head + carried if head else 0)
     if longest >= limit:
         raise TooManyFailures(f"{longest} consecutive failures, limit {limit}")
-    return longest
+    return carried + tail if tail == ends["n"] else tail
+
+
+def _literal(row, df: DataFrame, order: Sequence[str]) -> Column:
+    return F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order])

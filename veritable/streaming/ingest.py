@@ -137,10 +137,19 @@ def guarded_stream(
     limit: int = 100,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Write good records, skip bad ones, end the query on `limit` consecutive bad ones."""
+    """Write good records, skip bad ones, end the query on `limit` consecutive bad ones.
+
+    Batches follow one another in `order`. The run that is open at the end of a batch is kept in
+    `<sink>-runs`, one row per batch, so a run counts on whole over the borders of batches.
+    """
+    states = f"{sink}-runs"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        check_failures(batch, failed, order, limit)
-        write_batch(batch.filter(~failed), sink, batch_id)
+        spark = batch.sparkSession
+        empty = spark.range(1).select(F.lit(0).cast("long").alias("open"))
+        before = read_sink(empty, states).filter(F.col("batch_id") == batch_id - 1).agg(F.max("open")).first()[0]
+        open_ = check_failures(batch, failed, order, limit, before or 0)
+        write_batch(batch.filter(~F.coalesce(failed, F.lit(True))), sink, batch_id)
+        write_batch(empty.select(F.lit(open_).cast("long").alias("open")), states, batch_id)
 
     return _start(stream, checkpoint, handle, available_now)
