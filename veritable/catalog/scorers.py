@@ -85,8 +85,8 @@ def sweep(spark, d):
 
 @query("""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)
-SELECT vec_id, i AS place, round(1 / (1 + exp(-e[i])), 9) AS one,
-       round(1 / (1 + exp(-(e[i % len(e) + 1] - e[i]))), 9) AS two FROM v""")
+SELECT vec_id, i AS place, round(1 / (1 + exp(-e[i])), 6) AS one,
+       round(1 / (1 + exp(-(e[i % len(e) + 1] - e[i]))), 6) AS two FROM v""")
 def logit_probabilities(spark, d):
     """Each component as a single logit, and with the component after it as a pair."""
     vector = F.col("embedding").cast("array<double>")
@@ -96,8 +96,8 @@ def logit_probabilities(spark, d):
     return placed.select(
         "vec_id",
         (F.col("place") + 1).cast("bigint").alias("place"),
-        F.round(fake_probability(F.array("p.a")), PROB_DIGITS).alias("one"),
-        F.round(fake_probability(F.array("p.a", "p.b")), PROB_DIGITS).alias("two"),
+        F.round(fake_probability(F.array("p.a")), 6).alias("one"),
+        F.round(fake_probability(F.array("p.a", "p.b")), 6).alias("two"),
     )
 
 
