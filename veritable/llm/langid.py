@@ -41,6 +41,16 @@ def cells(codes: np.ndarray, length: int) -> np.ndarray:
     return (mixed & np.uint64(BUCKETS - 1)).astype(np.int32)
 
 
+def text_cells(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Cell of the n-gram at each place of joined texts; BUCKETS where it would leave its text."""
+    found = np.full(len(codes), BUCKETS, dtype=np.int32)
+    whole = cells(codes, length)
+    found[: len(whole)] = whole
+    for back in range(1, length):
+        found[np.maximum(starts[1:] - back, 0)] = BUCKETS
+    return found
+
+
 def packed(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, code points, starts) of groups of texts, each text between two spaces."""
     at = 0
@@ -78,9 +88,9 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 own = [t for t, x in zip(texts, langs, strict=True) if x == lang and has_letter(t)]
                 seen[lang] = seen.get(lang, 0) + len(own)
                 sums = found.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for _, codes, _ in packed(own):
+                for _, codes, starts in packed(own):
                     for length in LENGTHS:
-                        sums += np.bincount(cells(codes, length), minlength=BUCKETS)
+                        sums += np.bincount(text_cells(codes, starts, length), minlength=BUCKETS + 1)[:BUCKETS]
         for lang, sums in found.items():
             at = np.flatnonzero(sums)
             # Cell -1 holds the number of texts.
@@ -120,7 +130,8 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def score_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    langs, matrix = model["langs"], model["matrix"]
+    langs = model["langs"]
+    matrix = np.vstack([model["matrix"], np.zeros((1, len(langs)), dtype=np.float32)])
     totals = np.tile(model["prior"], (len(texts), 1))
     known = np.array([bool(langs) and has_letter(t) for t in texts], dtype=bool)
     for first, codes, starts in packed([t or "" for t in texts]):
@@ -128,11 +139,8 @@ def score_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.nda
         if not langs:
             break
         for length in LENGTHS:
-            # The grams that start in a text but end in the next one hold the spaces between them.
-            found = matrix[cells(codes, length)]
-            at = np.minimum(starts[:-1], len(found) - 1) if len(found) else starts[:-1]
-            if len(found):
-                totals[first:last] += np.add.reduceat(found, at, axis=0, dtype=np.float64)
+            found = matrix[text_cells(codes, starts, length)]
+            totals[first:last] += np.add.reduceat(found, starts[:-1], axis=0, dtype=np.float64)
     if not langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     best = totals.argmax(axis=1)
