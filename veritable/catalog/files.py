@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritable.catalog.base import predictions, query, table
-from veritable.operators import filters, reports, sampling, scoring
+from veritable.operators import canonical, filters, reports, sampling, scoring
 from veritable.session import fresh_path
 from veritable.sources import readers, writers
 
@@ -188,3 +188,37 @@ def on_error_skip(spark, d):
 @query(SCORED.format(else_="ELSE 1", where=""))
 def on_error_blank(spark, d):
     return _policy(spark, d, "blank")
+
+
+@query("""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url
+                     ELSE '/img/pages/train/' || lpad(CAST(row_number() OVER (ORDER BY page_id) - 1 AS VARCHAR), 9, '0') || '.jpg' END AS file_name,
+       CASE WHEN page_id % 2 = 0 THEN 'fake' ELSE 'real' END AS label FROM pages""")
+def canonical_payloads(spark, d):
+    """Rows with an image get a path by their index, rows without keep theirs; the label stands in a
+    number that is null for some rows and in a word for those."""
+    page = F.col("page_id")
+    rows = table(spark, d, "pages").select(
+        page,
+        F.when(page % 3 != 0, F.encode("html", "UTF-8")).alias("image"),
+        F.when(page % 3 == 0, F.col("url")).alias("path"),
+        F.when(page % 4 < 2, (page % 2 == 0).cast("int")).alias("label"),
+        F.when(page % 2 == 0, "Synthetic ").otherwise("photo").alias("class"),
+        page.cast("string").alias("prompt"),
+    )
+    made = canonical.canonicalize(rows, "pages", image_folder="/img/pages/train", order=["page_id"])
+    return made.select(F.col("prompt").cast("long").alias("page_id"), "file_name", "label")
+
+
+@query("""
+WITH s AS (SELECT 'label' AS level, l_returnflag AS value, count(*) AS rows FROM lineitem GROUP BY 2
+           UNION ALL SELECT 'model', l_linestatus || CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 2
+           UNION ALL SELECT 'total', '', count(*) FROM lineitem)
+SELECT level, value, rows, CAST(row_number() OVER (
+    ORDER BY CASE level WHEN 'total' THEN 0 WHEN 'label' THEN 1 ELSE 2 END, CASE level WHEN 'model' THEN -rows ELSE 0 END, value) AS INTEGER) AS place
+FROM s""")
+def summary_in_order(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("label"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("model")
+    )
+    return reports.in_report_order(reports.split_summary(rows))

@@ -9,11 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritable.functions.hashing import as_column
 from veritable.functions.labels import FAKE_WORDS, label_to_int, normalize_label
 from veritable.functions.media import (
     archive_key,
-    archive_shard,
     asset_url,
     extension_of,
     file_stem,
@@ -36,6 +34,10 @@ ALIASES = {
 }
 
 
+# Names of columns that hold an image.
+IMAGE_ALIASES = ("image", "img", "jpg", "png")
+
+
 def first_present(df: DataFrame, aliases: Sequence[str], default: str | None = None) -> Column:
     """First alias that is a column of `df` and not null in the row; `""` counts as present."""
     found = [F.col(a).cast("string") for a in aliases if a in df.columns]
@@ -53,12 +55,24 @@ def canonicalize(
     config: str,
     aliases: Mapping[str, Sequence[str]] = ALIASES,
     vocabulary: Sequence[str] = FAKE_WORDS,
+    image_folder: str | None = None,
+    order: Sequence[str] = (),
 ) -> DataFrame:
     """The six text columns. A table without a path or label column is an error, and so is a row
-    in which both are empty (raised while the rows are read)."""
-    for need in ("file_name", "label"):
-        if not any(a in df.columns for a in aliases[need]):
-            raise ValueError(f"no {need} column; found {', '.join(sorted(df.columns))}")
+    in which both are empty (raised while the rows are read).
+
+    Rows that carry an image instead of a path get the path `<image_folder>/<index>.jpg`, where the
+    index counts all rows in `order` (which must identify rows) and has nine digits.
+    """
+    images = [a for a in IMAGE_ALIASES if a in df.columns]
+    if images and image_folder is not None:
+        if not order:
+            raise ValueError("rows with images need an order")
+        df = global_index(df, order, "_index")
+    elif not any(a in df.columns for a in aliases["file_name"]):
+        raise ValueError(f"no file_name column; found {', '.join(sorted(df.columns))}")
+    if not any(a in df.columns for a in aliases["label"]):
+        raise ValueError(f"no label column; found {', '.join(sorted(df.columns))}")
     raw = first_present(df, aliases["label"], "")
 
     def label_of(alias: str) -> Column:
@@ -73,6 +87,9 @@ def canonicalize(
         return F.when(value != "", value).otherwise(F.raise_error(F.lit(f"row without {what}")))
 
     path = first_present(df, aliases["file_name"], "")
+    if images and image_folder is not None:
+        name = F.concat(F.lit(f"{image_folder}/"), F.lpad(F.col("_index").cast("string"), 9, "0"), F.lit(".jpg"))
+        path = F.when(F.coalesce(*[F.col(a) for a in images]).isNotNull(), name).otherwise(path)
     return df.select(
         required(path, "path").alias("file_name"),
         first_present(df, aliases["prompt"], "").alias("prompt"),
@@ -266,7 +283,3 @@ def post_records(
     return rows.join(labels, "subreddit").select(
         "filename", "label", "subreddit", "post_date", "reddit_id", F.lit(False).alias("packaged")
     )
-
-
-def archive_of(path: Column | str) -> Column:
-    return archive_shard(as_column(path))

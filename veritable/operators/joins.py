@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.hashing import as_column
 from veritable.functions.media import archive_shard, parse_staged_name, safe_id
 from veritable.operators.canonical import first_present
 from veritable.operators.ranking import head_rows, top_per_group
@@ -74,6 +73,11 @@ def distinct_sorted_list(df: DataFrame, key: str, value: str, name: str = "items
     return unique.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(name))
 
 
+# Openings of the context and of the generator's message, by tier.
+CONTEXT = ("Image description: ", "Scene relationships: ", "Objects in the image: ", "Object to replace: ")
+LEAD = ("This photo is described as: ", "This photo shows: ", "This photo contains: ", "A photo contains a ")
+
+
 def best_context(
     segments: DataFrame, narratives: DataFrame, relationships: DataFrame, scene: DataFrame
 ) -> DataFrame:
@@ -82,7 +86,7 @@ def best_context(
     First available of caption, relationship list, object list, class name. The three sides have
     one row per image: (`ImageID`, `caption`), (`ImageID`, `relations`), (`ImageID`, `objects`).
     """
-    target = F.concat(F.lit("\nObject to replace: "), F.coalesce("ClassName", F.lit("nan")))
+    target = F.concat(F.lit("\n" + CONTEXT[3]), F.coalesce("ClassName", F.lit("nan")))
     name = F.coalesce("ClassName", F.lit("nan"))
     relations, objects = F.array_join("relations", "; "), F.array_join("objects", ", ")
     has = [F.col(c).isNotNull() for c in ("caption", "relations", "objects")]
@@ -99,16 +103,16 @@ def best_context(
             {
                 "tier": choose(F.lit(1), F.lit(2), F.lit(3), F.lit(4)),
                 "context": choose(
-                    F.concat(F.lit("Image description: "), quoted, target),
-                    F.concat(F.lit("Scene relationships: "), relations, target),
-                    F.concat(F.lit("Objects in the image: "), objects, target),
-                    F.concat(F.lit("Object to replace: "), name),
+                    F.concat(F.lit(CONTEXT[0]), quoted, target),
+                    F.concat(F.lit(CONTEXT[1]), relations, target),
+                    F.concat(F.lit(CONTEXT[2]), objects, target),
+                    F.concat(F.lit(CONTEXT[3]), name),
                 ),
                 "lead": choose(
-                    F.concat(F.lit("This photo is described as: "), quoted),
-                    F.concat(F.lit("This photo shows: "), relations),
-                    F.concat(F.lit("This photo contains: "), objects),
-                    F.concat(F.lit("A photo contains a "), name),
+                    F.concat(F.lit(LEAD[0]), quoted),
+                    F.concat(F.lit(LEAD[1]), relations),
+                    F.concat(F.lit(LEAD[2]), objects),
+                    F.concat(F.lit(LEAD[3]), name),
                 ),
             }
         )

@@ -30,6 +30,16 @@ def split_summary(df: DataFrame, label: str = "label", model: str = "model") ->
     )
 
 
+def in_report_order(summary: DataFrame) -> DataFrame:
+    """`split_summary` with `place`: the total, labels by name, then models, the most frequent first.
+
+    The window runs over one row per label and model.
+    """
+    level = F.when(F.col("level") == "total", 0).when(F.col("level") == "label", 1).otherwise(2)
+    rows = F.when(F.col("level") == "model", -F.col("rows")).otherwise(F.lit(0))
+    return summary.withColumn("place", F.row_number().over(Window.orderBy(level, rows, "value")))
+
+
 def label_share(df: DataFrame, keys: Sequence[str] = (), label: str = "label") -> DataFrame:
     """n, fake and real counts with percentages; everything not `fake` counts as real."""
     fake = F.count_if(F.col(label) == "fake")
@@ -171,13 +181,6 @@ def infer_source_type(matched: DataFrame, model: str = "model") -> DataFrame:
     return matched.join(kinds, model)
 
 
-def source_type_counts(matched: DataFrame, model: str = "model") -> DataFrame:
-    return matched.groupBy(model).agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "type",
-        F.when(F.col("rows") >= 8000, "Base").when(F.col("rows") >= 4000, "Fine-tune").otherwise("LoRA"),
-    )
-
-
 def dropped_report(dropped: DataFrame, k: int = 20, model: str = "model", match: str = "match") -> DataFrame:
     """The k most frequent dropped models with the name they resemble."""
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from veritable.functions.naming import Rule, family_of
 from veritable.operators.joins import detector_test_matrix
-from veritable.operators.metrics import source_rate, split_report, weighted_mean
+from veritable.operators.metrics import source_rate, weighted_mean
 from veritable.operators.reports import best_per_column
 
 
@@ -20,10 +20,6 @@ def source_table(
     return source_rate(named, ["detector", "family"], real_sources)
 
 
-def summary_rows(metrics: DataFrame, real_sources: Sequence[str]) -> DataFrame:
-    return split_report(metrics, ["detector", "split"], real_sources)
-
-
 def benchmark_table(
     metrics: DataFrame,
     tests: Sequence[str],
