@@ -18,6 +18,7 @@ from veritable.operators.sampling import (
     three_way_holdout,
     trim_largest,
 )
+from veritable.session import settle
 
 
 @dataclass(frozen=True)
@@ -39,13 +40,15 @@ def build_splits(
 
     `real_first` and `real_second` are the pools of outside real rows for the held-out test, in
     the columns of `samples`. How many of them there are bounds the held-out fake rows, which
-    is worked out before anything is drawn.
+    is worked out before anything is drawn. Metadata rows are narrow, so each input is read once and
+    written with its bucket; quotas, cuts and reports read those tables.
     """
-    tagged = three_way_holdout(samples, plan.held, plan.families)
+    tagged = settle(three_way_holdout(samples, plan.held, plan.families), "tagged")
+    real_first, real_second = settle(real_first, "real"), settle(real_second, "real")
     pool = tagged.filter(F.col("bucket") == "pool").drop("match", "bucket")
     dropped = dropped_report(tagged.filter(F.col("bucket") == "dropped"), plan.report_rows)
 
-    split = holdout_per_group(pool, plan.key, plan.min_pool, plan.per_group, plan.seed)
+    split = settle(holdout_per_group(pool, plan.key, plan.min_pool, plan.per_group, plan.seed), "split")
     train = balance_by_source(
         split.filter(F.col("split") == "train").drop("split"), plan.balance_source, plan.key, plan.seed
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -44,11 +46,14 @@ def local_session(cores: int | str = 8, app: str = "veritable") -> SparkSession:
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="veritable-")
+    folder = tempfile.mkdtemp(prefix="veritable-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only when none is named."""
+    """The shared folder named by the session; in local mode, where none is named, a temporary one
+    that goes with the process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
