@@ -40,7 +40,7 @@ def corpus(seed, scale=1):
     return rows
 
 
-@pytest.mark.parametrize(("window", "hot"), [(35, 2000), (35, 4), (5, 2000)])
+@pytest.mark.parametrize(("window", "hot"), [(35, 20_000), (35, 4), (5, 20_000)])
 def test_words(spark, monkeypatch, window, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
     rows = corpus(window + hot)
@@ -67,6 +67,7 @@ def test_minima():
 @pytest.mark.parametrize(("window", "hot", "batches"), [(200, 2000, 4), (200, 4, 3), (60, 2000, 7), (20, 2000, 1)])
 def test_bytes(spark, monkeypatch, window, hot, batches):
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 700)
     rows = corpus(window + hot, 2)
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string").repartition(4)
     out = suffix_array.remove_repeats(df, window, batches=batches).collect()

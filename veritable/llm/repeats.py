@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from veritable.llm.common import Rolling, Words, by_bytes, leftmost_minima, settle, text_key
 
 #: Seeds that occur more often are compared by counting window hashes instead of in one task.
-HOT = 2_000
-GROUP_BYTES = 1 << 20
+HOT = 20_000
+#: Bytes of text that are worked on at once; longer texts are cut into pieces where symbols are bytes.
+GROUP_BYTES = 1 << 18
 
 
 def encoded(texts: list[str | None]) -> list[bytes]:
@@ -58,12 +59,24 @@ class Sequences:
         self.offset = self.first[self.text]
 
 
-def grouped(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of groups of rows with a bounded number of bytes."""
-    at = 0
-    for group in by_bytes(encoded(batch.column(column).to_pylist()), lambda t: len(t) + 1, GROUP_BYTES):
-        yield at, group
-        at += len(group)
+def grouped(batch: pa.RecordBatch, by_word: bool, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(rows, symbols before, pieces) of groups of texts with a bounded number of bytes.
+
+    A long text of bytes is cut into pieces that overlap by less than a window, so that each of its
+    windows lies in one piece; `symbols before` tells where a piece starts in its text.
+    """
+
+    def pieces():
+        for row, text in enumerate(encoded(batch.column("text").to_pylist())):
+            if by_word or len(text) <= GROUP_BYTES:
+                yield row, 0, text
+            else:
+                for start in range(0, len(text), GROUP_BYTES):
+                    yield row, start, text[start : start + GROUP_BYTES + window - 1]
+
+    for group in by_bytes(pieces(), lambda p: len(p[2]) + 1, GROUP_BYTES):
+        rows, before, texts = zip(*group, strict=True)
+        yield np.array(rows), np.array(before), list(texts)
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -77,13 +90,13 @@ def seeds(rows: DataFrame, by_word: bool, seed: int, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at, texts in grouped(batch, 1):
+            for row, before, texts in grouped(batch, by_word, window):
                 found = Sequences(texts, by_word, seed, window)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(found.seeds[found.place].astype(np.int64)),
-                        batch.column(0).take(pa.array(found.text + at)),
-                        pa.array((found.place - found.offset).astype(np.int32)),
+                        batch.column(0).take(pa.array(row[found.text])),
+                        pa.array((found.place - found.offset + before[found.text]).astype(np.int32)),
                     ],
                     ["seed", "text_key", "place"],
                 )
@@ -110,42 +123,72 @@ def places(found: DataFrame, repeated: DataFrame) -> DataFrame:
 def candidates(
     rows: DataFrame, where: DataFrame, by_word: bool, seed: int, window: int, content: Callable[[Sequences, int], bytes]
 ) -> DataFrame:
-    """(seed, text_key, start, windows, behind, content, hashes) of each repeated seed's windows.
+    """(text_key, seed, start, windows, behind, content, hot) of the windows of repeated seeds.
 
-    `windows` windows start at `start` and later, with the seed `behind` symbols after the first
-    start. Cold places carry `content`, hot ones the windows' hashes.
+    A cold place is a row: `windows` windows start at `start` and later, with the seed `behind`
+    symbols after the first start. The hot places of a text are one row: `hot` holds each different
+    window once, and `sure` the starts of those that the text holds more than once.
     """
     texts = rows.select("text_key", "text").dropDuplicates(["text_key"]).join(where, "text_key")
+    entry = pa.struct([("seed", pa.int64()), ("window", pa.int64()), ("place", pa.int32())])
+
+    def hot_row(found: Sequences, use: np.ndarray, shift: np.ndarray) -> tuple[list[dict], list[int]]:
+        which = np.repeat(use, found.count[use])
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(found.count[use]) - found.count[use], found.count[use])
+        starts = found.start[which] + inside
+        seeds_ = found.seeds[found.place[which]].astype(np.int64)
+        hashes = found.rolling(starts, starts + window).astype(np.int64)
+        places_ = starts - found.offset[which] + shift[found.text[which]]
+        order = np.lexsort((places_, hashes, seeds_))
+        same = (hashes[order][1:] == hashes[order][:-1]) & (seeds_[order][1:] == seeds_[order][:-1])
+        first = np.concatenate([[True], ~same])
+        more = np.concatenate([same, [False]]) | ~first
+        kept = order[first]
+        entries = [
+            {"seed": a, "window": b, "place": c}
+            for a, b, c in zip(seeds_[kept].tolist(), hashes[kept].tolist(), places_[kept].tolist(), strict=True)
+        ]
+        return entries, np.sort(places_[order[more]]).tolist()
 
     def run(batches):
         for batch in batches:
-            cold, hot = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for at, texts in grouped(batch, 1):
+            cold, hot = batch.column("cold").to_pylist(), batch.column("hot").to_pylist()
+            for row, before, texts in grouped(batch, by_word, window):
                 found = Sequences(texts, by_word, seed, window)
-                wanted = [
-                    np.concatenate([np.asarray(p[at + i], dtype=np.int64) + found.first[i] for i in range(len(texts))])
-                    for p in (cold, hot)
-                ]
-                is_hot = np.isin(found.place, wanted[1])
-                use = np.flatnonzero(is_hot | np.isin(found.place, wanted[0]))
-                hashes = []
-                for i in use:
-                    starts = np.arange(found.start[i], found.start[i] + found.count[i]) if is_hot[i] else None
-                    hashes.append(None if starts is None else found.rolling(starts, starts + window).astype(np.int64))
+                marks = []
+                for listed in (cold, hot):
+                    at = [np.asarray(listed[r], dtype=np.int64) - b for r, b in zip(row, before, strict=True)]
+                    ends = np.diff(found.first)
+                    wanted = [p[(p >= 0) & (p < n)] + f for p, n, f in zip(at, ends, found.first, strict=False)]
+                    marks.append(np.isin(found.place, np.concatenate(wanted)))
+                use = np.flatnonzero(marks[0])
+                n = len(use)
+                by_text = [np.flatnonzero(marks[1] & (found.text == t)) for t in np.unique(found.text[marks[1]])]
+                pairs = [hot_row(found, own, before) for own in by_text]
+                keys = np.concatenate([row[found.text[use]], [row[found.text[own[0]]] for own in by_text]]).astype(np.int64)
+
+                def padded(values: np.ndarray, kind: pa.DataType, more: int = len(by_text)) -> pa.Array:
+                    return pa.concat_arrays([pa.array(values, kind), pa.nulls(more, kind)])
+
+                place = found.place[use]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(found.seeds[found.place[use]].astype(np.int64)),
-                        batch.column(0).take(pa.array(found.text[use] + at)),
-                        pa.array((found.start[use] - found.offset[use]).astype(np.int32)),
-                        pa.array(found.count[use].astype(np.int32)),
-                        pa.array((found.place[use] - found.start[use]).astype(np.int32)),
-                        pa.array([None if is_hot[i] else content(found, i) for i in use], pa.binary()),
-                        pa.array(hashes, pa.list_(pa.int64())),
+                        batch.column(0).take(pa.array(keys)),
+                        padded(found.seeds[place].astype(np.int64), pa.int64()),
+                        padded((found.start[use] - found.offset[use] + before[found.text[use]]).astype(np.int32), pa.int32()),
+                        padded(found.count[use].astype(np.int32), pa.int32()),
+                        padded((place - found.start[use]).astype(np.int32), pa.int32()),
+                        padded([content(found, i) for i in use], pa.binary()),
+                        pa.concat_arrays([pa.nulls(n, pa.list_(entry)), pa.array([p[0] for p in pairs], pa.list_(entry))]),
+                        pa.concat_arrays([pa.nulls(n, pa.list_(pa.int32())), pa.array([p[1] for p in pairs], pa.list_(pa.int32()))]),
                     ],
-                    ["seed", "text_key", "start", "windows", "behind", "content", "hashes"],
+                    ["text_key", "seed", "start", "windows", "behind", "content", "hot", "sure"],
                 )
 
-    kind = "seed long, text_key binary, start int, windows int, behind int, content binary, hashes array<long>"
+    kind = (
+        "text_key binary, seed long, start int, windows int, behind int, content binary, "
+        "hot array<struct<seed: long, window: long, place: int>>, sure array<int>"
+    )
     return texts.select("text_key", "text", "cold", "hot").mapInArrow(run, kind)
 
 
@@ -194,23 +237,38 @@ def spans(found: DataFrame, window: int, repeated: Callable[[pa.Table], list[np.
 
     cold = (
         found.filter("content IS NOT NULL")
-        .drop("hashes")
+        .drop("hot", "sure")
         .repartition("seed")
         .sortWithinPartitions("seed")
         .mapInArrow(run, "text_key binary, first int, after int")
     )
-    hot = found.filter("hashes IS NOT NULL").select("seed", "text_key", "start", F.posexplode("hashes").alias("at", "window"))
-    hot = hot.withColumn("place", F.col("start") + F.col("at"))
+    hot = found.filter("hot IS NOT NULL")
+    listed = hot.select("text_key", F.explode("hot").alias("h")).select("text_key", "h.*")
     twice = (
-        hot.groupBy("seed", "window")
+        listed.groupBy("seed", "window")
         .agg(F.min(occurrence()).alias("low"), F.max(occurrence()).alias("high"))
         .filter("low <> high")
         .select("seed", "window")
     )
-    flagged = hot.join(settle(twice, "windows"), ["seed", "window"]).select(
-        "text_key", F.col("place").alias("first"), (F.col("place") + window).cast("int").alias("after")
-    )
-    return settle(cold, "spans").union(flagged).groupBy("text_key").agg(F.collect_list(F.struct("first", "after")).alias("spans"))
+    shared = listed.join(settle(twice, "windows"), ["seed", "window"]).select("text_key", "place")
+    # Starts go back to their texts as lists and become runs there.
+    starts = shared.groupBy("text_key").agg(F.collect_list("place").alias("starts"))
+    starts = starts.union(hot.filter("size(sure) > 0").select("text_key", "sure"))
+
+    def join_up(batches):
+        for batch in batches:
+            cuts = []
+            for own in batch.column(1).to_pylist():
+                own = np.unique(np.asarray(own, dtype=np.int64))
+                new = np.flatnonzero(np.diff(own, prepend=-2) > 1)
+                last = np.append(new[1:], len(own)) - 1
+                cuts.append([{"first": int(a), "after": int(b) + window} for a, b in zip(own[new], own[last], strict=True)])
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, kind)], ["text_key", "cuts"])
+
+    flagged = starts.mapInArrow(join_up, "text_key binary, cuts array<struct<first: int, after: int>>")
+    single = settle(cold, "spans").select("text_key", F.array(F.struct("first", "after")).alias("cuts"))
+    return single.union(flagged).groupBy("text_key").agg(F.flatten(F.collect_list("cuts")).alias("spans"))
 
 
 def covered(length: int, spans_: list, all_of_it: bool) -> np.ndarray:
