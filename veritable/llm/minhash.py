@@ -8,9 +8,10 @@ errors) are dropped, all others are confirmed on their full sets.
 
 Components need no pair of a large group twice. Texts of equal sets are one class. In each bucket
 every class is first tried against the bucket's smallest class. Pairs within a component found so
-far need no test; buckets that hold several components are then searched for pairs between these:
-first each class's best-rated partner, then all that are left. Large buckets are searched in pairs
-of blocks, and only pairs that pass the rating are written.
+far need no test. In a bucket that still holds several components, the classes outside its largest
+one are compared with all others, in blocks: pairs that pass the rating are confirmed there, best
+rated first and as long as their components are apart, so a task writes fewer links than it has
+rows. A pair that meets in several buckets is compared in the smallest.
 
 A pair at the wanted similarity of 0.8 shares no band with probability 5e-8.
 
@@ -163,31 +164,76 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _across(least: float, best_only: bool):
-    """Pairs of a bucket's block pair that lie in different components and pass the rating."""
+def _across(least: float, percent: int):
+    """Confirmed links between components, of a bucket's outer classes and one block of all."""
 
     def run(key, table):
-        left, right = key[1].as_py(), key[2].as_py()
-        classes, roots, block = (table[c].to_numpy() for c in ("class", "root", "block"))
+        bucket = key[0].as_py()
+        classes, roots = table["class"].to_numpy(), table["root"].to_numpy()
+        outer = table["outer"].to_numpy(zero_copy_only=False)
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(classes), -1)
-        differing = np.zeros((len(classes), len(classes)), dtype=np.int32)
+        x, y = np.flatnonzero(outer), np.flatnonzero(~outer)
+        differing = np.zeros((len(x), len(y)), dtype=np.int32)
         for i in range(sketches.shape[1]):
-            differing += np.bitwise_count(sketches[:, None, i] ^ sketches[None, :, i])
-        rated = np.where(roots[:, None] != roots[None, :], rate(differing), -1.0)
-        if left != right:
-            rated[block[:, None] == block[None, :]] = -1.0
-        if best_only:
-            a, b = np.arange(len(classes)), rated.argmax(axis=1)
-            fit = rated[a, b] >= least
-            a, b = a[fit], b[fit]
-        else:
-            a, b = np.nonzero(np.triu(rated >= least))
-        x, y = classes[a], classes[b]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            differing += np.bitwise_count(sketches[x, None, i] ^ sketches[None, y, i])
+        rated = np.where(roots[x, None] != roots[None, y], rate(differing), -1.0)
+        one, two = np.nonzero(rated >= least)
+        if not len(one):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        order = np.argsort(-rated[one, two], kind="stable")
+        one, two = x[one[order]], y[two[order]]
+        bands = np.array(table["bands"].to_pylist(), dtype=np.int64)
+        sets = [np.frombuffer(b, np.uint64) for b in table["set"].to_pylist()]
+        joined: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in joined:
+                root = joined[root]
+            return root
+
+        links = []
+        for i, j in zip(one.tolist(), two.tolist(), strict=True):
+            r, t = top(int(roots[i])), top(int(roots[j]))
+            if r == t or bands[i][bands[i] == bands[j]].min() != bucket:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                joined[r] = t
+                links.append((int(classes[i]), int(classes[j])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return run
 
 
+def _open_cells(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, dealt to cells (outer block, block)."""
+    placed = members.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
+    counts = placed.groupBy("bucket", "root").count()
+    shape = counts.groupBy("bucket").agg(
+        F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("held"), F.count("*").alias("kinds")
+    )
+    open_ = placed.join(shape.filter("kinds > 1"), "bucket").select("bucket", "class", "root", "size", "main", "held")
+    blocks, outer_blocks = F.ceil(F.col("size") / BLOCK), F.ceil((F.col("size") - F.col("held")) / BLOCK)
+    spread = F.xxhash64("class")
+    all_ = open_.select(
+        "bucket",
+        F.explode(F.sequence(F.lit(0), (outer_blocks - 1).cast("int"))).alias("i"),
+        F.pmod(spread, blocks).cast("int").alias("j"),
+        F.lit(False).alias("outer"),
+        "class",
+        "root",
+    )
+    outer = open_.filter("root <> main").select(
+        "bucket",
+        F.pmod(spread, outer_blocks).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("j"),
+        F.lit(True).alias("outer"),
+        "class",
+        "root",
+    )
+    return all_.union(outer)
+
+
 def group(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, text_key, n_shingles, component_id, kept and `group`, a number for the component
     (null without words)."""
@@ -223,23 +269,13 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "
     tried = settle(_rated(stars, classes, least), "tried")
     links = confirm(tried)
     roots = components(links)
-    for best_only in (True, False):
-        placed = members.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-        split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        open_ = settle(placed.join(split, "bucket").select("bucket", "class", "root", "size"), "open")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = (
-            open_.join(classes.select("class", "sketch"), "class")
-            .withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            .select("bucket", F.least("block", "other").alias("l"), F.greatest("block", "other").alias("r"), "block", "class", "root", "sketch")
-        )
-        found = dealt.groupBy("bucket", "l", "r").applyInArrow(_across(least, best_only), "a long, b long").distinct()
-        new = settle(found.join(tried, ["a", "b"], "left_anti"), "across")
-        if new.isEmpty():
-            break
-        tried, links = tried.union(new), links.union(confirm(new))
-        roots = components(links)
+    cells = settle(_open_cells(members, roots), "cells")
+    if not cells.isEmpty():
+        sets = settle(_sets_of(rows, classes, cells.select("class").distinct(), width), "sets")
+        known = classes.select("class", "sketch", "bands").join(sets, "class")
+        across = cells.join(known, "class").select("bucket", "i", "j", "outer", "class", "root", "sketch", "bands", "set")
+        found = across.groupBy("bucket", "i", "j").applyInArrow(_across(least, percent), "a long, b long")
+        roots = components(links.union(settle(found, "across")))
 
     placed = classes.join(roots, F.col("class") == F.col("node"), "left").select(
         "one", "two", "first", F.coalesce("root", "class").alias("root")
