@@ -36,7 +36,7 @@ SAMPLES = 32
 DIGITS = 8  # hex digits of a sample
 EMPTY = "empty"
 #: Rows of a range in `with_next`.
-RANGE_ROWS = 2_000
+RANGE_ROWS = 500
 
 
 def _sample(k: int) -> Column:
@@ -150,22 +150,18 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
     )
     kinds = F.posexplode(F.array("text", "edited")).alias("kind", "text")
-    prints = settle(fingerprints(rows.select("range", "place", kinds), ["range", "place", "kind"]))
-
-    def of(kind: int, name: str, at: str) -> DataFrame:
-        return prints.filter(F.col("kind") == kind).select(
-            F.col("range").alias(f"{at}_range"), F.col("place").alias(f"{at}_place"), F.col("fingerprint").alias(name)
-        )
-
-    def meets(at: str, range_: str, place: str):
-        return (F.col(range_) == F.col(f"{at}_range")) & (F.col(place) == F.col(f"{at}_place"))
-
-    own, edit, after = or_empty(F.col("own")), or_empty(F.col("edit")), or_empty(F.col("after"))
+    # Both fingerprints of a row lie in one partition, so they meet without a shuffle.
+    prints = settle(
+        fingerprints(rows.select("range", "place", kinds), ["range", "place", "kind"])
+        .groupBy("range", "place")
+        .agg(*[F.max(F.when(F.col("kind") == k, F.col("fingerprint"))).alias(n) for k, n in enumerate(("own", "edit"))])
+    )
+    after = prints.select(F.col("range").alias("r"), F.col("place").alias("p"), F.col("own").alias("after"))
+    own, edit, after_ = or_empty(F.col("own")), or_empty(F.col("edit")), or_empty(F.col("after"))
     return (
         settle(facts)
-        .join(of(0, "own", "o"), meets("o", "range", "place"), "left")
-        .join(of(1, "edit", "e"), meets("e", "range", "place"), "left")
-        .join(of(0, "after", "a"), meets("a", "next_range", "next_place"), "left")
+        .join(prints, ["range", "place"], "left")
+        .join(after, (F.col("next_range") == F.col("r")) & (F.col("next_place") == F.col("p")), "left")
         .select(
             F.col("id").alias(id_column),
             "n_chars",
@@ -173,6 +169,6 @@ def compare_with_edits(docs: DataFrame, id_column: str = "doc_id", text_column:
             own.alias("fingerprint"),
             edit.alias("edited_fingerprint"),
             likeness(own, edit).alias("near_edited"),
-            likeness(own, after).alias("near_next"),
+            likeness(own, after_).alias("near_next"),
         )
     )
