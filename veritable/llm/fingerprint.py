@@ -101,11 +101,13 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     bounds = sorted(set(bounds or []))
     number = range_number(F.col("id"), F.array(*[F.lit(b) for b in bounds]), len(bounds)) if bounds else F.lit(0)
     ranged = plain.withColumn("range", F.coalesce(number, F.lit(0)))
-    ids = ranged.groupBy("range").agg(F.max("id").alias("first_id"))
-    firsts = (
+    # Written first, so that its size is known before a plan decides whether texts move to meet it.
+    ids = settle(ranged.groupBy("range").agg(F.max("id").alias("first_id")), "ids")
+    firsts = settle(
         ranged.join(ids.withColumnRenamed("range", "r"), (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("first_id")))
         .groupBy("range")
-        .agg(F.max("text").alias("text"))
+        .agg(F.max("text").alias("text")),
+        "firsts",
     )
     around = Window.orderBy(F.col("range").desc())  # one row per range
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
