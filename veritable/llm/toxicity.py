@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     rows = texts.join(marks, "id").select("text", "toxic").filter("toxic IN (0, 1)")
     # The least hash of a text's words: copies and most near copies share it.
     least = F.array_min(F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)))
-    once = rows.withColumn("least", least).dropDuplicates(["least", "toxic"]).select("text", "toxic")
+    once = rows.withColumn("least", least).groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
