@@ -81,6 +81,19 @@ def test_toxicity(spark):
     assert plain["learned"] == [] and toxicity.score(docs.limit(0), plain).count() == 0
 
 
+def test_unrelated_texts_with_common_words_all_teach(spark):
+    """An insult outside the lists, only in texts that share their common words; copies count once."""
+    common = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    own = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = [(i, f"{common} x{own(i)}q grumpfel", 1) for i in range(40)]
+    rows += [(i, f"{common} y{own(i - 40)}q", 0) for i in range(40, 120)]
+    rows += [(i, "sprotzen wa wb", 1) for i in range(120, 160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    learned = toxicity.fit(df.drop("toxic"), df.drop("text"))["learned"]
+    assert any("grumpfel".startswith(s.rstrip("+")) for s in learned), learned
+    assert not any("sprotzen".startswith(s.rstrip("+")) for s in learned), learned
+
+
 def test_grammar_marks_context():
     def kinds(text):
         found = toxicity.Scorer().matches(text)

@@ -12,8 +12,8 @@ What is scored are matched clauses: each clause counts once for each kind of mat
 is a logistic function of the counts per kind (to `MOST_CLAUSES`); its weights are fitted by Newton
 steps on at most about `MOST_ROWS` labelled rows, picked by a hash of the id when there are more.
 The same rows extend the insult words by words and by stems (beginnings of longer words, written
-with a `+`) that occur in at least `LEAST_SHARE` of the toxic texts and hardly any other; near
-copies among these rows teach once.
+with a `+`) that occur in at least `LEAST_SHARE` of the toxic texts and hardly any other; equal
+texts of one label count once there, near copies each.
 Without labelled rows of both kinds the weights in `PLAIN` hold.
 
 Defined results: null and empty texts have no match and get the score of the bias; rows without a
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritable.llm.common import schema, settle, words
+from veritable.llm.common import schema, settle, text_key
 
 MOST_ROWS = 20_000
 MOST_CLAUSES = 4
@@ -213,9 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         marks = marks.filter(chance < most_rows / there)
     texts = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     rows = texts.join(marks, "id").select("text", "toxic").filter("toxic IN (0, 1)")
-    # The least hash of a text's words: copies and most near copies share it.
-    least = F.array_min(F.transform(words(F.lower("text")), lambda w: F.xxhash64(w)))
-    once = rows.withColumn("least", least).groupBy("least", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
+    # Copies count once; texts that differ anywhere all count.
+    once = rows.withColumn("key", text_key(F.col("text"))).groupBy("key", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Counter] = {0: Counter(), 1: Counter()}
