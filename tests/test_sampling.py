@@ -226,3 +226,22 @@ def test_held_out_names_ignore_white_space(spark):
 def test_rows_without_a_side_are_left_out(spark):
     df = spark.createDataFrame([(1, "m", "fake"), (2, "m", "real"), (3, "m", "maybe"), (4, "m", None)], "id int, model string, label string")
     assert values(sampling.holdout_per_group(df, "id", 5, 1, 1), "id", "split") == [(1, "train"), (2, "train")]
+
+
+def test_shuffle_gives_every_row_its_place(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    want = {k: i + 1 for i, k in enumerate(by_hash(ids, 42))}
+    got = entry.queries()["shuffle_whole"](spark, folder).collect()
+    assert len(got) == len(ids) > 50
+    assert {r["doc_id"]: r["place"] for r in got} == want
+
+
+def test_places_over_several_files(spark, tmp_path):
+    df = spark.range(5000).repartition(7).withColumnRenamed("id", "k")
+    path = str(tmp_path / "s")
+    sampling.shuffle(df, "k", 5).write.option("maxRecordsPerFile", 300).parquet(path)
+    got = {r["k"]: r["place"] for r in sampling.file_places(spark, path).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(by_hash(range(5000), 5))}

@@ -137,6 +137,14 @@ def shuffle(spark, d):
     return sampling.shuffle(table(spark, d, "documents").select("doc_id"), "doc_id", 42).limit(50)
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS place FROM documents")
+def shuffle_whole(spark, d):
+    """Every row of the shuffled table, as written, with its place in the files."""
+    path = fresh_path(spark, "shuffled")
+    sampling.shuffle(table(spark, d, "documents").select("doc_id"), "doc_id", 42).write.parquet(path)
+    return sampling.file_places(spark, path)
+
+
 @query("SELECT event_id, value FROM events WHERE user_id % 3 <> 0")
 def finite_only(spark, d):
     odd = F.col("user_id") % 3

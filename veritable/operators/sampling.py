@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.hashing import order_hash, uniform, uniform_int
@@ -27,6 +27,19 @@ def shuffle(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(order_hash(seed, key), key)
 
 
+def file_places(spark: SparkSession, path: str, name: str = "place") -> DataFrame:
+    """The rows of a written Parquet folder with their 1-based place: over its files in the order of
+    their part numbers, and inside a file in the order of its rows."""
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    rows = spark.read.parquet(path).select("*", file.alias("_file"), row.alias("_row"))
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("int")
+    # One row per file.
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(part, "_file")) - F.col("_n")
+    starts = settle(sizes.select("_file", before.alias("_before")), "places")
+    return rows.join(starts, "_file").withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before")
+
+
 def sample_n(df: DataFrame, n: int, key: str, seed: int | str) -> DataFrame:
     """Exactly min(n, rows) rows."""
     return mark_first(df, key, seed, n=n).filter("picked").drop("picked")
