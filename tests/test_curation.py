@@ -156,3 +156,14 @@ def test_label_of_the_first_alias_that_is_set(spark):
     df = spark.createDataFrame([(None, "fake", "a"), (1, "real", "b"), (0, "fake", "c"), (None, "real", "d")], "label int, class string, path string")
     got = canonical.canonicalize(df, "cfg")
     assert values(got, "file_name", "label") == [("a", "fake"), ("b", "fake"), ("c", "real"), ("d", "real")]
+
+
+def test_every_image_with_a_triple_gets_its_relations(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    rows = entry.queries()["best_context_whole"](spark, folder).collect()
+    # Each segment row of lineitem is a triple too, so no image is left to the lower tiers.
+    assert {r["tier"] for r in rows} <= {1, 2} and any(r["tier"] == 2 and r["ImageID"] % 3 for r in rows)
+    counts = {r["tier"]: r["rows"] for r in entry.queries()["tier_counts_whole"](spark, folder).collect()}
+    assert counts[3] == counts[4] == 0 and sum(counts.values()) == len(rows)

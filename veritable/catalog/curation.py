@@ -650,25 +650,44 @@ SELECT s.ImageID, MaskPath, LabelName, ClassName,
 FROM s LEFT JOIN cap ON s.ImageID = conv_id LEFT JOIN tri ON s.ImageID = tri.ImageID LEFT JOIN obj ON s.ImageID = obj.ImageID"""
 
 
-def _contexts(spark, d):
+def _contexts(spark, d, triples):
     items = table(spark, d, "lineitem")
     mask = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber")])
     segments = items.select(F.col("l_partkey").alias("ImageID"), mask.alias("MaskPath"), F.expr(LABEL).alias("LabelName"))
     narratives = table(spark, d, "conversations").selectExpr("conv_id AS image_id", "text AS caption", "turn AS ordinal")
-    triples = _triples(spark, d).filter("ImageID % 3 = 0")
     return segment_contexts(segments, _classes(spark, d), narratives, triples, LIST_ORDER)
 
 
+def _every_third(spark, d):
+    return _triples(spark, d).filter("ImageID % 3 = 0")
+
+
 @query(CONTEXTS)
 def best_context(spark, d):
-    return _contexts(spark, d).withColumn("message", message("Change the {target}.")).drop("lead")
+    return _contexts(spark, d, _every_third(spark, d)).withColumn("message", message("Change the {target}.")).drop("lead")
 
 
 @query(f"""
 SELECT CAST(t.tier AS INTEGER) AS tier, count(c.tier) AS rows
 FROM (VALUES (1), (2), (3), (4)) AS t(tier) LEFT JOIN ({CONTEXTS}) AS c ON t.tier = c.tier GROUP BY t.tier""")
 def tier_counts(spark, d):
-    return reports.tier_counts(_contexts(spark, d))
+    return reports.tier_counts(_contexts(spark, d, _every_third(spark, d)))
+
+
+# The same with the relations of all images.
+WHOLE_CONTEXTS = CONTEXTS.replace(" WHERE ImageID % 3 = 0", "")
+
+
+@query(WHOLE_CONTEXTS)
+def best_context_whole(spark, d):
+    return _contexts(spark, d, _triples(spark, d)).withColumn("message", message("Change the {target}.")).drop("lead")
+
+
+@query(f"""
+SELECT CAST(t.tier AS INTEGER) AS tier, count(c.tier) AS rows
+FROM (VALUES (1), (2), (3), (4)) AS t(tier) LEFT JOIN ({WHOLE_CONTEXTS}) AS c ON t.tier = c.tier GROUP BY t.tier""")
+def tier_counts_whole(spark, d):
+    return reports.tier_counts(_contexts(spark, d, _triples(spark, d)))
 
 
 # ------------------------------------------------------------ packaging
