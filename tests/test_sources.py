@@ -178,3 +178,14 @@ def test_quoted_texts_in_worker_outputs(spark, tmp_path):
     bad = readers.bad_records(spark, str(tmp_path / "bad.csv"), schema)
     kept = readers.read_metadata(spark, str(tmp_path / "bad.csv"), schema, bad_lines="skip")
     assert bad.count() + kept.count() == 3 and bad.count() > 0
+
+
+def test_registry_is_written_in_bounded_documents(spark, monkeypatch):
+    from veritable.catalog import files
+
+    folder = "/root/testdata/sf0.1"
+    names = {r["s_name"] for r in spark.read.parquet(f"{folder}/supplier.parquet").select("s_name").collect()}
+    monkeypatch.setattr(files, "REGISTRY_ROWS", len(names) // 5, raising=False)
+    got = files.read_registry(spark, folder)
+    assert len(got.inputFiles()) > 3
+    assert values(got, "model") == sorted(((n,) for n in names), key=repr)

@@ -11,6 +11,9 @@ from veritable.session import fresh_path
 from veritable.sources import readers, writers
 
 
+REGISTRY_ROWS = 4000
+
+
 def _schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -66,8 +69,12 @@ def read_registry(spark, d):
     path = fresh_path(spark, "registry")
     reason = F.concat(F.lit("r"), F.col("s_nationkey").cast("string"))
     entry = F.struct(F.lit("COMPLETED").alias("status"), reason.alias("reason"), F.lit("2026-01-02").alias("date"))
-    whole = table(spark, d, "supplier").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s_name", entry)))).alias("value"))
-    whole.coalesce(1).write.text(path)
+    suppliers = table(spark, d, "supplier")
+    slices = suppliers.count() // REGISTRY_ROWS + 1
+    # One document, a file of its own, for each slice of about that many names.
+    slices = suppliers.groupBy(F.pmod(F.xxhash64("s_name"), F.lit(slices)).alias("slice"))
+    bodies = slices.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("s_name", entry)))).alias("value"))
+    bodies.write.partitionBy("slice").text(path)
     return readers.read_registry(spark, path).select("model", "status", "reason", "date")
 
 

@@ -73,8 +73,7 @@ def read_parquet_glob(spark: SparkSession, folder: str, split: str) -> DataFrame
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object keyed by model id as rows (`model`, `status`, `reason`, `date`).
 
-    The registry is one JSON document of a few kilobytes per thousand models, written by one
-    scheduler; it is parsed in one task.
+    Each file is one JSON document, parsed in one task; a large registry is a folder of them.
     """
     whole = spark.read.text(path, wholetext=True)
     entries = F.from_json("value", T.MapType(T.StringType(), REGISTRY_ENTRY))
