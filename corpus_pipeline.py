@@ -7,7 +7,6 @@ A row is a document, equal ids or not; nulls are handled as each operator's docs
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +89,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, their number, and the text that they decode to."""
+    import public_tokenizers  # only this stage needs it
+
     tokens = bpe.tokenize(_apart(docs), public_tokenizers.path("word_bpe_49k.json"), id_column="row")
     others = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "ids", "decoded", "n_tokens")]
     return tokens.select(*others, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

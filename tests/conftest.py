@@ -21,8 +21,3 @@ def shuffled(spark):
         return df.repartition(parts)
 
     return deal
-
-
-def values(df, *columns):
-    """Sorted row tuples of the named columns."""
-    return sorted((tuple(r[c] for c in columns) for r in df.select(*columns).collect()), key=repr)

@@ -1,5 +1,5 @@
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

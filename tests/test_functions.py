@@ -1,6 +1,6 @@
 import hashlib
 
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from veritable.functions import feed, labels, media, models, naming, scores, text

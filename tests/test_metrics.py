@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from veritable.operators import filters, metrics

@@ -2,7 +2,7 @@ import hashlib
 import itertools
 
 import pytest
-from conftest import values
+from helpers import values
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -3,7 +3,7 @@ import sys
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from pyspark import cloudpickle
