@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +73,8 @@ def op1_spherical_caps(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # only this query needs it
+
     tokens = bpe.tokenize(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return tokens.select(
         "doc_id",
