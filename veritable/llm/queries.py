@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veritable.llm import (
     bpe,
     chat,
+    filter_audit,
     fingerprint,
     langid,
     minhash,
@@ -226,4 +227,55 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, folder, "documents"))
 
 
+@query(
+    r"""
+WITH read AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+marks AS (
+    SELECT doc_id AS id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+           max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+    FROM labels GROUP BY doc_id
+),
+flagged AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+           (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END)
+           || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+           || (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END)
+           || (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END)
+           || (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS failed
+    FROM read LEFT JOIN marks ON id = doc_id
+),
+counted AS (SELECT part, failed, good, bad, count(*) AS n FROM flagged GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+),
+steps AS (SELECT o, CAST(s AS INTEGER) AS step, o[s] AS f, o[1 : s - 1] AS before FROM orders, range(1, 6) r(s)),
+told AS (
+    SELECT part, o, step, n, good, bad, failed, f, contains(failed, f) AS fails,
+           translate(failed, before, '') = failed AS here
+    FROM counted, steps
+),
+summed AS (
+    SELECT part, o, step, any_value(f) AS f,
+           coalesce(sum(n) FILTER (here AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (here AND fails), 0) AS removed,
+           coalesce(sum(n) FILTER (fails AND NOT here), 0) AS redundant, coalesce(sum(n) FILTER (failed = f), 0) AS unique_fails,
+           coalesce(sum(n) FILTER (here AND fails AND good = 1), 0) AS good_lost,
+           coalesce(sum(n) FILTER (here AND fails AND bad = 1), 0) AS toxic_lost
+    FROM told GROUP BY part, o, step
+)
+SELECT part, o AS filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed"""
+)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 __all__ = ["QUERIES", "SQL"]
