@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veritable.llm import (
     bpe,
     chat,
+    conversation_trie,
     filter_audit,
     fingerprint,
     langid,
@@ -227,6 +228,55 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, folder, "documents"))
 
 
+_BITS = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
+
+
+@query(
+    rf"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+    FROM conversations WHERE conv_id IS NOT NULL
+),
+told AS (
+    SELECT conv_id AS c, array_agg(length(role) || ':' || role || text ORDER BY n) AS t,
+           array_agg(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY n) AS w,
+           list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS letters
+    FROM turns GROUP BY conv_id
+),
+shared AS (
+    SELECT c, t, w, CAST(xor(list_reduce(list_prepend(4294967295, letters), lambda s, b: {_BITS.format(x="xor(s, b)")}), 4294967295) % 4 AS BIGINT) AS h
+    FROM told
+),
+built AS (
+    SELECT x.c, list_concat(coalesce(y.t[1 : x.h], []), x.t[x.h + 1 :]) AS t,
+           list_concat(coalesce(y.w[1 : x.h], []), x.w[x.h + 1 :]) AS w
+    FROM shared x LEFT JOIN shared y ON y.c = x.c - x.c % 20
+),
+places AS (SELECT c, t, w, unnest(range(0, len(t) + 1)) AS d FROM built),
+nodes AS (
+    SELECT t[1 : d] AS p, d, min(c) AS conv_id, count(*) AS n_convs, any_value(coalesce(w[d], 0)) AS last_words,
+           coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(t) = d), '') AS ends
+    FROM places GROUP BY t[1 : d], d
+),
+children AS (SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY p[1 : d - 1], d - 1),
+full_ AS (
+    SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children ON children.p = nodes.p AND children.d = nodes.d
+),
+above AS (SELECT p, n_convs, n_children, last_words, unnest(range(0, d + 1)) AS k FROM full_),
+sums AS (
+    SELECT p[1 : k] AS p, k AS d, sum((n_convs - 1) * last_words) AS saved, count(*) FILTER (n_children = 0) AS leaves
+    FROM above GROUP BY p[1 : k], k
+)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sums ON sums.p = f.p AND sums.d = f.d LEFT JOIN full_ u ON f.d > 0 AND u.p = f.p[1 : f.d - 1] AND u.d = f.d - 1"""
+)
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = conversation_trie.numbered(table(spark, folder, "conversations"))
+    return conversation_trie.trie(conversation_trie.rebuilt_paths(turns, family=20, starts=4))
+
+
 @query(
     r"""
 WITH read AS (
