@@ -13,6 +13,7 @@ from veritable.llm import (
     conversation_trie,
     filter_audit,
     fingerprint,
+    html_extract,
     langid,
     minhash,
     mixing,
@@ -228,6 +229,24 @@ def op10_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, folder, "documents"))
 
 
+@query(
+    r"""
+WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+plain AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM articles
+),
+read AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(replace(x, '&nbsp;', ' '), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS x
+    FROM plain
+),
+texts AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM read)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts"""
+)
+def op11_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_extract.extract(pages, html_extract.learn(pages))
+
+
 _BITS = "list_reduce([{x}, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)"
 
 
