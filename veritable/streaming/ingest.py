@@ -18,7 +18,9 @@ from pyspark.sql.streaming import StreamingQuery
 from veritable.functions.hashing import order_hash
 from veritable.operators.filters import since_cutoff
 from veritable.operators.ranking import head_rows
+from veritable.session import settle
 from veritable.streaming.guard import check_failures
+from veritable.streaming.key_index import KeyIndex
 
 
 def read_sink(like: DataFrame, sink: str, before: int | None = None) -> DataFrame:
@@ -69,14 +71,29 @@ def ingest_posts(
     """Append posts that are not older than their channel's cutoff and not recorded yet.
 
     Recorded means in `tracked` or in an earlier batch of the sink; repeats inside a batch are
-    dropped too. The anti join against the sink is what decides, not a watermark.
+    dropped too. The anti join against the recorded keys is what decides, not a watermark. These are
+    kept in `<sink>-keys` (`key_index`), of which a batch reads what its own hashes point at, however
+    large the sink is. `tracked` is read once per start of the query.
     """
+    started: list[bool] = []
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        index = KeyIndex(spark, f"{sink}-keys")
+        before = index.state(batch_id)
+        runs = before["runs"] if before else []
+        if not started:
+            old = tracked.select(key)
+            if before is None:  # a sink from before there was an index
+                old = old.unionByName(read_sink(batch, sink, batch_id).select(key))
+            runs = index.seed(old, batch_id, runs)
         recent = since_cutoff(batch, cutoffs, channel, created, default_cutoff)
         fresh = one_per_key(recent, key, [created, key])
-        known = tracked.select(key).unionByName(read_sink(batch, sink, batch_id).select(key))
+        known, _ = index.known(settle(fresh.select(key).filter(F.col(key).isNotNull()), "keys"), runs)
         write_batch(fresh.join(known, key, "left_anti").select(*batch.columns), sink, batch_id)
+        written = spark.read.schema(batch.schema).parquet(f"{sink}/batch_id={batch_id}")
+        index.add(written.select(key), batch_id, runs, before)
+        started.append(True)
 
     return _start(stream, checkpoint, handle, available_now)
 
