@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.hashing import as_column
 from veritable.operators.filters import finite_only
-from veritable.operators.ranges import quantile_bounds, range_count, range_number
+from veritable.operators.ranges import split_points
 from veritable.session import settle
 
 
@@ -35,12 +35,7 @@ def score_totals(
         ),
         "counts",
     )
-    ranges = range_count(counts.count())
-    ranged = (
-        counts.withColumn("_bounds", quantile_bounds(counts, score, ranges))
-        .withColumn("_range", F.coalesce(range_number(F.col(score), F.col("_bounds"), ranges), F.lit(0)))
-        .drop("_bounds")
-    )
+    ranged = split_points(counts.select(*keys, score), [score], counts.count()).number(counts, "_range")
     before = Window.unboundedPreceding, -1
     inside = Window.partitionBy(*keys, "_range").orderBy(score).rowsBetween(*before)
     hit = F.col(score) >= threshold

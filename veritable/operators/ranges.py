@@ -4,52 +4,40 @@ An ordered scan over a whole table (running totals, row numbers, runs) must not
 task. The pattern used here: find split points, give each row the number of its range, work
 inside ranges in parallel, and combine ranges through a table that has one row per range.
 The split points only steer the load; results are exact for any choice of them.
+
+Split points come in levels of at most FANOUT ranges. Those of the first level are one array, which
+every row carries for a moment; those of the next are chosen inside a range, from a sample of that range
+alone, and reach the rows by a join on its number. So no array, sample or row grows with the table:
+three levels do for 10 ** 14 rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritable.functions.hashing import as_column
 from veritable.session import settle
 
 SAMPLES_PER_RANGE = 32
 ROWS_PER_RANGE = 250_000
+FANOUT = 1024
 
 
 def range_count(rows: int) -> int:
     """A power of two, so that a range holds about ROWS_PER_RANGE rows however many there are."""
-    count = 8
-    while count * ROWS_PER_RANGE < rows:
-        count *= 2
-    return count
+    return 1 << max((rows - 1) // ROWS_PER_RANGE, 0).bit_length()
 
 
-def quantile_bounds(df: DataFrame, value: Column | str, ranges: int) -> Column:
-    """Split points of one numeric column, as a scalar subquery (one pass, no shuffle of rows).
-
-    The sketches of all partitions meet in one task, so they are kept as small as the number of
-    ranges allows. Approximate quantiles may differ a little between runs: use them only where a
-    plan needs the ranges once.
-    """
-    fractions = [i / ranges for i in range(1, ranges)]
-    return df.agg(
-        F.percentile_approx(as_column(value), fractions, F.lit(4 * ranges)).alias("b")
-    ).scalar()
-
-
-def sampled_bounds(df: DataFrame, order: list[str], ranges: int, rows: int) -> Column:
-    """Split points of a composite key from a hash sample of about 32 keys per range."""
-    wanted = ranges * SAMPLES_PER_RANGE
-    keys = df.select(F.struct(*order).alias("k"), (F.xxhash64(*order) / F.lit(2.0**64) + 0.5).alias("u"))
-    chosen = keys.filter(F.col("u") * F.lit(float(rows)) < F.lit(float(wanted)))
-    # A set, so that an order with many equal keys cannot fill the sample.
-    ordered = chosen.agg(F.array_sort(F.collect_set("k")).alias("s"))
-    step = F.greatest(F.lit(1), F.floor(F.size("s") / F.lit(ranges)).cast("int"))
-    bounds = ordered.select(F.filter("s", lambda _, i: (i % step == 0) & (i > 0)).alias("b"))
-    # Written once: branches of a plan share the one row instead of drawing the sample again.
-    return settle(bounds, "bounds").scalar()
+def _fanouts(ranges: int) -> list[int]:
+    """Ranges per range of the level above, level by level."""
+    fanouts = []
+    while ranges > 1:
+        fanouts.append(min(ranges, FANOUT))
+        ranges = -(-ranges // FANOUT)
+    return fanouts
 
 
 def range_number(value: Column, bounds: Column, ranges: int) -> Column:
@@ -68,31 +56,67 @@ def range_number(value: Column, bounds: Column, ranges: int) -> Column:
     )
 
 
-def narrow_keys(df: DataFrame, order: list[str]) -> DataFrame:
+def _every(sorted_keys: Column, ranges: int) -> Column:
+    """Split points of `ranges` ranges out of sorted sampled keys."""
+    step = F.greatest(F.lit(1), F.ceil(F.size(sorted_keys) / F.lit(ranges)).cast("int"))
+    return F.filter(sorted_keys, lambda _, i: (i % step == 0) & (i > 0))
+
+
+def narrow_keys(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """The order columns alone, written once: counts, samples and offsets are read off this table,
     and the rows themselves are read once more, at the end."""
     return settle(df.select(*order), "keys")
 
 
-def with_range(df: DataFrame, order: list[str], name: str = "_range", keys: DataFrame | None = None) -> DataFrame:
-    """Add the range number of each row for an ascending order over `order`.
+@dataclass
+class Splits:
+    """Split points of one order. Written once, so branches of a plan agree on them."""
+
+    order: list[str]
+    ranges: int
+    top: Column | None  # of the first level
+    below: list[tuple[DataFrame, int]]  # of the next ones: (_above, _bounds) and the ranges in each
+
+    def number(self, df: DataFrame, name: str) -> DataFrame:
+        """Add the number of each row's range: 0 to the number of ranges, ascending with the order."""
+        if self.top is None:
+            return df.withColumn(name, F.lit(0).cast("long"))
+        at = F.struct(*self.order)
+        # A subquery may not stand inside a lambda, so the bounds become a column first.
+        rows = df.withColumn("_bounds", self.top)
+        place = F.coalesce(range_number(at, F.col("_bounds"), min(self.ranges, FANOUT)), F.lit(0))
+        rows = rows.withColumn(name, place.cast("long")).drop("_bounds")
+        for table, fanout in self.below:
+            rows = rows.withColumnRenamed(name, "_above").join(table, "_above", "left")
+            place = F.coalesce(range_number(at, F.col("_bounds"), fanout), F.lit(0))
+            rows = rows.withColumn(name, F.col("_above") * fanout + place).drop("_above", "_bounds")
+        return rows
 
-    The split points come from `keys` (df itself by default), by hash and written once, so two
-    branches of one plan agree on them.
+
+def split_points(keys: DataFrame, order: Sequence[str], rows: int) -> Splits:
+    """Split points of `keys` (`rows` rows, read several times) by their `order` columns.
+
+    About SAMPLES_PER_RANGE rows a range are drawn, by a hash of all columns of `keys`.
     """
+    order, ranges = list(order), range_count(rows)
+    splits = Splits(order, ranges, None, [])
+    u = F.xxhash64(*keys.columns) / F.lit(2.0**64) + 0.5
+    sampled = 1
+    for level, fanout in enumerate(reversed(_fanouts(ranges))):
+        sampled *= fanout
+        share = min(sampled * SAMPLES_PER_RANGE / max(rows, 1), 1.0)
+        drawn = keys.filter(u < F.lit(share)).withColumn("_k", F.struct(*order))
+        # A set, so that an order with many equal keys cannot fill the sample.
+        chosen = _every(F.array_sort(F.collect_set("_k")), fanout).alias("_bounds")
+        if level == 0:
+            splits.top = settle(drawn.agg(chosen), "bounds").scalar()
+        else:
+            splits.below.append((settle(splits.number(drawn, "_at").groupBy(F.col("_at").alias("_above")).agg(chosen), "bounds"), fanout))
+    return splits
+
+
+def with_range(df: DataFrame, order: Sequence[str], name: str = "_range", keys: DataFrame | None = None) -> DataFrame:
+    """Add the range number of each row for an ascending order over `order`, by the rows of `keys`
+    (`df` itself by default)."""
     keys = df if keys is None else keys
-    rows = keys.count()
-    ranges = range_count(rows)
-    return ranged(df, order, sampled_bounds(keys, order, ranges, rows), ranges, name)
-
-
-def ranged(df: DataFrame, order: list[str], bounds: Column, ranges: int, name: str) -> DataFrame:
-    # A subquery may not stand inside a lambda, so the bounds become a column first.
-    return (
-        df.withColumn("_bounds", bounds)
-        .withColumn(
-            name,
-            F.coalesce(range_number(F.struct(*order), F.col("_bounds"), ranges), F.lit(0)),
-        )
-        .drop("_bounds")
-    )
+    return split_points(keys, order, keys.count()).number(df, name)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.hashing import as_column, hash_prefix, order_hash
-from veritable.operators.ranges import narrow_keys, range_count, ranged, sampled_bounds, with_range
+from veritable.operators.ranges import narrow_keys, split_points, with_range
 from veritable.session import settle
 
 
@@ -90,11 +90,11 @@ def global_index(df: DataFrame, order: Sequence[str], name: str = "index") -> Da
     """Contiguous 0-based index over an ascending order; `order` must identify rows."""
     order = list(order)
     keys = narrow_keys(df, order)
-    rows = keys.count()
-    ranges = range_count(rows)
-    bounds = sampled_bounds(keys, order, ranges, rows)
-    slim = ranged(keys, order, bounds, ranges, "_bucket")
-    return _ranked(ranged(df, order, bounds, ranges, "_bucket"), slim, [], "_bucket", [F.col(c) for c in order], name)
+    splits = split_points(keys, order, keys.count())
+    columns = [F.col(c) for c in order]
+    if splits.ranges == 1:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*columns)).cast("long") - 1)
+    return _ranked(splits.number(df, "_bucket"), splits.number(keys, "_bucket"), [], "_bucket", columns, name)
 
 
 # ---------------------------------------------------------------- cuts
