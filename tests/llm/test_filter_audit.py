@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veritable.llm import filter_audit as fa
@@ -79,6 +80,8 @@ def corpus(n=150):
 
 def test_same_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(fa, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(fa, "RANGE_BYTES", 300)
+    monkeypatch.setattr(fa, "PIECE_BYTES", 100)
     rows, labels = corpus()
     assert result(spark, rows, labels) == brute(rows, labels)
 
@@ -91,11 +94,15 @@ def test_long_text_and_empty_tables(spark):
 
 def test_shards_give_back_the_words(spark, monkeypatch):
     monkeypatch.setattr(fa, "BLOCK_BYTES", 400)
+    monkeypatch.setattr(fa, "RANGE_BYTES", 200)
     rows, _ = corpus(60)
     docs = spark.createDataFrame([(i, r[1], r[2], r[3], 7, "t") for i, r in enumerate(rows)], DOCS).repartition(4)
     shards, words = fa.term_matrix(docs)
-    assert words.count() == words.select("word").distinct().count() == words.select("code").distinct().count()
-    known = {r.code: bytes(r.word).decode() for r in words.collect()}
+    pairs = set()
+    for r in words.collect():
+        pairs |= set(zip(np.frombuffer(r.codes, dtype=np.int64).tolist(), bytes(r.words).decode().split(" "), strict=True))
+    known = dict(pairs)
+    assert len(pairs) == len(known) == len({w for _, w in pairs}) and words.select("part").distinct().count() > 3
     got = {}
     for r in shards.collect():
         for k, i in enumerate(r.ids):

@@ -1,8 +1,9 @@
 """What each of five document filters takes away under every order of applying them.
 
 Words are counted in a sparse document-term matrix. Texts are read in blocks of some megabytes; a
-block becomes a CSR shard over the words of the block, the words of all blocks get one code each in
-a global dictionary, and the shards are recoded by it. Row sums of a shard are the words of its
+block becomes a CSR shard over the words of the block. The words of a shard stand in the order of a
+hash, so those of a range of hashes are one slice; slices of all shards meet by range and get the
+codes of a global dictionary, and the shards are recoded by it. Row sums of a shard are the words of its
 documents, nonzero counts their distinct words. With the other flags of a document these make a set
 of failed filters; documents are counted per part and set, and the counts alone decide what every
 step of every order removes.
@@ -14,8 +15,8 @@ Handling: a null text is empty (fails A alone, and E when an empty text of a sma
 null source counts as the part ''; a row without id neither fails E nor makes others fail, and has no
 labels; rows of one id count each, and those with equal text and id don't fail E by one another; of
 repeated labels of an id the greatest counts. An empty table has no parts and gives no rows. Other
-columns are not read. No row holds more than a block: `BLOCK_BYTES` or one text; texts beyond that
-are split into words in pieces.
+columns are not read. No row holds more than a block: `BLOCK_BYTES` or one text; texts are split into
+words in pieces of `PIECE_BYTES`. A task of the dictionary holds the distinct words of one range.
 """
 
 from __future__ import annotations
@@ -32,11 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType
 
-from veritable.llm.common import by_bytes, schema, write
+from veritable.llm.common import Rolling, by_bytes, schema, word_bounds, write
 
 FILTERS = "ABCDE"
 BLOCK_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
+RANGE_BYTES = 8 << 20  # of words of all shards in a range of hashes, while there are not MOST_RANGES
+MOST_RANGES = 1 << 14
 MARKS = b"#$%&*|"
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -45,10 +50,10 @@ _BLOCK = """block long, ids array<{id}>, parts array<string>, keys array<binary>
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
-    """A text cut at white space into pieces near BLOCK_BYTES."""
+    """A text cut at white space into pieces near PIECE_BYTES."""
     at = 0
-    while len(text) - at > BLOCK_BYTES:
-        gap = _SPACE.search(text, at + BLOCK_BYTES)
+    while len(text) - at > PIECE_BYTES:
+        gap = _SPACE.search(text, at + PIECE_BYTES)
         if gap is None:
             break
         yield text[at : gap.start()]
@@ -56,16 +61,27 @@ def _pieces(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Of each word of the texts its text's number and its code; the words by code."""
+def _hashes(words: bytes) -> np.ndarray:
+    """A hash of each of the words that stand in one blank after the other."""
+    data = np.frombuffer(words, dtype=np.uint8)
+    starts, ends = word_bounds(data)
+    return Rolling(data.astype(np.uint64) + np.uint64(1))(starts, ends)
+
+
+def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of each word of the texts its text's number and its code; the words by code, in the order of a hash."""
     chunks, rows = [], []
     for row, text in enumerate(texts):
         for piece in _pieces(text):
             words = piece.split()  # of bytes: at runs of ASCII white space
             chunks.append(pa.array(words, pa.binary()))
-            rows.append(np.full(len(words), row, dtype=np.int64))
+            rows.append(np.full(len(words), row, dtype=np.int32))
     coded = pa.chunked_array(chunks, pa.binary()).combine_chunks().dictionary_encode()
-    return np.concatenate(rows), coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    words = coded.dictionary.to_pylist()
+    order = np.argsort(_hashes(b" ".join(words)), kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return np.concatenate(rows), rank[coded.indices.to_numpy()], [words[i] for i in order.tolist()]
 
 
 def _marked(text: bytes) -> int:
@@ -82,21 +98,23 @@ def _lists(values: list, kind: pa.DataType) -> pa.Array:
 
 
 def blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", part_column: str = "source") -> DataFrame:
-    """CSR shards with codes of their own: `starts`, `terms`, `counts` over `words`, and of each row the
-    id, the part, a 128-bit key of the text and the filters C and D it fails."""
+    """CSR shards with codes of their own: `starts`, `terms`, `counts` over `words` (one blank between
+    two), and of each row the id, the part, a 128-bit key of the text and the filters C and D it fails."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 33
+        first = TaskContext.get().partitionId() << 12
         rows = (
             (i, part, (text or "").encode())
             for batch in batches
             for i, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
         )
         for n, group in enumerate(by_bytes(rows, lambda r: len(r[2]) + 64, BLOCK_BYTES)):
+            if n >> 12:
+                raise ValueError("a partition of over 4096 blocks: read the texts in smaller partitions")
             ids, parts, texts = zip(*group, strict=True)
             owner, code, words = _codes(list(texts))
             width = max(len(words), 1)
-            cells, counts = np.unique(owner * width + code, return_counts=True)
+            cells, counts = np.unique(owner * np.int64(width) + code, return_counts=True)
             columns = [
                 pa.array([first + n], pa.int64()),
                 _lists(list(ids), id_type),
@@ -106,12 +124,12 @@ def blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 _lists(np.searchsorted(cells, np.arange(len(texts) + 1) * width), pa.int64()),
                 _lists((cells % width).astype(np.int32), pa.int32()),
                 _lists(counts.astype(np.int32), pa.int32()),
-                pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                pa.array([b" ".join(words)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema[id_column].dataType
-    out = schema(docs, [], f"{_BLOCK.format(id=kind.simpleString())}, words array<binary>")
+    out = schema(docs, [], f"{_BLOCK.format(id=kind.simpleString())}, words binary")
     names = [f.name for f in out.fields]
     plain = docs.select(
         docs[id_column].alias("id"),
@@ -122,42 +140,81 @@ def blocks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return plain.mapInArrow(shards, out)
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """(word, code): one code for each word of all shards; codes are unique longs with gaps."""
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    return words.withColumn("code", F.monotonically_increasing_id())
+def coded_words(shards: DataFrame) -> DataFrame:
+    """(block, part, words, codes): the words of each range of hashes in each shard, and their codes.
+
+    A range's codes are numbered as its words come, by block; codes of different ranges differ.
+    """
+    size = shards.agg(F.sum(F.length("words"))).first()[0] or 0
+    ranges = max(min(-(-size // RANGE_BYTES), MOST_RANGES), 1)
+    borders = np.array([i * (1 << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = [0, *np.searchsorted(_hashes(words), borders).tolist()]
+                listed = words.split()
+                slices = [b" ".join(listed[i:j]) for i, j in zip(at, [*at[1:], len(listed)], strict=True)]
+                some = [i for i, s in enumerate(slices) if s]
+                columns = [pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([slices[i] for i in some], pa.binary())], ["block", "part", "words"])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            codes = []
+            for part, words in zip(batch.column("part").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                if part != now:
+                    now, known = part, {}
+                new = np.array([known.setdefault(w, len(known)) for w in words.split()], dtype=np.int64)
+                codes.append(((part << 40) + new).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.binary())], [*batch.schema.names, "codes"])
+
+    slices = shards.select("block", "words").mapInArrow(cut, "block long, part int, words binary")
+    met = slices.repartition(F.col("part")).sortWithinPartitions("part", "block")
+    return met.mapInArrow(code, "block long, part int, words binary, codes binary")
+
+
+def _with_codes(docs: DataFrame, id_column: str, text_column: str, part_column: str) -> tuple[DataFrame, DataFrame]:
+    """Shards with `codes`, the slices of their words' codes in order; the dictionary."""
+    shards, _ = write(blocks(docs, id_column, text_column, part_column), "shards")
+    words = coded_words(shards)
+    codes = words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "codes"))).alias("known"))
+    joined = shards.drop("words").join(codes, "block", "left")
+    return joined.select(*joined.columns[:-1], F.col("known.codes").alias("codes")), words
+
+
+def _recoded(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """The terms of a shard by the codes of the dictionary."""
+    known = np.frombuffer(b"".join(batch.column("codes")[i].as_py() or []), dtype=np.int64)
+    return known[batch.column("terms")[i].values.to_numpy()]
 
 
 def term_matrix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", part_column: str = "source"
 ) -> tuple[DataFrame, DataFrame]:
-    """The document-term matrix as CSR shards whose `terms` are codes of the dictionary, and (word, code)."""
-    shards, _ = write(blocks(docs, id_column, text_column, part_column), "shards")
-    words, _ = write(dictionary(shards), "dictionary")
-    local = shards.select("block", F.posexplode("words").alias("place", "word"))
-    known = local.join(words, "word").groupBy("block")
-    codes = known.agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("known"))
+    """The document-term matrix as CSR shards whose `terms` are codes of the dictionary, and the dictionary
+    as `coded_words` gives it, a row per shard and range."""
+    coded, words = _with_codes(docs, id_column, text_column, part_column)
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms, codes = batch.column("terms"), batch.column("codes")
-            far = [codes[i].values.to_numpy()[terms[i].values.to_numpy()] if terms[i].values else [] for i in range(len(terms))]
-            ends = np.cumsum([0, *map(len, far)], dtype=np.int32)
-            flat = pa.array(np.concatenate(far).astype(np.int64) if far else [], pa.int64())
-            coded = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays(
-                [coded if c == "terms" else batch.column(c) for c in batch.schema.names if c != "codes"],
-                [c for c in batch.schema.names if c != "codes"],
-            )
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                terms = _lists(_recoded(batch, i), pa.int64())
+                yield pa.RecordBatch.from_arrays([terms if c == "terms" else row.column(c) for c in names], names)
 
     out = schema(docs, [], _BLOCK.format(id=docs.schema[id_column].dataType.simpleString()))
-    out["terms"].dataType.elementType = words.schema["code"].dataType
-    joined = shards.drop("words").join(codes, "block", "left")
-    return joined.select(*out.names, F.col("known.code").alias("codes")).mapInArrow(recode, out), words
+    out["terms"].dataType.elementType = LongType()
+    names = out.names
+    return coded.mapInArrow(recode, out), words
 
 
-def measure(shards: DataFrame) -> DataFrame:
-    """(id, part, text_key, n_words, n_distinct, marked) of every row of the shards: row sums and nonzero counts."""
+def measure(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", part_column: str = "source"
+) -> DataFrame:
+    """(id, part, text_key, n_words, n_distinct, marked) of every document: row sums and nonzero counts of
+    the matrix, taken shard by shard as it is recoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,12 +224,19 @@ def measure(shards: DataFrame) -> DataFrame:
                 )
                 at = starts.to_numpy()
                 upto = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
-                columns = [ids, parts, keys, pa.array(upto[at[1:]] - upto[at[:-1]]), pa.array(np.diff(at)), flags]
+                # A row's cells are one per code, so codes that differ from the one before start a cell.
+                terms = _recoded(batch, i)
+                new = np.ones(len(terms) + 1, dtype=np.int64)
+                new[1:-1] = terms[1:] != terms[:-1]
+                new[at[:-1]] = 1
+                cells = np.concatenate([[0], np.cumsum(new[:-1])])
+                columns = [ids, parts, keys, pa.array(upto[at[1:]] - upto[at[:-1]]), pa.array(cells[at[1:]] - cells[at[:-1]]), flags]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    kind = shards.schema["ids"].dataType.elementType.simpleString()
+    coded, _ = _with_codes(docs, id_column, text_column, part_column)
+    kind = docs.schema[id_column].dataType.simpleString()
     names = ["id", "part", "text_key", "n_words", "n_distinct", "marked"]
-    plain = shards.select("ids", "parts", "keys", "flags", "starts", "counts")
+    plain = coded.select("ids", "parts", "keys", "flags", "starts", "terms", "counts", "codes")
     return plain.mapInArrow(run, f"id {kind}, part string, text_key binary, n_words long, n_distinct long, marked int")
 
 
@@ -265,6 +329,6 @@ def audit(
     part_column: str = "source",
 ) -> DataFrame:
     """One row per part, order of the filters and step, with what the step keeps and removes."""
-    shards, _ = term_matrix(docs, id_column, text_column, part_column)
-    counts, _ = write(failures(measure(shards), labels, id_column), "failures")
+    rows = measure(docs, id_column, text_column, part_column)
+    counts, _ = write(failures(rows, labels, id_column), "failures")
     return interactions(counts)
