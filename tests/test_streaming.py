@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from helpers import values
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from veritable.operators import ranges
 from veritable.streaming import guard, ingest, registry
 from veritable.sources.readers import read_record_stream
 
@@ -147,3 +150,45 @@ def test_registry_rules(spark):
     assert values(got, "model", "status", "ts") == [("done", "COMPLETED", 5), ("fresh", "COMPLETED", 3), ("kept", "MODEL_FAULT", 1), ("retry", "INFRASTRUCTURE_FAULT", 6)]
     assert values(registry.work_list(got), "model", "resources") == [("retry", "large")]
     assert values(registry.completed(got), "model") == [("done",), ("fresh",)]
+
+
+def plain_summary(flags):
+    runs, now = [], 0
+    for bad in flags:
+        now = now + 1 if bad else 0
+        runs.append(now)
+    head = next((i for i, bad in enumerate(flags) if not bad), len(flags))
+    return guard.RunSummary(len(flags), head, runs[-1] if runs else 0, max(runs, default=0))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.5, 0.97, 1.0])
+def test_run_summary_over_ranges(spark, monkeypatch, share):
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 30)
+    monkeypatch.setattr(ranges, "FANOUT", 4)
+    rng = random.Random(int(share * 100))
+    flags = [rng.random() < share for _ in range(900)]
+    df = spark.createDataFrame([(i // 7, i, f) for i, f in enumerate(flags)], "a int, i int, bad boolean").repartition(5)
+    got = guard.run_summary(df, F.col("bad"), ["a", "i"])
+    assert got == plain_summary(flags)
+    # From `least` on the longest run is exact; below it no run is taken for longer than it is.
+    most = got.longest
+    assert guard.run_summary(df, F.col("bad"), ["a", "i"], max(most, 1)).longest == most
+    assert guard.run_summary(df, F.col("bad"), ["a", "i"], most + 1).longest <= most
+
+
+def test_summaries_add_up_in_any_grouping():
+    rng = random.Random(4)
+    for _ in range(200):
+        flags = [rng.random() < 0.7 for _ in range(rng.randint(0, 12))]
+        i, j = sorted((rng.randint(0, len(flags)), rng.randint(0, len(flags))))
+        a, b, c = (plain_summary(x) for x in (flags[:i], flags[i:j], flags[j:]))
+        assert (a + b) + c == a + (b + c) == plain_summary(flags)
+
+
+def test_no_rows_keep_the_open_run(spark):
+    empty = spark.createDataFrame([], "i int, bad boolean")
+    assert guard.check_failures(empty, F.col("bad"), ["i"], 10, carried=4) == 4
+    ones = spark.range(5).select("id", F.lit(True).alias("bad"))
+    assert guard.check_failures(ones, F.col("bad"), ["id"], 10, carried=4) == 9
+    with pytest.raises(guard.TooManyFailures):
+        guard.check_failures(ones, F.col("bad"), ["id"], 9, carried=4)

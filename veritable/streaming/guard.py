@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +53,77 @@ def failure_runs(df: DataFrame, failed: Column, order: Sequence[str], groups: Se
     )
 
 
+@dataclass
+class RunSummary:
+    """What an ordered piece says about runs of failures. Summaries of neighbours add up, in any grouping."""
+
+    length: int = 0
+    head: int = 0  # failures before the first success
+    tail: int = 0  # failures after the last one
+    longest: int = 0
+
+    def __add__(self, after: RunSummary) -> RunSummary:
+        return RunSummary(
+            self.length + after.length,
+            self.length + after.head if self.head == self.length else self.head,
+            self.tail + after.length if after.tail == after.length else after.tail,
+            max(self.longest, after.longest, self.tail + after.head),
+        )
+
+
+def run_summary(df: DataFrame, failed: Column, order: Sequence[str], least: int = 1) -> RunSummary:
+    """The summary of all rows in their order; `longest` may be missed where it is below `least`.
+
+    Rows are dealt into key ranges and counted there, not sorted: the first and the last success of a
+    range tell its head and tail, and runs over several ranges are sums over a table with one row per
+    range. Only ranges with at least `least` failures between successes are looked at row by row.
+    """
+    order = list(order)
+    slim = settle(df.select(*order, F.coalesce(failed, F.lit(True)).alias("_bad")), "outcomes")
+    slim = with_range(slim, order).select("_range", F.struct(*order).alias("_at"), "_bad")
+    good = F.when(~F.col("_bad"), F.col("_at"))
+    ranges = settle(
+        slim.groupBy("_range").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("_bad").alias("bad"),
+            F.min(good).alias("first"),
+            F.max(good).alias("last"),
+        ),
+        "ranges",
+    )
+    if not ranges.agg(F.sum("bad")).first()[0]:
+        return RunSummary(ranges.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    outer = slim.filter("_bad").join(ranges.select("_range", "first", "last"), "_range").groupBy("_range")
+    outer = outer.agg(
+        F.count_if(F.col("first").isNull() | (F.col("_at") < F.col("first"))).alias("head"),
+        F.count_if(F.col("last").isNull() | (F.col("_at") > F.col("last"))).alias("tail"),
+    )
+    told = settle(ranges.join(outer, "_range", "left").fillna(0, ["head", "tail"]), "heads")
+    # A run over the border of ranges: the tail of one with a success, whole ranges, the head of the next with one.
+    mixed = F.col("first").isNotNull()
+    line = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    block = told.withColumn("block", F.coalesce(F.count_if(mixed).over(line), F.lit(0)))
+    parts = F.when(
+        mixed,
+        F.array(
+            F.struct("block", F.col("head").alias("length")),
+            F.struct((F.col("block") + 1).alias("block"), F.col("tail").alias("length")),
+        ),
+    ).otherwise(F.array(F.struct("block", F.col("n").alias("length"))))
+    blocks = block.select(F.inline(parts)).groupBy("block").agg(F.sum("length").alias("length"))
+    ends = blocks.agg(
+        F.min_by("length", "block").alias("head"), F.max_by("length", "block").alias("tail"), F.max("length").alias("longest")
+    ).first()
+    total = told.agg(F.sum("n")).first()[0]
+    between = told.filter(mixed & (F.col("bad") - F.col("head") - F.col("tail") >= least))
+    rows = slim.join(between.select("_range", "first", "last"), "_range")
+    rows = rows.filter((F.col("_at") >= F.col("first")) & (F.col("_at") <= F.col("last")))
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = rows.withColumn("since", F.max(good).over(inside)).filter("_bad").groupBy("_range", "since").count()
+    inner = runs.agg(F.max("count")).first()[0] if between.take(1) else 0
+    return RunSummary(total, ends["head"], ends["tail"], max(ends["longest"], inner or 0))
+
+
 def check_failures(
     df: DataFrame, failed: Column, order: Sequence[str], limit: int = 100, carried: int = 0
 ) -> int:
@@ -59,23 +131,8 @@ def check_failures(
 
     `carried` failures came directly before the first row.
     """
-    at = F.struct(*order)
-    ends = df.agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n")).first()
-    if not ends["n"]:
-        return carried
-    runs = failure_runs(df, failed, order)
-    # Lengths of the run at the start, the run at the end, and the longest of all.
-    found = runs.agg(
-        F.max(F.when(F.struct(*[F.col(f"first.{c}") for c in order]) == _literal(ends["first"], df, order), F.col("length"))).alias("head"),
-        F.max(F.when(F.struct(*[F.col(f"last.{c}") for c in order]) == _literal(ends["last"], df, order), F.col("length"))).alias("tail"),
-        F.max("length").alias("longest"),
-    ).first()
-    head, tail = found["head"] or 0, found["tail"] or 0
-    longest = max(found["longest"] or 0, head + carried if head else 0)
-    if longest >= limit:
-        raise TooManyFailures(f"{longest} consecutive failures, limit {limit}")
-    return carried + tail if tail == ends["n"] else tail
-
-
-def _literal(row, df: DataFrame, order: Sequence[str]) -> Column:
-    return F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+    before = RunSummary(carried, carried, carried, carried)
+    both = before + run_summary(df, failed, order, limit)
+    if both.longest >= limit:
+        raise TooManyFailures(f"{both.longest} consecutive failures, limit {limit}")
+    return both.tail
