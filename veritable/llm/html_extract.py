@@ -6,8 +6,8 @@ text to be main text (`page_model`). Runs of at least one half are the page's te
 
 The model is learned once per call, from `WRITTEN` labelled pages of invented words in many layouts
 and at most `SAMPLED` pages of the table that label themselves: those with exactly one <article> or
-<main>, of at most `SAMPLE_CHARS` characters, the first by a hash of the page's columns. This sample is
-the only bound; all pages are extracted whole.
+<main>, of at most `SAMPLE_CHARS` characters, the first by a hash of their columns, one page a hash. This
+sample is the only bound; all pages are extracted whole.
 
 Handling: null or empty html has an empty text; rows are independent, equal ones give equal results;
 markup may be broken (`html_tree`); html without markup is one run of text. Pages are handled in
@@ -35,8 +35,12 @@ def learn(pages: DataFrame, html_column: str = "html", by: Sequence[str] = ("pag
     """The model of the module's docstring."""
     html = pages[html_column]
     usable = pages.filter((F.length(html) <= SAMPLE_CHARS) & html.rlike("(?i)<(article|main)[\\s>]"))
-    order = F.xxhash64(*[pages[c] for c in by])
-    rows = usable.select(order.alias("h"), html.alias("html")).orderBy("h", "html").limit(SAMPLED).collect()
+    hashed = usable.select(F.xxhash64(*[pages[c] for c in by]).alias("h"), html.alias("html"))
+    # Hashes alone are sorted, so no task sends pages that others' smaller hashes leave out.
+    first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLED).collect()]
+    if not first:
+        return fit(written_pages(WRITTEN))
+    rows = hashed.filter(F.col("h") <= first[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
     own = [marked for marked in (self_labelled(r["html"]) for r in rows) if marked is not None]
     return fit([*written_pages(WRITTEN), *own])
 
