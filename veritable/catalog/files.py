@@ -111,20 +111,22 @@ def append_metadata(spark, d):
     return spark.read.parquet(path).drop("run")
 
 
-@query("SELECT page_id, page_id < (SELECT count(*) // 2 FROM pages) AS first_run, true AS written FROM pages")
+@query("""
+WITH h AS (SELECT count(*) // 2 AS half FROM pages),
+     r AS (SELECT page_id, half, CASE WHEN page_id < half THEN 0 ELSE 1 END AS run FROM pages, h),
+     p AS (SELECT page_id, half, run, row_number() OVER (PARTITION BY run ORDER BY md5('42:' || CAST(page_id AS VARCHAR)), page_id) - 1 AS place FROM r),
+     s AS (SELECT page_id, CAST(place // 64 + CASE run WHEN 0 THEN 0 ELSE (half + 63) // 64 END AS INTEGER) AS shard FROM p)
+SELECT page_id, shard, count(*) OVER (PARTITION BY shard) AS rows FROM s""")
 def package_twice(spark, d):
-    """Two runs into one folder, the second with more rows: every row is there, once, and the rows of
-    the first run keep the lower shard numbers."""
+    """Two runs into one folder, the second with more rows: every row is there, once, the rows of the
+    first run keep the lower shard numbers, and shards are full."""
     path = fresh_path(spark, "shards")
     pages = table(spark, d, "pages").select("page_id", "html")
     half = pages.count() // 2
     writers.write_shards(pages.filter(F.col("page_id") < half), path, "page_id", 64, 42)
     writers.write_shards(pages, path, "page_id", 64, 42)
     written = spark.read.parquet(path).select("page_id", "shard")
-    shards = -(-half // 64)
-    return written.select(
-        "page_id", (F.col("shard") < shards).alias("first_run"), F.col("shard").isNotNull().alias("written")
-    )
+    return written.join(written.groupBy("shard").agg(F.count(F.lit(1)).alias("rows")), "shard")
 
 
 @query("SELECT s_name AS run, CASE WHEN s_nationkey % 4 < 3 THEN s_acctbal END AS auc FROM supplier")

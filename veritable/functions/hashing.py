@@ -17,9 +17,9 @@ def as_column(c: Column | str) -> Column:
 
 
 def order_hash(seed: int | str | Column, key: Column | str) -> Column:
-    """32 lower-case hex digits that order rows at random but reproducibly."""
+    """32 lower-case hex digits that order rows at random but reproducibly; a null key comes first."""
     seed_text = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
-    return F.md5(F.concat(seed_text, F.lit(":"), as_column(key).cast("string")))
+    return F.coalesce(F.md5(F.concat(seed_text, F.lit(":"), as_column(key).cast("string"))), F.lit(""))
 
 
 def hash_prefix(h: Column, digits: int) -> Column:

@@ -6,16 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritable.operators.filters import keep_existing, moderate
-from veritable.session import settle
+from veritable.sources.commits import CommitLog, same, written_rows
 from veritable.sources.readers import embed_payload
-from veritable.sources.writers import (
-    assign_shards,
-    free_numbers,
-    mark_packaged,
-    only_new,
-    write_assigned,
-    written_rows,
-)
+from veritable.sources.writers import assign_shards, mark_packaged, only_new, shard_sizes, write_assigned
 
 
 def package(
@@ -32,11 +25,11 @@ def package(
     """Moderate, drop rows without a file, embed payloads, write shards, flag what was written.
 
     `media` is (`name`, `content`); `scores` is (key, `scores`). Only rows no earlier run has
-    packaged or written are taken; their shards are numbered after those in the folder. A row is
-    flagged if its key is in the folder, whichever run wrote it.
+    packaged or written, and no open one has claimed, are taken (`commits`). A row is flagged if its
+    key is in the folder, whichever run wrote it.
     """
-    spark = meta.sparkSession
-    written = settle(written_rows(spark, folder, "path", meta.schema[key].dataType), "written")
+    spark, kind = meta.sparkSession, meta.schema[key].dataType
+    written = written_rows(spark, folder, "path", kind)
     fresh = only_new(meta).join(written.select(F.col("path").alias(key)), key, "left_anti")
     fresh = fresh.join(scores, key, "left")
     passed, quarantine = moderate(fresh, "scores", label, threshold)
@@ -44,12 +37,17 @@ def package(
     # payloads move twice at most: to their row and to their shard.
     listing = media.select(F.col("name").alias(key))
     present, missing = keep_existing(passed.drop("scores"), listing, key)
-    dealt = assign_shards(present, key, rows_per_shard, seed, free_numbers(written))
+    log = CommitLog(spark, folder)
+    claim = log.claim(present.select(key), rows_per_shard, "path")
+    mine = claim.keys.distinct().withColumnRenamed(key, "_mine")
+    dealt = present.join(mine, same(F.col(key), F.col("_mine")), "left_semi")
+    dealt = assign_shards(dealt, key, rows_per_shard, seed, claim)
     embedded, _ = embed_payload(dealt, media, key)
-    shards = write_assigned(embedded.withColumn("path", F.col("image.path")), folder, "path", seed)
+    rows = embedded.withColumn("path", F.col("image.path"))
+    log.write(claim, lambda: write_assigned(rows, folder, "path", seed))
     return {
-        "shards": shards,
+        "shards": shard_sizes(spark, folder, kind, "path"),
         "quarantine": quarantine,
         "missing": missing,
-        "meta": mark_packaged(meta, spark.read.parquet(folder).select(F.col("path").alias(key)), key),
+        "meta": mark_packaged(meta, written_rows(spark, folder, "path", kind).select(F.col("path").alias(key)), key),
     }

@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +15,8 @@ from veritable.functions.hashing import order_hash
 from veritable.operators.canonical import conform
 from veritable.operators.ranking import global_index, hash_rank
 from veritable.operators.reports import label_share
-from veritable.session import settle
+from veritable.sources import files
+from veritable.sources.commits import Claim, CommitLog, same, written_rows
 
 
 def _manifest(spark: SparkSession, path: str, body: dict) -> None:
@@ -47,73 +47,69 @@ def write_split(df: DataFrame, folder: str, name: str, params: Mapping[str, obje
     return body
 
 
-def written_rows(spark: SparkSession, folder: str, key: str, like: T.DataType) -> DataFrame:
-    """(key, `shard`) of the rows already committed; none when the folder does not exist yet."""
-    try:
-        return spark.read.parquet(folder).select(key, F.col("shard").cast("int"))
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        schema = T.StructType([T.StructField(key, like), T.StructField("shard", T.IntegerType())])
-        return spark.createDataFrame([], schema)
-
-
-def free_numbers(written: DataFrame) -> tuple[list[int], int]:
-    """Shard numbers to use next: those missing among the committed ones, then from the last on."""
-    shards = written.select("shard").distinct()
-    last = shards.agg(F.max("shard")).first()[0]
-    if last is None:
-        return [], 0
-    every = written.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("shard"))
-    return sorted(r["shard"] for r in every.join(shards, "shard", "left_anti").collect()), last + 1
-
-
 def assign_shards(
-    df: DataFrame, key: str, rows_per_shard: int, seed: int, numbers: tuple[list[int], int] = ((), 0)
+    df: DataFrame, key: str, rows_per_shard: int, seed: int, claim: Claim | None = None
 ) -> DataFrame:
-    """Add `shard`: fixed-size slices of the seeded random order, numbered as `free_numbers` says."""
-    missing, after = numbers
-    slice_ = F.floor(F.col("_rank") / F.lit(rows_per_shard)).cast("int")
-    number = slice_ + F.lit(after - len(missing))
-    if missing:
-        number = F.coalesce(F.get(F.array(*[F.lit(m) for m in missing]), slice_), number)
-    return hash_rank(df, key, seed, name="_rank").withColumn("shard", number.cast("int")).drop("_rank")
+    """Add `shard`: fixed-size slices of the seeded random order, numbered from 0 or as a claim says."""
+    slice_ = F.floor(F.col("_rank") / F.lit(rows_per_shard)).cast("long")
+    ranked = hash_rank(df, key, seed, name="_rank").withColumn("_slice", slice_).drop("_rank")
+    number = F.col("_slice")
+    if claim is not None:
+        number = number - F.lit(claim.n_gaps) + F.lit(claim.first)
+        if claim.n_gaps:
+            filled = claim.gaps.select(F.col("slice").cast("long").alias("_slice"), F.col("shard").alias("_gap"))
+            ranked, number = ranked.join(filled, "_slice", "left"), F.coalesce(F.col("_gap"), number)
+    return ranked.withColumn("shard", number.cast("int")).drop("_slice", "_gap")
 
 
 def write_shards(df: DataFrame, folder: str, key: str, rows_per_shard: int, seed: int) -> DataFrame:
     """Write each shard as one Parquet file in `shard=<i>`, beside the shards already there.
 
     Returns the shard sizes. Rows whose key is in the folder are skipped, so a run that is repeated
-    adds nothing and a run over grown input adds what is new, under new shard numbers. A run that
-    fails before its job commits leaves nothing behind.
+    adds nothing and a run over grown input adds what is new, under new shard numbers. Several runs may
+    write at once: numbers and rows are claimed in the folder's log (`commits`).
     """
-    written = settle(written_rows(df.sparkSession, folder, key, df.schema[key].dataType), "written")
-    fresh = df.join(written.select(key), key, "left_anti")
-    return write_assigned(assign_shards(fresh, key, rows_per_shard, seed, free_numbers(written)), folder, key, seed)
+    log = CommitLog(df.sparkSession, folder)
+    claim = log.claim(df.select(key), rows_per_shard)
+    mine = claim.keys.distinct().withColumnRenamed(key, "_mine")
+    fresh = df.join(mine, same(F.col(key), F.col("_mine")), "left_semi")
+    log.write(claim, lambda: write_assigned(assign_shards(fresh, key, rows_per_shard, seed, claim), folder, key, seed))
+    return shard_sizes(df.sparkSession, folder, df.schema[key].dataType, key)
+
 
+def shard_sizes(spark: SparkSession, folder: str, like: T.DataType, key: str) -> DataFrame:
+    return written_rows(spark, folder, key, like).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
 
-def write_assigned(df: DataFrame, folder: str, key: str, seed: int) -> DataFrame:
-    """Write rows that carry their `shard`, of numbers that the folder does not hold. A shard goes
-    into one task whole; it holds a fixed number of rows by construction."""
-    spark = df.sparkSession
+
+def write_assigned(df: DataFrame, folder: str, key: str, seed: int) -> None:
+    """Write rows that carry their `shard`, of numbers that no other run holds. A shard goes into one
+    task whole; it holds a fixed number of rows by construction.
+
+    Overwriting by partition keeps the files of a job in a staging folder of its own, where writers that
+    append to one folder would share theirs.
+    """
     (
         df.repartition("shard")
         .sortWithinPartitions("shard", order_hash(seed, key))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("shard")
         .parquet(folder)
     )
-    return spark.read.parquet(folder).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def append_metadata(df: DataFrame, path: str, schema: T.StructType) -> None:
     """Append rows in the fixed schema.
 
-    Each call writes a folder `run=<id>` of its own: writers into one folder would share its
-    temporary files, and the first to commit would remove those of the others.
+    Each call writes a folder of its own, under a name that readers skip, and moves it to `run=<id>` when
+    it is whole: writers into one folder would share its temporary files, and the first to commit
+    would remove those of the others.
     """
     rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    rows.write.parquet(f"{path}/run={uuid.uuid4().hex}")
+    run = uuid.uuid4().hex
+    rows.write.parquet(f"{path}/.run-{run}")
+    if not files.rename(df.sparkSession, f"{path}/.run-{run}", f"{path}/run={run}"):
+        raise OSError(f"could not move {path}/.run-{run} into place")
 
 
 def pending_batches(
