@@ -70,6 +70,16 @@ def test_old_runs_are_removed(spark, tmp_path):
     assert set(files.names(spark, folder)) == held | {"state"}
 
 
+def test_runs_of_several_buckets_add_up(spark, tmp_path):
+    index = KeyIndex(spark, str(tmp_path / "i"), slot_keys=2, merge_at=2)
+    fill(index, spark, 4, 100)
+    (run,) = index.state(4)["runs"]
+    assert run["slots"] > 32 and run["keys"] == 400 and run["level"] == 2
+    asked = [f"k{i}" for i in range(350, 450)]
+    known, _ = index.known(spark.createDataFrame([(k,) for k in asked], "k string"), [run])
+    assert sorted(r.k for r in known.collect()) == sorted(asked[:50])
+
+
 @pytest.mark.parametrize("kind", ["string", "long"])
 def test_bits_of_the_filter(spark, kind):
     keys = spark.range(300).select(F.col("id").cast(kind).alias("k"))

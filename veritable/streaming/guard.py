@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veritable.operators.ranges import with_range
+from veritable.operators.ranges import split_points, with_range
 from veritable.session import settle
 
 
@@ -80,8 +80,21 @@ def run_summary(df: DataFrame, failed: Column, order: Sequence[str], least: int
     """
     order = list(order)
     slim = settle(df.select(*order, F.coalesce(failed, F.lit(True)).alias("_bad")), "outcomes")
-    slim = with_range(slim, order).select("_range", F.struct(*order).alias("_at"), "_bad")
+    splits = split_points(slim, order, slim.count())
+    slim = splits.number(slim, "_range").select("_range", F.struct(*order).alias("_at"), "_bad")
     good = F.when(~F.col("_bad"), F.col("_at"))
+    before = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = F.max(good).over(before)
+    if splits.ranges == 1:
+        runs = slim.withColumn("since", since).groupBy("since")
+        runs = runs.agg(F.count_if("_bad").alias("bad"), F.count(F.lit(1)).alias("n"))
+        found = runs.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+            F.coalesce(F.max(F.when(F.col("since").isNull(), F.col("bad"))), F.lit(0)).alias("head"),
+            F.coalesce(F.max_by("bad", "since"), F.max("bad"), F.lit(0)).alias("tail"),
+            F.coalesce(F.max("bad"), F.lit(0)).alias("longest"),
+        ).first()
+        return RunSummary(found["n"], found["head"], found["tail"], found["longest"])
     ranges = settle(
         slim.groupBy("_range").agg(
             F.count(F.lit(1)).alias("n"),
@@ -118,8 +131,7 @@ def run_summary(df: DataFrame, failed: Column, order: Sequence[str], least: int
     between = told.filter(mixed & (F.col("bad") - F.col("head") - F.col("tail") >= least))
     rows = slim.join(between.select("_range", "first", "last"), "_range")
     rows = rows.filter((F.col("_at") >= F.col("first")) & (F.col("_at") <= F.col("last")))
-    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = rows.withColumn("since", F.max(good).over(inside)).filter("_bad").groupBy("_range", "since").count()
+    runs = rows.withColumn("since", since).filter("_bad").groupBy("_range", "since").count()
     inner = runs.agg(F.max("count")).first()[0] if between.take(1) else 0
     return RunSummary(total, ends["head"], ends["tail"], max(ends["longest"], inner or 0))
 

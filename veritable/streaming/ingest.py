@@ -18,7 +18,6 @@ from pyspark.sql.streaming import StreamingQuery
 from veritable.functions.hashing import order_hash
 from veritable.operators.filters import since_cutoff
 from veritable.operators.ranking import head_rows
-from veritable.session import settle
 from veritable.streaming.guard import check_failures
 from veritable.streaming.key_index import KeyIndex
 
@@ -88,9 +87,10 @@ def ingest_posts(
                 old = old.unionByName(read_sink(batch, sink, batch_id).select(key))
             runs = index.seed(old, batch_id, runs)
         recent = since_cutoff(batch, cutoffs, channel, created, default_cutoff)
-        fresh = one_per_key(recent, key, [created, key])
-        known, _ = index.known(settle(fresh.select(key).filter(F.col(key).isNotNull()), "keys"), runs)
+        fresh = one_per_key(recent, key, [created, key]).persist()
+        known, _ = index.known(fresh.select(key).filter(F.col(key).isNotNull()), runs)
         write_batch(fresh.join(known, key, "left_anti").select(*batch.columns), sink, batch_id)
+        fresh.unpersist()
         written = spark.read.schema(batch.schema).parquet(f"{sink}/batch_id={batch_id}")
         index.add(written.select(key), batch_id, runs, before)
         started.append(True)

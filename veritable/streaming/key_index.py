@@ -2,7 +2,7 @@
 
 Keys are kept in runs. A run is a Parquet table of slots of about SLOT_KEYS keys each: the slot of a
 key is given by the first bits of its hash, a Bloom filter of 32 768 bits stands beside the keys of a
-slot, and SLOTS_PER_BUCKET slots are one folder `bucket=<i>`. A batch of keys is looked up by opening
+slot, and SLOTS_PER_BUCKET slots are one folder `bucket=<i>`; a run that fits one bucket is a plain list. A batch of keys is looked up by opening
 the folders of its own hashes alone, and there the column of filters; only slots whose filter lets a
 key through have their keys read and compared. So what a batch reads follows from its own size.
 
@@ -74,13 +74,19 @@ class KeyIndex:
     # ------------------------------------------------------------------ runs
 
     def _write_run(self, keys: DataFrame, name: str, level: int) -> dict | None:
-        """`keys`: one column, distinct and not null."""
+        """`keys`: one column, distinct and not null. A run of one bucket is its keys alone."""
         (column,) = keys.columns
+        path = f"{self.folder}/{name}"
+        keys.select(F.col(column).alias("key")).write.mode("overwrite").parquet(f"{path}-keys")
+        keys = self.spark.read.parquet(f"{path}-keys")
         n = keys.count()
         if not n:
+            files.delete(self.spark, f"{path}-keys")
             return None
         slots = 1 << max((n - 1) // self.slot_keys, 0).bit_length()
-        key, path = F.col(column), f"{self.folder}/{name}"
+        if slots <= SLOTS_PER_BUCKET:
+            return {"path": f"{path}-keys", "level": level, "slots": slots, "keys": n}
+        key = F.col("key")
         rows = keys.select(key.alias("key"), _slot(key, slots).alias("slot"))
         rows = rows.withColumn("bucket", F.floor(F.col("slot") / SLOTS_PER_BUCKET).cast("int")).repartition("bucket")
         marks = rows.select("bucket", "slot", "key", F.posexplode(F.array(*_bits(F.col("key")))).alias("i", "bit"))
@@ -89,12 +95,14 @@ class KeyIndex:
             F.collect_list(F.when(F.col("i") == 0, F.col("key"))).alias("keys"),
         )
         table.sortWithinPartitions("bucket", "slot").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        files.delete(self.spark, f"{path}-keys")
         return {"path": path, "level": level, "slots": slots, "keys": n}
 
     def _keys_of(self, runs: list[dict], column: str) -> DataFrame:
         found = None
         for run in runs:
-            one = self.spark.read.parquet(run["path"]).select(F.explode("keys").alias(column))
+            one = self.spark.read.parquet(run["path"])
+            one = one.select((F.col("key") if run["slots"] <= SLOTS_PER_BUCKET else F.explode("keys")).alias(column))
             found = one if found is None else found.unionByName(one)
         return found
 
@@ -117,7 +125,7 @@ class KeyIndex:
         if runs:
             known, _ = self.known(fresh, runs)
             fresh = fresh.join(known, column, "left_anti")
-        run = self._write_run(settle(fresh, "seed"), f"seed-{batch_id}", 1)
+        run = self._write_run(fresh, f"seed-{batch_id}", 1)
         return [*runs, run] if run else runs
 
     # ------------------------------------------------------------------ look-up
@@ -151,7 +159,13 @@ class KeyIndex:
         """
         (column,) = keys.columns
         key = F.col(column)
-        opened, near = [], None
+        opened, near, found = [], None, keys.filter(F.lit(False))
+        small = [r for r in runs if r["slots"] <= SLOTS_PER_BUCKET]
+        if small:  # one bucket each, compared as it is
+            held = self._keys_of(small, column)
+            opened += held.inputFiles()
+            found = keys.join(held, column, "left_semi")
+        runs = [r for r in runs if r["slots"] > SLOTS_PER_BUCKET]
         for i, (run, buckets) in enumerate(zip(runs, self._touched(keys, runs, column), strict=True)):
             filters = self._read(run, buckets, ["slot", "filter"])
             if filters is None:
@@ -162,12 +176,10 @@ class KeyIndex:
                 tested = tested.filter(_is_set(F.col("filter"), bit))
             one = tested.select(F.lit(i).alias("run"), column, "slot")
             near = one if near is None else near.unionByName(one)
-        none = keys.filter(F.lit(False))
         if near is None:
-            return none, opened
+            return found, opened
         near = settle(near, "near")
         bucket = F.floor(F.col("slot") / SLOTS_PER_BUCKET).cast("int")
-        found = none
         where = near.groupBy("run").agg(F.collect_set(bucket).alias("buckets"), F.count("*").alias("n")).collect()
         for row in where:
             run = runs[row["run"]]
