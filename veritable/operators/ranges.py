@@ -93,12 +93,13 @@ class Splits:
         return rows
 
 
-def split_points(keys: DataFrame, order: Sequence[str], rows: int) -> Splits:
+def split_points(keys: DataFrame, order: Sequence[str], rows: int, ranges: int | None = None) -> Splits:
     """Split points of `keys` (`rows` rows, read several times) by their `order` columns.
 
-    About SAMPLES_PER_RANGE rows a range are drawn, by a hash of all columns of `keys`.
+    About SAMPLES_PER_RANGE rows a range are drawn, by a hash of all columns of `keys`. The number of
+    ranges follows from the rows, if it is not given.
     """
-    order, ranges = list(order), range_count(rows)
+    order, ranges = list(order), ranges or range_count(rows)
     splits = Splits(order, ranges, None, [])
     u = F.xxhash64(*keys.columns) / F.lit(2.0**64) + 0.5
     sampled = 1
