@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from veritable.llm import fingerprint
+from veritable.operators import ranges
 
 
 def rows():
@@ -22,7 +23,7 @@ def jaccard(a, b):
 
 
 def test_edits(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 20)
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 3000)
     data = rows()
     df = spark.createDataFrame([(*r, "x") for r in data], "doc_id long, text string, place string").repartition(5)
     got = fingerprint.compare_with_edits(df).collect()
@@ -47,6 +48,30 @@ def test_edits(spark, monkeypatch):
     assert fingerprint.compare_with_edits(df.filter("doc_id = 1003")).first().near_next == 1.0
 
 
+def test_next_texts_of_many_short_rows(spark):
+    df = spark.range(100_000).select((F.col("id") * 7 % 100_003).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    got = fingerprint.with_next(df)
+    assert got.select("range").distinct().count() == 1  # ranges follow bytes, not rows
+    want = {r.doc_id: r.text for r in df.collect()}
+    order = sorted(want, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    rows = got.select("id", "text", "next_text").collect()
+    assert len(rows) == 100_000 and all(r.text == want[r.id] and r.next_text == want[after[r.id]] for r in rows)
+
+
+def test_next_texts_over_levels_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 200)
+    monkeypatch.setattr(ranges, "FANOUT", 4)
+    df = spark.range(2000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    got = fingerprint.with_next(df)
+    rows = {r.id: r for r in got.collect()}
+    assert len(rows) == 2000 and len({r.range for r in rows.values()}) > 20
+    places = {(r.range, r.place): r.id for r in rows.values()}
+    for i, r in rows.items():
+        after = i - 3 if i else 5997
+        assert r.next_text == f"t{after // 3}" and places[r.next_range, r.next_place] == after
+
+
 def test_collisions_are_generalised_jaccard(spark):
     texts = [("a " * 5 + "b " * 3 + "c d e f", "a " * 2 + "b " * 6 + "c d g h"), ("x y z", "x y z"), ("p q", "r s"), ("w " * 40, "w " * 10)]
     df = spark.createDataFrame([(k, i, t) for i, pair in enumerate(texts) for k, t in enumerate(pair)], "side int, id int, text string")

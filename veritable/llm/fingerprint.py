@@ -30,13 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritable.llm.common import settle, words
-from veritable.operators.ranges import range_number
+from veritable.operators.ranges import split_points
 
 SAMPLES = 32
 DIGITS = 8  # hex digits of a sample
 EMPTY = "empty"
-#: Rows of a range in `with_next`.
-RANGE_ROWS = 500
+#: Bytes of text of a range in `with_next`.
+RANGE_BYTES = 8 << 20
 
 
 def _sample(k: int) -> Column:
@@ -88,49 +88,44 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """Rows in descending id (nulls last, equal ids by text), each with the text that follows.
 
     (range, place, id, text, next_text, next_range, next_place); the last row is followed by the
-    first. Rows are dealt once, by ranges of ids; the first row of each range is all that other
-    ranges need of it. Split points only steer the load.
+    first. Rows are dealt once, by ranges of ids of some RANGE_BYTES of text; split points come in
+    levels of bounded size and only steer the load. A range is closed by a copy of the first row of
+    the next one; the chain of ranges itself holds their numbers alone.
     """
     plain = docs.select(
         docs[id_column].alias("id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text")
     )
-    rows = plain.count()
-    ranges = max(1, math.ceil(rows / RANGE_ROWS))
-    fractions = [i / ranges for i in range(1, ranges)]
-    bounds = plain.agg(F.percentile_approx("id", fractions, F.lit(max(10_000, 4 * ranges)))).first()[0] if fractions else None
-    bounds = sorted(set(bounds or []))
-    number = range_number(F.col("id"), F.array(*[F.lit(b) for b in bounds]), len(bounds)) if bounds else F.lit(0)
-    ranged = plain.withColumn("range", F.coalesce(number, F.lit(0)))
+    keys = settle(plain.select("id", F.octet_length("text").cast("long").alias("bytes")), "ids")
+    size = keys.agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    splits = split_points(keys, ["id"], size["rows"], max(1, math.ceil((size["bytes"] or 0) / RANGE_BYTES)))
     # Written first, so that its size is known before a plan decides whether texts move to meet it.
-    ids = settle(ranged.groupBy("range").agg(F.max("id").alias("first_id")), "ids")
-    firsts = settle(
-        ranged.join(ids.withColumnRenamed("range", "r"), (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("first_id")))
-        .groupBy("range")
-        .agg(F.max("text").alias("text")),
-        "firsts",
+    heads = settle(splits.number(keys, "range").groupBy("range").agg(F.max("id").alias("first_id")), "heads")
+    line = Window.orderBy(F.col("range").desc())  # one row per range: its number
+    last = F.first("range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    chain = heads.select(F.col("range").alias("before"), F.coalesce(F.lead("range").over(line), last).alias("after"))
+    ranged = splits.number(plain, "range")
+    first = (F.col("range") == F.col("r")) & F.col("id").eqNullSafe(F.col("first_id"))
+    firsts = ranged.join(heads.withColumnRenamed("range", "r"), first).groupBy("range").agg(F.max("text").alias("text"))
+    closing = settle(
+        firsts.join(settle(chain, "chain"), F.col("range") == F.col("after")).select(
+            F.col("before").alias("range"), F.lit(None).cast(keys.schema["id"].dataType).alias("id"), "text", F.col("after").alias("closes")
+        ),
+        "closing",
     )
-    around = Window.orderBy(F.col("range").desc())  # one row per range
-    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edges = firsts.select(
-        F.col("range").alias("edge_range"),
-        F.coalesce(F.lead("text").over(around), F.first("text").over(whole)).alias("edge_text"),
-        F.coalesce(F.lead("range").over(around), F.first("range").over(whole)).alias("edge_next"),
+    rows = ranged.withColumn("closes", F.lit(None).cast("long")).unionByName(closing)
+    inside = Window.partitionBy("range").orderBy(
+        F.col("closes").asc_nulls_first(), F.col("id").desc_nulls_last(), F.col("text").desc()
     )
-    inside = Window.partitionBy("range").orderBy(F.col("id").desc_nulls_last(), F.col("text").desc())
+    after = F.lead("closes").over(inside)
     return (
-        ranged.repartition(ranges, "range")
-        .withColumn("place", F.row_number().over(inside))
-        .withColumn("after", F.lead("text").over(inside))
-        .join(edges, F.col("range") == F.col("edge_range"), "left")
-        .select(
-            "range",
-            "place",
-            "id",
-            "text",
-            F.coalesce("after", "edge_text").alias("next_text"),
-            F.when(F.col("after").isNull(), F.col("edge_next")).otherwise(F.col("range")).alias("next_range"),
-            F.when(F.col("after").isNull(), 1).otherwise(F.col("place") + 1).alias("next_place"),
-        )
+        rows.withColumns({
+            "place": F.row_number().over(inside),
+            "next_text": F.lead("text").over(inside),
+            "next_range": F.coalesce(after, F.col("range")),
+            "next_place": F.when(after.isNull(), F.row_number().over(inside) + 1).otherwise(1),
+        })
+        .filter("closes IS NULL")
+        .select("range", "place", "id", "text", "next_text", "next_range", "next_place")
     )
 
 
