@@ -5,11 +5,12 @@ from helpers import values
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import EqualTo, In
 
 from veritable import schemas
 from veritable.operators.reports import overall_auc
 from veritable.plans.packaging import package
-from veritable.sources import readers, writers
+from veritable.sources import listing, readers, writers
 
 PAIR = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
 
@@ -53,9 +54,10 @@ def test_listing_and_payloads(spark, tmp_path):
     for name, body in (("b.JPG", b"12"), ("a.png", b"1"), ("x.txt", b"z"), ("sub/c.jpg", b"123")):
         (tmp_path / name).write_bytes(body)
     flat = readers.list_media(spark, str(tmp_path), ["jpg", "png"])
-    assert [(r["name"], r["length"]) for r in flat.collect()] == [("a.png", 1), ("b.JPG", 2)]
+    assert values(flat, "name", "length") == [("a.png", 1), ("b.JPG", 2)]
     assert readers.list_media(spark, str(tmp_path), ["jpg", "png"], recursive=True).count() == 3
-    assert "content" not in flat._jdf.queryExecution().executedPlan().toString()
+    plain = spark.read.format("binaryFile").load(str(tmp_path)).filter("path like '%b.JPG'").select("path", "modificationTime")
+    assert values(flat.filter("name = 'b.JPG'"), "path", "modificationTime") == values(plain, "path", "modificationTime")
     meta = spark.createDataFrame([("a.png", "real"), ("zz.png", "fake")], "filename string, label string")
     embedded, missing = readers.embed_payload(meta, readers.read_payloads(spark, str(tmp_path)), "filename")
     assert [(bytes(r["image"]["bytes"]), r["image"]["path"], r["label"]) for r in embedded.collect()] == [(b"1", "a.png", "real")]
@@ -189,3 +191,26 @@ def test_registry_is_written_in_bounded_documents(spark, monkeypatch):
     got = files.read_registry(spark, folder)
     assert len(got.inputFiles()) > 3
     assert values(got, "model") == sorted(((n,) for n in names), key=repr)
+
+
+def test_listing_is_shared_out_by_folders(spark, tmp_path, monkeypatch):
+    want = []
+    for i in range(40):
+        for name in (f"d{i}/x{i}.mp4", f"d{i}/e/f/y{i}.MOV", f"d{i}/z.txt", f"d{i}/_hidden.mp4", f"d{i}/.h/q.mp4"):
+            file = tmp_path / name
+            file.parent.mkdir(parents=True, exist_ok=True)
+            file.write_bytes(b"1" * i)
+            if name.lower().endswith(("mp4", "mov")) and "hidden" not in name and ".h/" not in name:
+                want.append((f"file:{file}", i))
+    (tmp_path / "top.mp4").write_bytes(b"")
+    listed = readers.list_media(spark, str(tmp_path), [".mp4", "MOV"], recursive=True)
+    assert values(listed, "path", "length") == sorted([*want, (f"file:{tmp_path}/top.mp4", 0)], key=repr)
+    assert listed.rdd.getNumPartitions() >= 40
+    reader = listing.ListingReader({"path": str(tmp_path), "recursive": "true"})
+    rest = list(reader.pushFilters([In(("extension",), ("mp4", "mov")), EqualTo(("extension",), "mp4"), EqualTo(("name",), "a")]))
+    assert rest == [EqualTo(("name",), "a")] and reader.extensions == {"mp4"}
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 41
+    monkeypatch.setattr(listing, "PREFIXES", 1)
+    assert [(p.folder, p.deep) for p in reader.partitions()] == [(str(tmp_path), True)]
+    assert sum(b.num_rows for b in reader.read(reader.partitions()[0])) == 41
+    assert readers.list_media(spark, str(tmp_path / "d0" / "e"), ["mp4"]).count() == 0

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritable.functions.media import file_base, file_stem, has_extension
+from veritable.functions.media import file_base, file_stem
 from veritable.operators.ranking import head_rows
 from veritable.schemas import REGISTRY_ENTRY
+from veritable.sources.listing import FileListing
 
 
 def _csv(spark: SparkSession, schema: T.StructType, mode: str = "FAILFAST", multiline: bool = True) -> DataFrameReader:
@@ -83,15 +84,15 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def list_media(
     spark: SparkSession, folder: str, extensions: Sequence[str], recursive: bool = False
 ) -> DataFrame:
-    """`path`, `name`, `length`, `modificationTime` of the media files; contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .load(folder)
-        .select("path", file_base("path").alias("name"), "length", "modificationTime")
-        .filter(has_extension("path", extensions))
-        .orderBy("path")
-    )
+    """`path`, `name`, `length`, `modificationTime` of the media files, in no order; contents are not read.
+
+    Tasks list the folders, and leave out other extensions there (`listing`).
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(FileListing)
+    rows = spark.read.format(FileListing.name()).option("recursive", str(recursive).lower()).load(folder)
+    wanted = [e.lower().lstrip(".") for e in extensions]
+    return rows.filter(F.col("extension").isin(wanted)).select("path", "name", "length", "modificationTime")
 
 
 def read_tagged_union(
