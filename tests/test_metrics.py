@@ -130,3 +130,20 @@ def test_input_is_read_once_and_counted_first(spark, tmp_path, rows):
     # All that is left to read are the counts per model and score.
     assert "ReadSchema: struct<model:string,prob_fake:double,_pos:bigint,_neg:bigint>" in plan
     assert "label:int" not in plan
+
+
+def test_stored_counts_grow_by_what_is_new(spark, rows, tmp_path):
+    folder = str(tmp_path / "counts")
+    parts = [rows[:100], rows[100:650], rows[650:]]
+    for i, part in enumerate(parts):
+        metrics.append_counts(spark.createDataFrame(part, SCHEMA), folder, ["model"])
+        so_far = spark.createDataFrame([r for p in parts[: i + 1] for r in p], SCHEMA)
+        stored = metrics.rates(metrics.stored_totals(spark, folder, ["model"]), ["model"])
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, metrics.metrics_by(so_far).collect()))
+    # A run reads its own predictions alone, and adds one folder.
+    assert len(list((tmp_path / "counts").glob("run=*"))) == 3
+    (tmp_path / "counts" / "run=broken").mkdir()
+    one = spark.createDataFrame(rows[:1], SCHEMA)
+    before = sorted(p.name for p in (tmp_path / "counts").rglob("*.parquet"))
+    metrics.append_counts(one, folder, ["model"])
+    assert set(before) < {p.name for p in (tmp_path / "counts").rglob("*.parquet")}

@@ -18,16 +18,20 @@ from veritable.catalog.base import (
 from veritable.functions.naming import Rule
 from veritable.operators.joins import detector_test_matrix
 from veritable.operators.metrics import (
+    append_counts,
     balanced_source_accuracy,
     binary_metrics as binary_metrics_of,
     macro_mean,
     metrics_by,
+    rates,
     roc_auc,
+    stored_totals,
     split_report as split_report_of,
     sweep_summary as sweep_summary_of,
     weighted_mean,
 )
 from veritable.operators.ranking import rank_detectors as rank_detectors_of
+from veritable.session import fresh_path
 from veritable.operators.reports import (
     best_per_column as best_per_column_of,
     cross_matrix as cross_matrix_of,
@@ -49,6 +53,15 @@ def metrics_by_source(spark, d):
     return metrics_by(predictions(spark, d), ["model"])
 
 
+@query(metrics_sql(PREDICTIONS, "model"))
+def stored_metrics(spark, d):
+    """Metrics from counts that two runs have stored, each of its own predictions."""
+    folder, rows = fresh_path(spark, "counts"), predictions(spark, d)
+    for half in range(2):
+        append_counts(rows.filter(F.pmod(F.xxhash64("prob_fake"), F.lit(2)) == half), folder, ["model"])
+    return rates(stored_totals(spark, folder, ["model"]), ["model"])
+
+
 @query(f"""
 SELECT n, CAST(tp + neg - fp AS DOUBLE) / CAST(n AS DOUBLE) AS accuracy,
        CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS precision,

@@ -2,15 +2,49 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritable.functions.hashing import as_column
 from veritable.operators.filters import finite_only
 from veritable.operators.ranges import split_points
 from veritable.session import settle
+from veritable.sources import files
+
+
+def score_counts(
+    preds: DataFrame, keys: Sequence[str] = (), score: str = "prob_fake", label: str = "label"
+) -> DataFrame:
+    """(keys, score, `_pos`, `_neg`): rows of each label by score. Counts of parts of a table add up."""
+    return preds.groupBy(*keys, score).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
+    )
+
+
+def add_counts(counts: DataFrame, keys: Sequence[str] = (), score: str = "prob_fake") -> DataFrame:
+    """Counts of several parts as those of the whole."""
+    return counts.groupBy(*keys, score).agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+
+
+def append_counts(
+    preds: DataFrame, folder: str, keys: Sequence[str] = (), score: str = "prob_fake", label: str = "label"
+) -> None:
+    """Store the counts of new predictions beside those of earlier ones, which are not read."""
+    run = uuid.uuid4().hex
+    score_counts(finite_only(preds, score), keys, score, label).write.parquet(f"{folder}/.run-{run}")
+    if not files.rename(preds.sparkSession, f"{folder}/.run-{run}", f"{folder}/run={run}"):
+        raise OSError(f"could not move {folder}/.run-{run} into place")
+
+
+def stored_totals(
+    spark: SparkSession, folder: str, keys: Sequence[str] = (), score: str = "prob_fake", threshold: float = 0.5
+) -> DataFrame:
+    """`score_totals` of all predictions whose counts are stored in the folder."""
+    counts = add_counts(spark.read.parquet(folder), keys, score)
+    return totals_of(settle(counts, "counts"), keys, score, threshold)
 
 
 def score_totals(
@@ -22,19 +56,20 @@ def score_totals(
 ) -> DataFrame:
     """Per key: `n`, `pos`, `neg`, `tp`, `fp` and `wins2`, twice the rank-sum statistic.
 
-    Rows are first counted per (key, score), which Spark combines before the shuffle. For the
-    ordered part scores are cut into ranges: inside a range a running total of negatives meets
+    Rows are first counted per (key, score), which Spark combines before the shuffle.
+    """
+    # Written once, so that the input is evaluated once: split points and totals read the counts.
+    return totals_of(settle(score_counts(preds, keys, score, label), "counts"), keys, score, threshold)
+
+
+def totals_of(counts: DataFrame, keys: Sequence[str] = (), score: str = "prob_fake", threshold: float = 0.5) -> DataFrame:
+    """`score_totals` from counts, which are read several times.
+
+    For the ordered part scores are cut into ranges: inside a range a running total of negatives meets
     the positives; between ranges one row per (key, range) is enough. So neither a hot key nor a
     table without keys is ever ordered in one task, and ties count one half exactly.
     """
     keys = list(keys)
-    # Written once, so that the input is evaluated once: split points and totals read the counts.
-    counts = settle(
-        preds.groupBy(*keys, score).agg(
-            F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
-        ),
-        "counts",
-    )
     ranged = split_points(counts.select(*keys, score), [score], counts.count()).number(counts, "_range")
     before = Window.unboundedPreceding, -1
     inside = Window.partitionBy(*keys, "_range").orderBy(score).rowsBetween(*before)
@@ -107,7 +142,11 @@ def metrics_by(
     threshold: float = 0.5,
 ) -> DataFrame:
     """Per key: n, accuracy, TPR, TNR, F1, AUC; undefined rates are null, undefined F1 is 0."""
-    totals = score_totals(finite_only(preds, score), keys, score, label, threshold)
+    return rates(score_totals(finite_only(preds, score), keys, score, label, threshold), keys)
+
+
+def rates(totals: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The metrics of `metrics_by` from totals, of predictions or of stored counts."""
     return totals.select(
         *keys,
         "n",
