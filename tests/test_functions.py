@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from helpers import values
 from pyspark.sql import functions as F
@@ -164,3 +165,23 @@ def test_pages(spark):
     df = spark.createDataFrame(pages, "t string").select(feed.unwrap_page("t").alias("p"))
     got = df.select(F.size("p.posts"), "p.cursor").collect()
     assert [tuple(r) for r in got] == [(1, "c"), (2, None), (1, None), (0, "p"), (0, None)]
+
+
+def test_long_lists_of_held_out_names(spark):
+    rng = random.Random(8)
+    word = lambda lo, hi: "".join(rng.choices("abcAB-é", k=rng.randint(lo, hi)))
+    held = [word(1, 9) for _ in range(400)] + ["", "abc", "ABC"]
+    models = [word(0, 14) for _ in range(300)] + [None, " abcab ", "zz" + held[0], held[1], "qq"]
+    families = [("q", "Fam"), ("é", "other"), ("zz", "third")]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate([*models, *models[:40]])], "i int, m string")
+    listed = spark.createDataFrame([(h,) for h in held], "name string")
+    told = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(families)], "part string, result string, place int")
+    plain = df.select("i", naming.held_out_match("m", [h for h in held if h], families).alias("held_out"))
+    joined = naming.held_out_join(df, listed, told, "m")
+    assert joined.columns == ["i", "m", "held_out"]
+    assert values(joined, "i", "held_out") == values(plain, "i", "held_out")
+    assert naming.held_out_join(df, listed.limit(0), None, "m").filter("held_out IS NOT NULL").count() == 0
+    # The list is data of a join, not part of the plan.
+    small = naming.held_out_join(df, listed.limit(5), told, "m")._jdf.queryExecution().optimizedPlan().toString()
+    large = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert len(large) < len(small) + 200

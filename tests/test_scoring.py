@@ -123,3 +123,30 @@ def test_text_functions(spark):
         df, lambda: lambda b: ["humans: yes" if c == "red" else "none" for c in b["c"]], lambda: lambda b: ["The image is nice"] * len(b)
     )
     assert values(judged, "i", "category", "generated_prompt") == [(1, "human", "Nice")]
+
+
+def make_weigher():
+    """Scores a row by the rows and the bytes of its batch: 1000 * rows + bytes."""
+
+    def call(batch: pd.DataFrame) -> np.ndarray:
+        return np.full(len(batch), 1000.0 * len(batch) + batch["body"].map(len).sum())
+
+    return call
+
+
+def test_batches_are_bounded_by_payload(spark):
+    sizes = [10, 10, 300, 5, 5, 5, 5, 90, 20, 0, 0, 0]
+    rows = [(str(i), 1, "m", bytes(n)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "file_name string, label int, model string, body binary").coalesce(1)
+    raw = scoring.score(df, make_weigher, ["body"], batch_size=4, batch_bytes=100)
+    told = raw.collect()
+    assert len(told) == len(sizes) and all(r.error is None for r in told)
+    frames = [pd.DataFrame({"body": [bytes(n) for n in sizes], "x": range(len(sizes))})]
+    batches = [b["body"].map(len).tolist() for b in scoring._slices(iter(frames), 4, 100)]
+    assert batches == [[10, 10], [300], [5, 5, 5, 5], [90], [20, 0, 0, 0]]
+    assert [len(b) for b in scoring._slices(iter(frames), 5, 10**9)] == [5, 5, 2]
+
+
+def test_payload_counts_what_is_inside():
+    assert scoring.payload({"bytes": b"123", "path": "ab"}) == 5 and scoring.payload([b"1", {"a": "22"}]) == 3
+    assert scoring.payload(np.zeros(4)) == 32 and scoring.payload(None) == 8

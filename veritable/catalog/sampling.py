@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veritable.catalog.base import DOCUMENTS, PARTS, query, sample_documents, sample_parts, table
 from veritable.functions.hashing import uniform
+from veritable.functions.naming import held_out_join
 from veritable.operators import ranking, sampling
 from veritable.operators.reports import dropped_report as dropped_report_of
 from veritable.plans.splits import SplitPlan, build_splits
@@ -70,6 +71,22 @@ def held_out_split(spark, d):
     return _held(spark, d).select("file_name", "model", "label", "match", "bucket")
 
 
+@query("""
+WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]+)', 1)) AS n FROM pages WHERE contains(url, '/en/')),
+     f(part, r, place) AS (VALUES ('.org', 'org', 1), ('.net', 'net', 2), ('example', 'any', 3)),
+     m AS (SELECT DISTINCT url FROM pages),
+     x AS (SELECT url, n AS r, 0 AS kind, 0 AS place, -length(n) AS l, n AS part FROM m JOIN h ON contains(lower(url), n) WHERE n <> ''
+           UNION ALL SELECT url, r, 1, place, 0, part FROM m JOIN f ON contains(lower(url), part)),
+     b AS (SELECT url, r, row_number() OVER (PARTITION BY url ORDER BY kind, place, l, part) AS i FROM x)
+SELECT page_id, r AS held_out FROM pages LEFT JOIN b ON b.url = pages.url AND i = 1""")
+def held_out_hosts(spark, d):
+    """Pages by the longest host of English pages that their address contains, a list that grows with the table."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    hosts = pages.filter(F.contains("url", F.lit("/en/"))).select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("name"))
+    families = spark.createDataFrame([(".org", "org", 1), (".net", "net", 2), ("example", "any", 3)], "part string, result string, place int")
+    return held_out_join(pages, hosts, families, "url").select("page_id", "held_out")
+
+
 @query(f"""
 SELECT model, match, count(*) AS rows FROM ({BUCKETS}) AS b WHERE bucket = 'dropped'
 GROUP BY model, match ORDER BY rows DESC, model LIMIT 10""")

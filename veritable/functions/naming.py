@@ -140,3 +140,48 @@ def held_out_match(
     for part, result in tests:
         chain = chain.when(name.contains(part), result)
     return chain
+
+
+GRAM = 4
+
+
+def _grams(name: Column, length: Column | int) -> Column:
+    """All parts of a name that have this length."""
+    last = F.length(name) - length + 1
+    places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    size = length if isinstance(length, Column) else F.lit(length)
+    return F.array_distinct(F.transform(places, lambda i: F.substring(name, i, size)))
+
+
+def held_out_join(
+    df: DataFrame, held: DataFrame, families: DataFrame | None = None, model: str = "model", name: str = "held_out"
+) -> DataFrame:
+    """`held_out_match` for lists of any length: `held` is (`name`), `families` (`part`, `result`, `place`).
+
+    Each listed name is found by one of its grams, an equality join with the grams of the distinct
+    model names; what it meets is then compared whole. The gram is the one with the least hash, so that
+    names which share a common part do not all stand under it.
+    """
+    lists = held.select(F.lower("name").alias("_part")).distinct().select(
+        "_part", F.col("_part").alias("_result"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_place")
+    )
+    if families is not None:
+        lists = lists.unionByName(
+            families.select(
+                F.lower("part").alias("_part"), F.lower("result").alias("_result"),
+                F.lit(1).alias("_kind"), F.col("place").cast("long").alias("_place"),
+            )
+        )
+    lists = lists.filter(F.length("_part") > 0)
+    size = F.least(F.length("_part"), F.lit(GRAM))
+    hashed = F.transform(_grams(F.col("_part"), size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
+    listed = lists.withColumn("_gram", F.array_min(hashed)["g"])
+    models = df.select(F.col(model).alias("_model")).distinct()
+    plain = F.lower(strip(F.coalesce(F.col("_model"), F.lit(""))))
+    models = models.select("_model", plain.alias("_name"))
+    every = F.concat(*[_grams(F.col("_name"), k) for k in range(1, GRAM + 1)])
+    met = models.select("_model", "_name", F.explode(every).alias("_gram")).join(listed, "_gram")
+    # Longest name first, then families by place; names of one length by their letters.
+    rank = F.struct("_kind", "_place", F.when(F.col("_kind") == 0, -F.length("_part")), "_part")
+    best = met.filter(F.contains("_name", "_part")).groupBy("_model").agg(F.min_by("_result", rank).alias(name))
+    return df.join(best, df[model] == best["_model"], "left").drop("_model")

@@ -22,12 +22,34 @@ from veritable.session import settle
 
 BatchFn = Callable[[pd.DataFrame], np.ndarray]
 POLICIES = ("null", "blank", "skip")
+#: Payload of a batch; Spark's own Arrow batches are bounded by spark.sql.execution.arrow.maxBytesPerBatch.
+BATCH_BYTES = 64 << 20
 
 
-def _slices(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def payload(value: object) -> int:
+    """Bytes that a value holds, as far as batches are concerned: lengths of texts and binaries."""
+    if isinstance(value, (bytes, bytearray, str)):
+        return len(value)
+    if isinstance(value, dict):
+        return sum(map(payload, value.values()))
+    if isinstance(value, (list, tuple)) or (isinstance(value, np.ndarray) and value.dtype == object):
+        return sum(map(payload, value))
+    return getattr(value, "nbytes", 8)
+
+
+def _slices(frames: Iterator[pd.DataFrame], size: int, most: int = BATCH_BYTES) -> Iterator[pd.DataFrame]:
+    """Batches of at most `size` rows and, but for single larger rows, `most` bytes of payload."""
     for frame in frames:
-        for at in range(0, len(frame), size):
-            yield frame.iloc[at : at + size]
+        heavy = [c for c in frame.columns if frame[c].dtype == object]
+        weights = sum((frame[c].map(payload).to_numpy(dtype="int64") for c in heavy), np.zeros(len(frame), dtype="int64"))
+        start, held = 0, 0
+        for at, weight in enumerate(weights.tolist()):
+            if at > start and (at - start == size or held + weight > most):
+                yield frame.iloc[start:at]
+                start, held = at, 0
+            held += weight
+        if start < len(frame):
+            yield frame.iloc[start:]
 
 
 def _as_lists(raw: np.ndarray) -> list[list[float]]:
@@ -65,9 +87,12 @@ def score(
     threshold: float = 0.5,
     variants: Sequence[str] | None = None,
     transform: Callable[[pd.DataFrame, str], pd.DataFrame] | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """Keyed prediction table: `keep`, `prob_fake`, `pred`, `error`.
 
+    A batch has at most `batch_size` rows and `batch_bytes` bytes of payload; a larger row goes alone.
+
     Rows that cannot be scored: `null` keeps them without a probability, `skip` drops them,
     `blank` scores what `neutral` makes of them. The error text is kept in the first and last.
     With `variants` each row is sent once, scored once under each variant of itself that `transform`
@@ -90,7 +115,7 @@ def score(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
-        for batch in _slices(frames, batch_size):
+        for batch in _slices(frames, batch_size, batch_bytes):
             for variant in variants if variants is not None else [None]:
                 call = scorer if variant is None else lambda part, v=variant: scorer(transform(part, v))
                 logits, errors = _guarded(call, batch, neutral)
