@@ -64,7 +64,7 @@ def test_minima():
         assert leftmost_minima(h, width).tolist() == want
 
 
-@pytest.mark.parametrize(("window", "hot", "batches"), [(200, 2000, 4), (200, 4, 3), (60, 2000, 7), (20, 2000, 1)])
+@pytest.mark.parametrize(("window", "hot", "batches"), [(200, 2000, 2), (200, 4, 3), (60, 2000, 7), (20, 2000, 1)])
 def test_bytes(spark, monkeypatch, window, hot, batches):
     monkeypatch.setattr(repeats, "HOT", hot)
     monkeypatch.setattr(repeats, "GROUP_BYTES", 700)
@@ -84,12 +84,48 @@ def test_no_bytes(spark):
     assert suffix_array.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def suffixes(spark, rows):
+    return spark.createDataFrame([(h, k.rjust(16), [p]) for h, k, p in rows], "head binary, text_key binary, places array<int>")
+
+
 def test_levels_merge_geometrically(spark):
-    family = suffix_array.Family()
+    family = suffix_array.Family(spark)
     for batch in range(8):
-        rows = spark.createDataFrame([(batch * 3 + i, bytes([i]), i) for i in range(3)], "seed long, text_key binary, place int")
-        shared = family.add(rows)
-        assert all(keys.count() == 0 for keys in shared)
-    assert [(rank, table.count()) for rank, table, _ in family.levels] == [(2, 12), (1, 6), (0, 3), (0, 3)]
-    again = family.add(spark.createDataFrame([(4, b"z", 9)], "seed long, text_key binary, place int"))
-    assert [r.seed for keys in again for r in keys.collect()] == [4]
+        rows = [(bytes([9 - batch, i]), bytes([i]), i) for i in range(3)]
+        assert all(heads.count() == 0 for heads in family.add(suffixes(spark, rows)))
+    assert [(rank, family.level(path).count()) for rank, path in family.levels] == [(2, 12), (1, 6), (0, 3), (0, 3)]
+    again = family.add(suffixes(spark, [(bytes([5, 1]), b"z", 9), (bytes([77, 0]), b"z", 9)]))
+    assert [bytes(r["head"]) for heads in again for r in heads.collect()] == [bytes([5, 1])]
+
+
+def test_a_level_is_in_byte_order(spark, monkeypatch):
+    monkeypatch.setattr(suffix_array, "RANGE_ROWS", 50)
+    rng = random.Random(3)
+    rows = [(bytes(rng.choices([0, 1, 255], k=4)), bytes([rng.randint(0, 5)]), rng.randint(0, 9)) for _ in range(700)]
+    family = suffix_array.Family(spark)
+    (several,) = family.add(suffixes(spark, rows))
+    level = [(bytes(r["head"]), bytes(r.text_key), r.place, r.several) for r in family.level(family.levels[0][1]).collect()]
+    want = {}
+    for h, k, p in rows:
+        want.setdefault(h, set()).add((k.rjust(16), p))
+    assert sorted(level) == sorted((h, *min(s), len(s) > 1) for h, s in want.items())
+    assert sorted(bytes(r["head"]) for r in several.collect()) == sorted(h for h, s in want.items() if len(s) > 1)
+    files = family.level(family.levels[0][1]).select("head", "_metadata.file_name", "_metadata.row_index").collect()
+    by_file = {}
+    for r in sorted(files, key=lambda r: r.row_index):
+        by_file.setdefault(r.file_name, []).append(bytes(r["head"]))
+    assert all(heads == sorted(heads) for heads in by_file.values()) and len(by_file) > 1
+
+
+def test_a_kept_family_meets_later_batches(spark, tmp_path):
+    folder, rows = str(tmp_path / "family"), corpus(9, 2)
+    data = [[(t or "").encode() for _, t in part] for part in (rows[:50], rows[50:90], rows[90:])]
+    for n, part in enumerate((rows[:50], rows[50:90], rows[90:])):
+        df = spark.createDataFrame(part, "doc_id long, text string")
+        got = [(r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_array.remove_repeats(df, 60, batches=1, folder=folder).collect()]
+        before = [t for earlier in data[:n] for t in earlier]
+        # An earlier text counts once more or less often: what repeats does not change by it.
+        flags = brute([*before, *data[n]], 60)[len(before) :]
+        want = [(i, sum(f), bytes(b for b, g in zip(t, f, strict=True) if not g)) for (i, _), t, f in zip(part, data[n], flags, strict=True)]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [rank for rank, _ in suffix_array.Family(spark, folder).levels] == [1, 0]

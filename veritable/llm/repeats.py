@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm.common import Rolling, Words, by_bytes, leftmost_minima, settle, text_key
@@ -85,38 +85,64 @@ def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
+def _folded(seeds: np.ndarray, texts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Row numbers of the first of each (text, seed), and the places of all of them as lists."""
+    order = np.lexsort((places, seeds, texts))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (seeds[order][1:] != seeds[order][:-1]) | (texts[order][1:] != texts[order][:-1])
+    first = np.flatnonzero(new)
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(places[order].astype(np.int32))
+    )
+    return order[first], lists
+
+
 def seeds(rows: DataFrame, by_word: bool, seed: int, window: int) -> DataFrame:
-    """(seed, text_key, place) of the seeds that windows are tied to."""
+    """(seed, text_key, places) of the seeds that windows are tied to, a row per seed and text, or more
+    for a text in pieces. Of texts of bytes also `head`, the bytes of the seed."""
 
     def run(batches):
         for batch in batches:
             for row, before, texts in grouped(batch, by_word, window):
                 found = Sequences(texts, by_word, seed, window)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(found.seeds[found.place].astype(np.int64)),
-                        batch.column(0).take(pa.array(row[found.text])),
-                        pa.array((found.place - found.offset + before[found.text]).astype(np.int32)),
-                    ],
-                    ["seed", "text_key", "place"],
-                )
+                hashes = found.seeds[found.place].astype(np.int64)
+                owner = row[found.text]
+                first, lists = _folded(hashes, owner, found.place - found.offset + before[found.text])
+                columns = [pa.array(hashes[first]), batch.column(0).take(pa.array(owner[first])), lists]
+                if not by_word:
+                    heads = found.data[found.place[first][:, None] + np.arange(seed)]
+                    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(seed), len(first), [None, pa.py_buffer(heads.tobytes())])
+                    columns.append(fixed.cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["seed", "text_key", "places", *([] if by_word else ["head"])]
+    kind = "seed long, text_key binary, places array<int>" + ("" if by_word else ", head binary")
+    return rows.select("text_key", "text").mapInArrow(run, kind)
+
+
+def occurrence(place: str | Column = "place") -> Column:
+    """A number for (text, place): equal for copies of a text, else different."""
+    return F.xxhash64("text_key", place)
 
-    return rows.select("text_key", "text").mapInArrow(run, "seed long, text_key binary, place int")
 
-
-def occurrence():
-    """A number for (text, place): equal for copies of a text, else different."""
-    return F.xxhash64("text_key", "place")
+def repeated_seeds(found: DataFrame) -> DataFrame:
+    """(seed) of the seeds that stand at two places or more, by their hash."""
+    first, last = occurrence(F.array_min("places")), occurrence(F.array_max("places"))
+    twice = found.groupBy("seed").agg(F.min(F.least(first, last)).alias("low"), F.max(F.greatest(first, last)).alias("high"))
+    return twice.filter("low <> high").select("seed")
 
 
 def places(found: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Per text with repeated seeds: `cold` and `hot` places of them. `repeated`: (seed)."""
-    there = settle(found.join(repeated, "seed").distinct(), "places")
-    hot = there.groupBy("seed").count().filter(F.col("count") > HOT).select("seed", F.lit(True).alias("hot"))
-    marked = there.join(settle(hot, "hot"), "seed", "left")
+    """Per text with repeated seeds: `cold` and `hot` places of them. `repeated`: (seed).
+
+    A text is one row of a seed however often it holds it.
+    """
+    there = settle(found.select("seed", "text_key", "places").join(repeated, "seed"), "places")
+    hot = there.groupBy("seed").agg(F.sum(F.size("places")).alias("n")).filter(F.col("n") > HOT)
+    marked = there.join(settle(hot.select("seed", F.lit(True).alias("hot")), "hot"), "seed", "left")
     return marked.groupBy("text_key").agg(
-        F.collect_list(F.when(F.col("hot").isNull(), F.col("place"))).alias("cold"),
-        F.collect_list(F.when(F.col("hot"), F.col("place"))).alias("hot"),
+        F.flatten(F.collect_list(F.when(F.col("hot").isNull(), F.col("places")))).alias("cold"),
+        F.flatten(F.collect_list(F.when(F.col("hot"), F.col("places")))).alias("hot"),
     )
 
 
@@ -210,6 +236,76 @@ def whole_seeds(batches: Iterator[pa.RecordBatch], most: int = 20_000) -> Iterat
         yield pa.Table.from_batches(waiting)
 
 
+def _order(keys: np.ndarray, rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of `rows` within equal keys, and each one's common length in bytes with the one before."""
+    sizes = np.array([len(r) for r in rows])
+    padded = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), dtype=np.uint8).reshape(len(rows), width)
+    order = np.argsort(np.ascontiguousarray(padded).view(f"S{width}").ravel(), kind="stable")
+    order = order[np.argsort(keys[order], kind="stable")]
+    differs = padded[order[1:]] != padded[order[:-1]]
+    common = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    common = np.minimum(common, np.minimum(sizes[order[1:]], sizes[order[:-1]]))
+    common[keys[order[1:]] != keys[order[:-1]]] = -1
+    return order, np.concatenate([[-1], common])
+
+
+def _reversed(content: bytes, unit: int) -> bytes:
+    return content[::-1] if unit == 1 else np.frombuffer(content, dtype=f"V{unit}")[::-1].tobytes()
+
+
+def repeated_windows(
+    keys: np.ndarray, counts: np.ndarray, behind: np.ndarray, contents: list[bytes], window: int, unit: int = 1
+) -> list[np.ndarray]:
+    """Flags of each row's windows that occur again in a row with the same key.
+
+    A row is the symbols `contents`, `unit` bytes each, with `counts` windows from its start on and its
+    seed `behind` symbols in. Rows of one key are ordered by what follows from the seed on, and by what
+    stands before it, read backwards; the common lengths of neighbours cut both orders into classes
+    that agree for `d` symbols. So a window that starts `o` symbols before its seed is repeated if two
+    rows share the class of `o` symbols before and of `window - o` symbols after: the match is extended
+    both ways as far as it goes.
+    """
+    places: dict[tuple, list[int]] = {}
+    for i, row in enumerate(zip(keys.tolist(), behind.tolist(), contents, strict=True)):
+        places.setdefault(row, []).append(i)
+    flags = [None] * len(keys)
+    variants: dict[int, int] = {}
+    for key, _, _ in places:
+        variants[key] = variants.get(key, 0) + 1
+    first = []
+    for row, at in places.items():
+        whole = np.ones(counts[at[0]], dtype=bool)
+        if len(at) > 1:
+            for i in at:
+                flags[i] = whole
+        else:
+            flags[at[0]] = ~whole
+        if variants[row[0]] > 1:
+            first.append(at[0])
+    if not first:
+        return flags
+    at = np.array(first)
+    own, n, back = keys[at], counts[at], behind[at]
+    low = back - n + 1  # the last window starts so many bytes before the suffix
+    widest = int(back.max())
+    ahead, common_ahead = _order(own, [contents[i][b * unit :] for i, b in zip(at, back, strict=True)], window * unit)
+    before, common_before = _order(own, [_reversed(contents[i][: b * unit], unit) for i, b in zip(at, back, strict=True)], max(widest, 1) * unit)
+    hit = np.zeros((len(at), widest + 1), dtype=bool)
+    ahead_class, before_class = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for o in range(int(low.min()), widest + 1):
+        use = (low <= o) & (o <= back)
+        if use.sum() < 2:
+            continue
+        ahead_class[ahead] = np.cumsum(common_ahead < (window - o) * unit)
+        before_class[before] = np.cumsum(common_before < o * unit)
+        pair = before_class[use] * (len(at) + 1) + ahead_class[use]
+        _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
+        hit[use, o] = times[which] > 1
+    for j, i in enumerate(at):
+        flags[i] = flags[i] | hit[j, low[j] : back[j] + 1][::-1]
+    return flags
+
+
 def runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)
@@ -283,9 +379,11 @@ def covered(length: int, spans_: list, all_of_it: bool) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def with_spans(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """rows with `spans` and `copied`, whether their text occurs more than once."""
-    copies = rows.groupBy("text_key").count().filter("count > 1").select("text_key", F.lit(True).alias("copied"))
+def with_spans(rows: DataFrame, found: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """rows with `spans` and `copied`, whether their text occurs more than once, here or in `known`."""
+    keys = rows.select("text_key")
+    counted = (keys if known is None else keys.unionByName(known)).groupBy("text_key").count()
+    copies = counted.filter("count > 1").select("text_key", F.lit(True).alias("copied"))
     facts = found.join(copies, "text_key", "full")
     return rows.join(settle(facts, "facts"), "text_key", "left").select(
         "id", "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied")

@@ -1,14 +1,16 @@
 """Substring dedup by seed and extend, on words.
 
 Documents are joined on winnowed anchors: the seeds of `repeats`, `SEED` words each, so that every
-window of `window` words holds one. An anchor that occurs twice is extended both ways: for each
-number of words to its left that a window can have, the rest of the window to its right is given, and
-the window's hash says whether another occurrence agrees that far in both directions. Windows found
-repeated are merged to maximal repeats, whose words are removed from all places.
+window of `window` words holds one. Where an anchor stands twice, its places are extended both ways:
+their words to the right, and those to the left read backwards, are put in order, and the common
+lengths of neighbours say how far places agree in each direction. A window around the anchor is repeated if
+another place agrees as far as the window reaches to the left and to the right; runs of such windows are
+the maximal repeats of `window` words or more, which are removed from all places.
 
-Windows are compared by a 64-bit hash beside the 64-bit hash of their anchor. Anchors with more than
-`repeats.HOT` places are compared by counting window hashes, which Spark combines before it shuffles,
-instead of gathering their places in one task.
+Words are compared by 64-bit hashes. Anchors with more than `repeats.HOT` places are not gathered in
+one task: their windows are told apart by one 64-bit hash of all 35 words each, and counted, which Spark
+combines before it shuffles. Two different ones of n such windows agree by chance with odds below
+n * n / 2 ** 65, 3e-8 for a million.
 
 Defined results: a null text has no words; texts of fewer words than a window lose nothing; each row
 counts as a document, equal ids or not, so a repeated row of a window or more loses all words; an
@@ -20,7 +22,6 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from veritable.llm import repeats
 from veritable.llm.common import prepare, schema, settle
@@ -29,21 +30,9 @@ SEED = 12
 
 
 def _content(found: repeats.Sequences, i: int, window: int) -> bytes:
-    starts = np.arange(found.start[i], found.start[i] + found.count[i])
-    return found.rolling(starts, starts + window).tobytes()
-
-
-def _repeated(table: pa.Table) -> list[np.ndarray]:
-    """Flags of the windows whose hash occurs again under the same anchor."""
-    counts = table["windows"].to_numpy()
-    hashes = np.frombuffer(b"".join(table["content"].to_pylist()), dtype=np.uint64)
-    anchors = np.repeat(table["seed"].to_numpy(), counts)
-    order = np.lexsort((hashes, anchors))
-    same = (hashes[order][1:] == hashes[order][:-1]) & (anchors[order][1:] == anchors[order][:-1])
-    flags = np.zeros(len(hashes), dtype=bool)
-    flags[order[1:][same]] = True
-    flags[order[:-1][same]] = True
-    return np.split(flags, np.cumsum(counts)[:-1])
+    """The words that the windows of a place cover."""
+    start = found.start[i]
+    return found.symbols[start : start + found.count[i] - 1 + window].tobytes()
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -53,13 +42,16 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_column: str = "doc_id",
     seed = min(SEED, window)
     rows = repeats.keyed(docs, id_column, text_column)
     found = settle(repeats.seeds(rows, True, seed, window), "anchors")
-    own = repeats.occurrence()
-    twice = found.groupBy("seed").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low <> high").select("seed")
-    where = repeats.places(found, settle(twice, "twice"))
+    where = repeats.places(found, settle(repeats.repeated_seeds(found), "twice"))
     near = settle(
         repeats.candidates(rows, where, True, seed, window, lambda f, i: _content(f, i, window)), "candidates"
     )
-    spans = repeats.spans(near, window, _repeated)
+
+    def repeated(table: pa.Table) -> list[np.ndarray]:
+        columns = [table[c].to_numpy() for c in ("seed", "windows", "behind")]
+        return repeats.repeated_windows(*columns, table["content"].to_pylist(), window, unit=8)
+
+    spans = repeats.spans(near, window, repeated)
 
     def run(batches):
         for batch in batches:
