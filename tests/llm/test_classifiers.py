@@ -2,6 +2,7 @@ import random
 from itertools import product
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from veritable.llm import langid, toxicity
@@ -120,3 +121,12 @@ def test_composition_equals_a_cascade():
         want = [("match", *s) if s[0] in ("insult", "threat") else s for s in stream]
         assert list(toxicity.grammar().run(symbols)) == want
     assert len(toxicity.KINDS) == len(set(product(("insult", "threat"), *[(False, True)] * 3)))
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BROADCAST_BYTES", 3 * langid.BUCKETS * 4)
+    rows = [(i, f"some text {i}", f"l{i % 4}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.fit(df.filter("lang <> 'l3'"))["langs"]) == 3
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        langid.fit(df)

@@ -2,7 +2,8 @@
 
 `fit` counts n-grams of labelled rows per language in `BUCKETS` cells. It learns from at most about
 `MOST_ROWS` labelled rows, picked by a hash of the id and the text when there are more; the model is
-one matrix of (cells x languages) log probabilities, a few MB whatever the input, and is broadcast.
+one matrix of (cells x languages) log probabilities, which is broadcast; more languages than make
+`BROADCAST_BYTES` are an error, found before anything is collected.
 `predict` scores every row and whole texts: it hashes the n-grams of a batch at once, adds up the
 rows of the matrix per text, and gives the best language and its posterior.
 
@@ -26,6 +27,8 @@ BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
 MOST_ROWS = 20_000
 SMOOTHING = 0.5
+#: The matrix may not be larger: 256 languages.
+BROADCAST_BYTES = 64 << 20
 UNKNOWN = "und"
 _BATCH_CHARS = 1 << 20
 
@@ -103,6 +106,10 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 ["lang", "cell", "n"],
             )
 
+    # The languages are counted before their cells come to the driver.
+    most = BROADCAST_BYTES // (BUCKETS * 4)
+    if rows.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} languages make a matrix beyond {BROADCAST_BYTES} bytes")
     counts = (
         rows.select("lang", "text")
         .mapInArrow(count, "lang string, cell int, n long")
