@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from veritable.llm import spherical_caps
 from veritable.llm.components import components
@@ -56,16 +57,24 @@ def test_code_lists_all_that_exceed():
             assert mine.tolist() == (want if len(want) >= 3 else np.sort(np.argsort(-sums)[:3])).tolist()
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(0)
-    for length, vectors in ((16, 100), (64, 10_000), (64, 10_000_000)):
-        code = spherical_caps.Code(length, **spherical_caps.plan(vectors, 0.9))
-        x, y = rng.normal(size=(2, 400, length))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        y -= (x * y).sum(axis=1)[:, None] * x
-        y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
-        met = [bool(set(a) & set(b)) for a, b in zip(code.filters(x), code.filters(y), strict=True)]
-        assert np.mean(met) >= 0.97
+def at_the_threshold(rng, n, length):
+    x, y = rng.normal(size=(2, n, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1)[:, None] * x
+    return x, 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("length", "vectors", "pairs"), [(16, 100, 3000), (64, 10_000, 3000), (64, 1_000_000, 30_000), (64, 10_000_000, 30_000)])
+def test_recall_at_the_threshold(length, vectors, pairs):
+    """Chances are 1 in 10 000 to miss a pair: 30 000 pairs tell that from 4 in 10 000."""
+    rng = np.random.default_rng(vectors)
+    code = spherical_caps.Code(length, **spherical_caps.plan(vectors, 0.9))
+    x, y = at_the_threshold(rng, pairs, length)
+    missed = 0
+    for i in range(0, pairs, 1000):
+        both = zip(code.filters(x[i : i + 1000]), code.filters(y[i : i + 1000]), strict=True)
+        missed += sum(not np.intersect1d(a, b, assume_unique=True).size for a, b in both)
+    assert missed <= 3e-4 * pairs
 
 
 def test_components(spark):
