@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from helpers import values
@@ -214,3 +215,48 @@ def test_listing_is_shared_out_by_folders(spark, tmp_path, monkeypatch):
     assert [(p.folder, p.deep) for p in reader.partitions()] == [(str(tmp_path), True)]
     assert sum(b.num_rows for b in reader.read(reader.partitions()[0])) == 41
     assert readers.list_media(spark, str(tmp_path / "d0" / "e"), ["mp4"]).count() == 0
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files in blocks of some hundred bytes, each a task."""
+    names = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    before = {n: spark.conf.get(n) for n in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_records_over_lines_are_read_by_many_tasks(spark, tmp_path, small_blocks):
+    rng = random.Random(6)
+    bits = ["a", "b,", '"', "\n", "é", " ", "\n\n", "x" * 40, "\r\n", ",,", '""']
+    rows = [("".join(rng.choices(bits, k=rng.randint(0, 12))), f"r{i}") for i in range(400)]
+    rows[50] = ("long\n" * 400 + '"', "r50")  # a record over many blocks
+    rows[51] = ("", "r51")
+
+    def field(text):
+        return '"' + text.replace('"', '""') + '"' if any(c in text for c in ',"\n\r') or rng.random() < 0.2 else text
+
+    for name, part, end in (("one", rows[:300], "\n"), ("two", rows[300:], "\r\n")):
+        lines = ["a,b", *(f"{field(a)},{field(b)}" for a, b in part)]
+        (tmp_path / f"{name}.csv").write_bytes((end.join(lines) + end + end).encode())
+    path = str(tmp_path)
+    assert spark.read.text(path).rdd.getNumPartitions() > 20
+    split = readers.read_metadata(spark, path, PAIR, multiline="split")
+    assert values(split, "a", "b") == sorted(rows, key=repr)
+    tagged = readers.read_tagged_union(spark, path, PAIR, "file", split=True)
+    assert values(tagged.groupBy("file").count(), "file", "count") == [("one", 300), ("two", 100)]
+
+
+def test_split_reading_of_bad_records_and_nothing(spark, tmp_path, small_blocks):
+    (tmp_path / "x.csv").write_text('a,b\n1,2\n1,2,3\n"q\nq",4\n')
+    path = str(tmp_path / "x.csv")
+    skipped = readers.read_metadata(spark, path, PAIR, bad_lines="skip", multiline="split")
+    assert values(skipped, "a", "b") == [("1", "2"), ("q\nq", "4")]
+    assert values(skipped, "a", "b") == values(readers.read_metadata(spark, path, PAIR, bad_lines="skip"), "a", "b")
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_metadata(spark, path, PAIR, multiline="split").collect()
+    (tmp_path / "e.csv").write_text("a,b\n")
+    assert readers.read_metadata(spark, str(tmp_path / "e.csv"), PAIR, multiline="split").count() == 0

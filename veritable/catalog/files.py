@@ -32,6 +32,15 @@ def read_metadata(spark, d):
     return readers.read_metadata(spark, f"{path}/texts.csv", _schema("doc_id string, text string, source string"))
 
 
+@query(TEXTS)
+def read_metadata_split(spark, d):
+    """Texts with line breaks, written as one file and read by a task per block."""
+    path = fresh_path(spark, "csv")
+    _texts(spark, d).coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    schema = _schema("doc_id string, text string, source string")
+    return readers.read_metadata(spark, path, schema, multiline="split")
+
+
 @query("SELECT count(*) AS rows, 'texts' AS name, 7 AS seed FROM documents")
 def write_split(spark, d):
     path = fresh_path(spark, "csv")

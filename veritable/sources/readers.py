@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from veritable.functions.media import file_base, file_stem
 from veritable.operators.ranking import head_rows
 from veritable.schemas import REGISTRY_ENTRY
+from veritable.sources import quoted
 from veritable.sources.listing import FileListing
 
 
@@ -33,16 +34,19 @@ def read_metadata(
     path: str | list[str],
     schema: T.StructType,
     bad_lines: str = "fail",
-    multiline: bool = True,
+    multiline: bool | str = True,
 ) -> DataFrame:
     """Headered CSV with every column text and missing values as `""`.
 
-    Prompts hold quotes and line breaks, so records may span lines; a file is then read in one task.
-    With `multiline=False` large files are split. `bad_lines='skip'` leaves out records that do not
+    Prompts hold quotes and line breaks, so records may span lines; a file is then read in one task, or
+    with `multiline="split"`, for RFC 4180 quotes, by a task per block (`quoted`). With
+    `multiline=False` no record spans lines, and large files are split by Spark. `bad_lines='skip'` leaves out records that do not
     fit the schema (`bad_records` returns them), `'fail'` raises. Columns are matched by position.
     """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     mode = {"skip": "DROPMALFORMED", "fail": "FAILFAST"}[bad_lines]
+    if multiline == "split":
+        return quoted.parse(quoted.records(spark, path).select("text"), text, mode).na.fill("")
     return _csv(spark, text, mode, multiline).option("header", True).csv(path).na.fill("")
 
 
@@ -96,9 +100,13 @@ def list_media(
 
 
 def read_tagged_union(
-    spark: SparkSession, paths: str | list[str], schema: T.StructType, tag: str
+    spark: SparkSession, paths: str | list[str], schema: T.StructType, tag: str, split: bool = False
 ) -> DataFrame:
-    """One read over many CSV files, each row tagged with the stem of its file."""
+    """One read over many CSV files, each row tagged with the stem of its file; with `split` (RFC 4180
+    quotes) large files are read by several tasks."""
+    if split:
+        rows = quoted.records(spark, paths).select(file_stem(F.col("file")).alias("_tag"), "text")
+        return quoted.parse(rows, schema, "FAILFAST").select(*[f.name for f in schema.fields], F.col("_tag").alias(tag))
     rows = _csv(spark, schema).option("header", True).csv(paths)
     return rows.withColumn(tag, file_stem(F.col("_metadata.file_path")))
 
