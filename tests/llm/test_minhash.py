@@ -46,8 +46,9 @@ def corpus():
 def test_groups(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept string").repartition(5)
-    for width, block in ((4, 1000), (5, 9)):
+    for width, block, cell in ((4, 1000, 1 << 25), (5, 9, 1 << 25), (4, 1000, 3000)):  # cells cut by rows or by bytes
         monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(minhash, "CELL_BYTES", cell)
         got = minhash.group(df, width, 80).select("doc_id", "n_shingles", "component_id", "kept").collect()
         assert sorted(map(tuple, got), key=repr) == brute(rows, width, 80)
     assert minhash.group(df.limit(0)).count() == 0

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritable.llm.common import Rolling, Words, by_bytes, mix, prepare, schema, settle, text_key
@@ -36,6 +36,8 @@ SAMPLES, ROWS = 128, 4
 BITS = 512
 MARGIN = 0.25
 BLOCK = 1_000
+#: Bytes of the sets of a block, about.
+CELL_BYTES = 32 << 20
 GROUP_BYTES = 2 << 20
 
 _LOWER = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
@@ -208,12 +210,22 @@ def _across(least: float, percent: int):
 def _open_cells(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, dealt to cells (outer block, block)."""
     placed = members.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-    counts = placed.groupBy("bucket", "root").count()
+    counts = placed.groupBy("bucket", "root").agg(F.count("*").alias("count"), F.sum("n").alias("held"))
+    largest = F.struct("count", "root")
     shape = counts.groupBy("bucket").agg(
-        F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("held"), F.count("*").alias("kinds")
+        F.max_by("root", largest).alias("main"),
+        F.count("*").alias("kinds"),
+        F.sum("held").alias("all_shingles"),
+        (F.sum("held") - F.max_by("held", largest)).alias("outer_shingles"),
+        (F.sum("count") - F.max("count")).alias("outer_size"),
     )
-    open_ = placed.join(shape.filter("kinds > 1"), "bucket").select("bucket", "class", "root", "size", "main", "held")
-    blocks, outer_blocks = F.ceil(F.col("size") / BLOCK), F.ceil((F.col("size") - F.col("held")) / BLOCK)
+    open_ = placed.join(shape.filter("kinds > 1"), "bucket")
+
+    def cells_for(size: str, shingles: str) -> Column:
+        """Blocks of about BLOCK classes and CELL_BYTES of sets, 8 bytes a shingle."""
+        return F.ceil(F.greatest(F.col(size) / BLOCK, F.col(shingles) * 8 / CELL_BYTES))
+
+    blocks, outer_blocks = cells_for("size", "all_shingles"), cells_for("outer_size", "outer_shingles")
     spread = F.xxhash64("class")
     all_ = open_.select(
         "bucket",
@@ -251,11 +263,12 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "
             F.min("text_key").alias("some_key"),
             F.any_value("bands").alias("bands"),
             F.any_value("sketch").alias("sketch"),
+            F.any_value("n").alias("n"),
         )
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    entries = classes.select("class", F.explode("bands").alias("bucket"))
+    entries = classes.select("class", "n", F.explode("bands").alias("bucket"))
     buckets = settle(
         entries.groupBy("bucket").agg(F.min("class").alias("head"), F.count("*").alias("size")).filter("size > 1"), "buckets"
     )
