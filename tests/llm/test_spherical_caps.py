@@ -42,6 +42,17 @@ def test_links(spark, monkeypatch):
     assert spherical_caps.link(df.limit(0)).count() == 0
 
 
+def test_one_cluster_over_many_blocks(spark, monkeypatch):
+    """Near-equal vectors share all their filters; every pair counts once, in one cell, chunk by chunk."""
+    monkeypatch.setattr(spherical_caps, "BLOCK", 100)
+    monkeypatch.setattr(spherical_caps, "CHUNK", 3)
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=16)
+    rows = [(i, [float(x) for x in centre + rng.normal(size=16) * 0.02]) for i in range(600)]
+    got = spherical_caps.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert len(got) == 600 and all(r.n_links == 599 and r.component_id == 0 for r in got)
+
+
 def test_code_lists_all_that_exceed():
     code = spherical_caps.Code(12, 1.5, 9, 3)
     x = np.random.default_rng(2).normal(size=(50, 12))

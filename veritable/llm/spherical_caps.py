@@ -39,6 +39,8 @@ BUCKET = 256
 BLOCK = 1_000
 MISS = 1e-4
 SLACK = 1.35
+#: Filters whose members are compared at once.
+CHUNK = 2048
 TABLES = 4
 SEED = 20_26
 
@@ -175,11 +177,17 @@ def _compare(cosine: float):
             near &= block[:, None] != block[None, :]
         # A pair that shares a smaller filter counts there.
         lists = [np.frombuffer(f, dtype=np.int64) for f in table["filters"].to_pylist()]
-        smaller = np.unique(np.concatenate([f[f < number] for f in lists]))
-        member = np.zeros((len(classes), len(smaller)), dtype=np.float32)
-        for i, f in enumerate(lists):
-            member[i, np.searchsorted(smaller, f[f < number])] = 1
-        counted = near & ~((member @ member.T) > 0)
+        below = [f[f < number] for f in lists]
+        smaller, times = np.unique(np.concatenate(below), return_counts=True)
+        smaller = smaller[times > 1]
+        elsewhere = np.zeros(near.shape, dtype=bool)
+        for at in range(0, len(smaller), CHUNK):
+            part = smaller[at : at + CHUNK]
+            member = np.zeros((len(classes), len(part)), dtype=np.float32)
+            for i, f in enumerate(below):
+                member[i, np.searchsorted(part, f[np.isin(f, part)])] = 1
+            elsewhere |= (member @ member.T) > 0
+        counted = near & ~elsewhere
         links = (counted * copies[None, :]).sum(axis=1)
         order = np.argsort(classes)
         roots = np.empty(len(classes), dtype=np.int64)
