@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veritable.llm import repeats, seed_extend, suffix_array
 from veritable.llm.common import leftmost_minima
@@ -85,7 +86,9 @@ def test_no_bytes(spark):
 
 
 def suffixes(spark, rows):
-    return spark.createDataFrame([(h, k.rjust(16), [p]) for h, k, p in rows], "head binary, text_key binary, places array<int>")
+    listed = [(h, k.rjust(16), [p]) for h, k, p in rows]
+    df = spark.createDataFrame(listed, "head binary, text_key binary, places array<int>")
+    return df.withColumn("seed", F.xxhash64("head"))
 
 
 def test_levels_merge_geometrically(spark):
@@ -108,7 +111,8 @@ def test_a_level_is_in_byte_order(spark, monkeypatch):
     want = {}
     for h, k, p in rows:
         want.setdefault(h, set()).add((k.rjust(16), p))
-    assert sorted(level) == sorted((h, *min(s), len(s) > 1) for h, s in want.items())
+    assert sorted((h, several_) for h, *_, several_ in level) == sorted((h, len(s) > 1) for h, s in want.items())
+    assert all((k, p) in want[h] for h, k, p, _ in level)
     assert sorted(bytes(r["head"]) for r in several.collect()) == sorted(h for h, s in want.items() if len(s) > 1)
     files = family.level(family.levels[0][1]).select("head", "_metadata.file_name", "_metadata.row_index").collect()
     by_file = {}
