@@ -51,7 +51,8 @@ def test_global_index_and_head_with_ties_and_nulls(spark):
     assert values(head, "a", "k") == sorted(want[:130], key=repr)
 
 
-def test_ranges_split_evenly_and_in_order(spark):
+def test_ranges_split_evenly_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "ROWS_PER_RANGE", 2500)  # tables below one range are not split
     df = spark.range(20000).withColumn("x", F.col("id") * 3)
     got = ranges.with_range(df, ["x"]).groupBy("_range").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
     rows = sorted(got.collect(), key=lambda r: r["_range"])
