@@ -36,7 +36,7 @@ SAMPLES = 32
 DIGITS = 8  # hex digits of a sample
 EMPTY = "empty"
 #: Bytes of text of a range in `with_next`.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 
 
 def _sample(k: int) -> Column:
@@ -112,7 +112,7 @@ def with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
         ),
         "closing",
     )
-    rows = ranged.withColumn("closes", F.lit(None).cast("long")).unionByName(closing)
+    rows = ranged.withColumn("closes", F.lit(None).cast("long")).unionByName(closing).repartition(splits.ranges, "range")
     inside = Window.partitionBy("range").orderBy(
         F.col("closes").asc_nulls_first(), F.col("id").desc_nulls_last(), F.col("text").desc()
     )
