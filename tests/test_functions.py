@@ -185,3 +185,28 @@ def test_long_lists_of_held_out_names(spark):
     small = naming.held_out_join(df, listed.limit(5), told, "m")._jdf.queryExecution().optimizedPlan().toString()
     large = joined._jdf.queryExecution().optimizedPlan().toString()
     assert len(large) < len(small) + 200
+
+
+def test_grams_are_never_broadcast(spark):
+    """The names are few bytes, their grams are many: only the names' size is known before they are made."""
+    every = spark.range(6000).select("id", F.concat(F.lit("https://host."), F.sha2(F.col("id").cast("string"), 256)).alias("m"))
+    names, held = every.filter("id < 1000").select("m"), every.select(F.substring("m", 9, 40).alias("name"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        joined = naming.held_out_join(names, held, None, "m")
+        assert joined.filter("held_out IS NULL").count() == 0
+        joined.collect()
+        final = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    below, explodes = [], 0
+    for line in final.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        below = [d for d in below if d < depth]  # broadcasts that this line stands under
+        if "BroadcastExchange" in line:
+            below.append(depth)
+        if "Generate explode" in line:
+            explodes += 1
+            assert not below, final
+    assert explodes

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.hashing import as_column
 from veritable.functions.labels import strip
+from veritable.session import settle
 
 
 @dataclass(frozen=True)
@@ -160,8 +161,12 @@ def held_out_join(
 
     Each listed name is found by one of its grams, an equality join with the grams of the distinct
     model names; what it meets is then compared whole. The gram is the one with the least hash, so that
-    names which share a common part do not all stand under it.
+    names which share a common part do not all stand under it. Only grams as long as listed ones are made.
+
+    Catalyst takes the exploded grams to be as small as the names, and would broadcast them through the
+    driver; so both sides are sorted and merged.
     """
+    spark = df.sparkSession
     lists = held.select(F.lower("name").alias("_part")).distinct().select(
         "_part", F.col("_part").alias("_result"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_place")
     )
@@ -175,12 +180,15 @@ def held_out_join(
     lists = lists.filter(F.length("_part") > 0)
     size = F.least(F.length("_part"), F.lit(GRAM))
     hashed = F.transform(_grams(F.col("_part"), size), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
-    listed = lists.withColumn("_gram", F.array_min(hashed)["g"])
+    listed = settle(lists.withColumn("_gram", F.array_min(hashed)["g"]), "listed")
+    sizes = [r["n"] for r in listed.select(F.length("_gram").alias("n")).distinct().collect()]  # GRAM of them at most
     models = df.select(F.col(model).alias("_model")).distinct()
     plain = F.lower(strip(F.coalesce(F.col("_model"), F.lit(""))))
-    models = models.select("_model", plain.alias("_name"))
-    every = F.concat(*[_grams(F.col("_name"), k) for k in range(1, GRAM + 1)])
-    met = models.select("_model", "_name", F.explode(every).alias("_gram")).join(listed, "_gram")
+    # A number given keeps the names, which take few bytes, in many tasks while they become grams.
+    models = models.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    every = F.flatten(F.array(*[_grams(plain, k) for k in sizes])) if sizes else F.array().cast("array<string>")
+    grams = models.select("_model", F.explode(every).alias("_gram")).hint("merge")
+    met = grams.join(listed, "_gram").withColumn("_name", plain)
     # Longest name first, then families by place; names of one length by their letters.
     rank = F.struct("_kind", "_place", F.when(F.col("_kind") == 0, -F.length("_part")), "_part")
     best = met.filter(F.contains("_name", "_part")).groupBy("_model").agg(F.min_by("_result", rank).alias(name))
