@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import duckdb
+import pyarrow as pa
 from helpers import values
 from pyspark.sql import functions as F
 
@@ -187,6 +189,16 @@ def test_long_lists_of_held_out_names(spark):
     assert len(large) < len(small) + 200
 
 
+def test_capitals_are_one_letter(spark):
+    letters = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i <= 0xDFFF]
+    replies = [(f"The image shows {c}x",) for c in letters]
+    got = one(spark, replies, "t string", text.clean_prompt("t"))
+    rows = pa.table({"c": letters})  # noqa: F841
+    want = [r[0] for r in duckdb.connect().sql("SELECT upper(c) || 'x' FROM rows").fetchall()]
+    assert got == want and len(set(map(len, got))) == 1
+    assert one(spark, [("The image is ",), ("an image",), (None,)], "t string", text.clean_prompt("t")) == ["", "an image", None]
+
+
 def test_grams_are_never_broadcast(spark):
     """The names are few bytes, their grams are many: only the names' size is known before they are made."""
     every = spark.range(6000).select("id", F.concat(F.lit("https://host."), F.sha2(F.col("id").cast("string"), 256)).alias("m"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from veritable.functions.hashing import as_column
 from veritable.functions.labels import strip
+from veritable.functions.text import capital
 from veritable.session import settle
 
 
@@ -84,7 +85,7 @@ def title_words(model: Column | str, upper: Sequence[str] = ("sd", "xl")) -> Col
     words = F.transform(
         parts,
         lambda p: F.when(p.isin(*upper), F.upper(p)).otherwise(
-            F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))
+            F.concat(capital(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))
         ),
     )
     return F.regexp_replace(F.array_join(words, " "), r"\bV(\d)", "v$1")
