@@ -135,6 +135,18 @@ def test_packaging_end_to_end(spark, tmp_path):
     assert not flags["f1.jpg"] and not flags["f11.jpg"] and sum(flags.values()) == 10
 
 
+def test_batches_of_equal_names_agree_over_reruns(spark, shuffled):
+    rows = [(f"s{i // 7:03d}", i * 37 % 101) for i in range(700)]
+    want = {}
+    for place, (name, length) in enumerate(sorted(rows)):
+        want.setdefault(place // 10 + 1, []).append((name, length))
+    shards = spark.createDataFrame([*rows, (None, 5)], "name string, length int")
+    for parts in (1, 4, 9):
+        _, batches = writers.pending_batches(shuffled(shards, parts), shards.limit(0), 10)
+        got = {r["batch"]: (r["files"], r["bytes"], r["first"], r["last"]) for r in batches.collect()}
+        assert got == {b: (len(x), sum(n for _, n in x), x[0][0], x[-1][0]) for b, x in want.items()}
+
+
 def test_pages_of_one_address_are_embedded(spark, tmp_path):
     pages = [(i, f"https://a.{'net' if i % 3 == 0 else 'org'}/{i // 4}", None if i == 7 else f"<p>{i}</p>") for i in range(40)]
     spark.createDataFrame([*pages, (40, None, "x")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

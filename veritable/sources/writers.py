@@ -115,9 +115,12 @@ def append_metadata(df: DataFrame, path: str, schema: T.StructType) -> None:
 def pending_batches(
     shards: DataFrame, ledger: DataFrame, batch_size: int, key: str = "name", size: str = "length"
 ) -> tuple[DataFrame, DataFrame]:
-    """(shards not in the ledger with their publish batch from 1, one line per batch)."""
-    rest = shards.join(ledger.select(key).distinct(), key, "left_anti")
-    numbered = global_index(rest, [key], "_i").withColumn(
+    """(shards not in the ledger with their publish batch from 1, one line per batch).
+
+    Shards of one name come by size, so that reruns agree; those without a name cannot be published.
+    """
+    rest = shards.filter(F.col(key).isNotNull()).join(ledger.select(key).distinct(), key, "left_anti")
+    numbered = global_index(rest, [key, size], "_i").withColumn(
         "batch", (F.floor(F.col("_i") / F.lit(batch_size)) + 1).cast("int")
     ).drop("_i")
     batches = numbered.groupBy("batch").agg(
