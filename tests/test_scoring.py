@@ -150,3 +150,28 @@ def test_batches_are_bounded_by_payload(spark):
 def test_payload_counts_what_is_inside():
     assert scoring.payload({"bytes": b"123", "path": "ab"}) == 5 and scoring.payload([b"1", {"a": "22"}]) == 3
     assert scoring.payload(np.zeros(4)) == 32 and scoring.payload(None) == 8
+
+
+def test_rows_that_fail_are_blanked_together(spark):
+    """One call for the neutral forms of a batch's failed rows; a neutral that makes single rows still works."""
+    calls = []
+
+    def call(batch):
+        calls.append(len(batch))
+        if (batch["x"] < 0).any():
+            raise ValueError("unreadable")
+        return batch["x"].to_numpy()
+
+    batch = pd.DataFrame({"x": [1.0, -1.0, 2.0, -2.0, -3.0]})
+    results, errors = scoring._guarded(call, batch, lambda rows: rows.assign(x=9.0))
+    assert results == [[1.0], [9.0], [2.0], [9.0], [9.0]] and [e is not None for e in errors] == [False, True, False, True, True]
+    assert calls == [5, 1, 1, 1, 1, 1, 3]
+    assert scoring._guarded(call, batch, lambda row: pd.DataFrame({"x": [9.0]}))[0] == results
+    one_by_one = scoring._guarded(lambda b: call(b) if len(b) == 1 else 1 / 0, batch, lambda rows: rows.assign(x=9.0))
+    assert one_by_one[0] == results
+
+
+def test_scoring_can_be_dealt_to_more_tasks(spark):
+    df = spark.range(5000).coalesce(1).select(F.col("id").alias("file_name"), F.lit(1).alias("label"), F.lit("m").alias("model"), (F.col("id") / 5000.0).alias("x"))
+    scored = scoring.score(df, lambda: lambda batch: batch["x"].to_numpy(), ["x"], tasks=7).withColumn("task", F.spark_partition_id())
+    assert scored.select("task").distinct().count() == 7 and scored.count() == 5000

@@ -24,6 +24,8 @@ BatchFn = Callable[[pd.DataFrame], np.ndarray]
 POLICIES = ("null", "blank", "skip")
 #: Payload of a batch; Spark's own Arrow batches are bounded by spark.sql.execution.arrow.maxBytesPerBatch.
 BATCH_BYTES = 64 << 20
+#: Rows of a frame that goes back to Spark.
+OUT_ROWS = 2_000
 
 
 def payload(value: object) -> int:
@@ -57,6 +59,19 @@ def _as_lists(raw: np.ndarray) -> list[list[float]]:
     return values.reshape(len(values), -1).tolist()
 
 
+def _neutral_results(call: BatchFn, rows: pd.DataFrame, neutral: Callable[[pd.DataFrame], pd.DataFrame]) -> list:
+    """Results of what `neutral` makes of rows: of all of them at once, or where that fails one by one."""
+    if len(rows) > 1:
+        try:
+            made = neutral(rows)
+            results = _as_lists(call(made)) if len(made) == len(rows) else []
+            if len(results) == len(rows):
+                return results
+        except Exception:
+            pass
+    return [result for at in range(len(rows)) for result in _as_lists(call(neutral(rows.iloc[at : at + 1])))]
+
+
 def _guarded(
     call: BatchFn, batch: pd.DataFrame, neutral: Callable[[pd.DataFrame], pd.DataFrame] | None
 ) -> tuple[list, list]:
@@ -66,16 +81,32 @@ def _guarded(
     except Exception:
         results, errors = [], []
         for at in range(len(batch)):
-            row = batch.iloc[at : at + 1]
             try:
-                results += _as_lists(call(row))
+                results += _as_lists(call(batch.iloc[at : at + 1]))
                 errors.append(None)
             except Exception as error:
-                results += _as_lists(call(neutral(row))) if neutral is not None else [None]
+                results.append(None)
                 errors.append(f"{type(error).__name__}: {error}")
+        failed = [at for at, error in enumerate(errors) if error is not None]
+        if neutral is not None and failed:
+            for at, result in zip(failed, _neutral_results(call, batch.iloc[failed], neutral), strict=True):
+                results[at] = result
         return results, errors
 
 
+def _joined(frames: Iterator[pd.DataFrame], most: int = OUT_ROWS) -> Iterator[pd.DataFrame]:
+    """Frames put together to `most` rows or a few more, since each that goes to Spark has a cost of its own."""
+    waiting, rows = [], 0
+    for frame in frames:
+        waiting.append(frame)
+        rows += len(frame)
+        if rows >= most:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting, rows = [], 0
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
+
+
 def score(
     df: DataFrame,
     make_scorer: Callable[[], BatchFn],
@@ -88,6 +119,7 @@ def score(
     variants: Sequence[str] | None = None,
     transform: Callable[[pd.DataFrame, str], pd.DataFrame] | None = None,
     batch_bytes: int = BATCH_BYTES,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Keyed prediction table: `keep`, `prob_fake`, `pred`, `error`.
 
@@ -96,7 +128,8 @@ def score(
     Rows that cannot be scored: `null` keeps them without a probability, `skip` drops them,
     `blank` scores what `neutral` makes of them. The error text is kept in the first and last.
     With `variants` each row is sent once, scored once under each variant of itself that `transform`
-    makes, and gives a row per variant, named in `variant`.
+    makes, and gives a row per variant, named in `variant`. With `tasks` the rows are first dealt to that many:
+    Spark shares rows out by their bytes, which says nothing about the work that small ones make.
     """
     if on_error not in POLICIES:
         raise ValueError(f"on_error must be one of {POLICIES}")
@@ -113,7 +146,7 @@ def score(
         ]
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in _slices(frames, batch_size, batch_bytes):
             for variant in variants if variants is not None else [None]:
@@ -125,7 +158,13 @@ def score(
                 out = out.assign(logits=logits, error=errors)
                 yield out[out["logits"].notna()] if on_error == "skip" else out
 
-    raw = df.select(*columns).mapInPandas(run, schema)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _joined(scored(frames))
+
+    rows = df.select(*columns)
+    if tasks is not None:
+        rows = rows.repartition(tasks, F.xxhash64(*columns))
+    raw = rows.mapInPandas(run, schema)
     probability = fake_probability("logits")
     return raw.select(
         *keep, *[f.name for f in named], probability.alias("prob_fake"), predicted(probability, threshold).alias("pred"), "error"
