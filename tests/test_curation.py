@@ -1,3 +1,4 @@
+import re
 import pytest
 from helpers import values
 from pyspark.errors import PySparkException
@@ -167,3 +168,15 @@ def test_every_image_with_a_triple_gets_its_relations(spark):
     assert {r["tier"] for r in rows} <= {1, 2} and any(r["tier"] == 2 and r["ImageID"] % 3 for r in rows)
     counts = {r["tier"]: r["rows"] for r in entry.queries()["tier_counts_whole"](spark, folder).collect()}
     assert counts[3] == counts[4] == 0 and sum(counts.values()) == len(rows)
+
+
+def test_images_are_not_shuffled_for_their_index(spark, tmp_path):
+    rows = [(i, bytes(50) if i % 2 else None, "fake", f"p{i}") for i in range(20)]
+    spark.createDataFrame(rows, "i long, image binary, label string, path string").write.parquet(f"{tmp_path}/rows")
+    got = canonical.canonicalize(spark.read.parquet(f"{tmp_path}/rows"), "c", image_folder="/im", order=["i"])
+    want = sorted(f"/im/{i:09d}.jpg" if i % 2 else f"p{i}" for i in range(20))
+    assert sorted(r["file_name"] for r in got.collect()) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(i for i, line in enumerate(plan) if "Window" in line)
+    # The window reads a projection of the flag, not the images.
+    assert not any(re.search(r"(?<!_)\bimage#", line.replace("isnotnull(image#", "")) for line in plan[: window + 2]), "\n".join(plan)

@@ -68,7 +68,10 @@ def canonicalize(
     if images and image_folder is not None:
         if not order:
             raise ValueError("rows with images need an order")
-        df = global_index(df, order, "_index")
+        # Rows are ranked with a flag in place of their images, which would all be shuffled.
+        flag = F.coalesce(*[F.col(a) for a in images]).isNotNull()
+        wanted = {*order, *(a for names in aliases.values() for a in names)}
+        df = global_index(df.withColumn("_image", flag).drop(*{*images} - wanted), order, "_index")
     elif not any(a in df.columns for a in aliases["file_name"]):
         raise ValueError(f"no file_name column; found {', '.join(sorted(df.columns))}")
     if not any(a in df.columns for a in aliases["label"]):
@@ -89,7 +92,7 @@ def canonicalize(
     path = first_present(df, aliases["file_name"], "")
     if images and image_folder is not None:
         name = F.concat(F.lit(f"{image_folder}/"), F.lpad(F.col("_index").cast("string"), 9, "0"), F.lit(".jpg"))
-        path = F.when(F.coalesce(*[F.col(a) for a in images]).isNotNull(), name).otherwise(path)
+        path = F.when(F.col("_image"), name).otherwise(path)
     return df.select(
         required(path, "path").alias("file_name"),
         first_present(df, aliases["prompt"], "").alias("prompt"),
