@@ -101,6 +101,14 @@ def test_levels_merge_geometrically(spark):
     assert [bytes(r["head"]) for heads in again for r in heads.collect()] == [bytes([5, 1])]
 
 
+def test_levels_merge_within_a_run(spark, monkeypatch):
+    ranks = []
+    monkeypatch.setattr(suffix_array.Family, "drop", lambda family: ranks.extend(rank for rank, _ in family.levels))
+    df = spark.createDataFrame(corpus(5, 2), "doc_id long, text string")
+    suffix_array.remove_repeats(df, 60)
+    assert ranks == [1, 0]
+
+
 def test_a_level_is_in_byte_order(spark, monkeypatch):
     monkeypatch.setattr(suffix_array, "RANGE_ROWS", 50)
     rng = random.Random(3)

@@ -1,4 +1,5 @@
 import re
+
 import pytest
 from helpers import values
 from pyspark.errors import PySparkException

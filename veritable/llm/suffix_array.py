@@ -43,7 +43,8 @@ from veritable.session import fresh_path
 from veritable.sources import files
 
 SEED = 32
-BATCHES = 2
+#: The third batch is the first before which two levels merge.
+BATCHES = 3
 #: Suffixes of a range of heads, and rows that are put in order at once.
 RANGE_ROWS = 200_000
 
