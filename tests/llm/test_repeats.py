@@ -2,11 +2,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veritable.llm import repeats, seed_extend, suffix_array
-from veritable.llm.common import leftmost_minima
+from veritable.llm import common, repeats, seed_extend, suffix_array
+from veritable.llm.common import Rolling, leftmost_minima, mix, powers
+from veritable.operators import ranges
 
 
 def brute(symbols, window):
@@ -141,3 +143,79 @@ def test_a_kept_family_meets_later_batches(spark, tmp_path):
         want = [(i, sum(f), bytes(b for b, g in zip(t, f, strict=True) if not g)) for (i, _), t, f in zip(part, data[n], flags, strict=True)]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert [rank for rank, _ in suffix_array.Family(spark, folder).levels] == [1, 0]
+
+
+@pytest.mark.parametrize(("fanout", "most"), [(1024, 1 << 16), (3, 1 << 16), (3, 0)])
+def test_ranges_are_numbered_where_rows_are_thinned(spark, monkeypatch, fanout, most):
+    """One binary search per row in numpy; the join of borders is for more ranges than a task can be sent."""
+    monkeypatch.setattr(suffix_array, "RANGE_ROWS", 20)
+    monkeypatch.setattr(suffix_array, "MOST_BORDERS", most)
+    monkeypatch.setattr(ranges, "FANOUT", fanout)
+    calls, number = [], ranges.Splits.number
+    df = suffixes(spark, [(bytes([i % 7, i % 251]), b"%d" % i, i) for i in range(400)]).withColumn("place", F.col("places")[0])
+    df = df.select("head", "text_key", "place", F.lit(False).alias("several"), "seed")
+    splits = suffix_array._splits(df)
+    monkeypatch.setattr(ranges.Splits, "number", lambda self, *a: calls.append(1) or number(self, *a))
+    rows = suffix_array._in_byte_order(df, splits).withColumn("part", F.spark_partition_id()).collect()
+    assert bool(calls) == (most == 0)
+    want = Counter(bytes([i % 7, i % 251]) for i in range(400))
+    assert sorted((bytes(r["head"]), r.several) for r in rows) == sorted((h, n > 1) for h, n in want.items())
+    parts = {}
+    for r in rows:
+        parts.setdefault(r.part, []).append(bytes(r["head"]))
+    assert len(parts) > 3 and all(heads == sorted(heads) for heads in parts.values())
+
+
+def test_levels_go_to_python_in_large_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, write = spark.conf.get(name), suffix_array.Family._write
+    monkeypatch.setattr(suffix_array.Family, "_write", lambda self, *a: seen.append(spark.conf.get(name)) or write(self, *a))
+    suffix_array.Family(spark).add(suffixes(spark, [(b"ab", b"x", 1), (b"ab", b"y", 1)]))
+    assert seen == [str(suffix_array.BATCH_ROWS)] and spark.conf.get(name) == before
+
+
+def test_runs_of_many_rows_at_once():
+    rng = np.random.default_rng(4)
+    flags = [rng.random(n) < 0.6 for n in (0, 1, 1, 30, 0, 2, 50, 0)]
+    row, first, after = repeats.joined_runs(flags)
+    want = [(i, int(a), int(b)) for i, f in enumerate(flags) for a, b in repeats.runs(f)]
+    assert list(zip(row.tolist(), first.tolist(), after.tolist(), strict=True)) == want
+    assert [len(x) for x in repeats.joined_runs([np.zeros(0, dtype=bool)])] == [0, 0, 0]
+
+
+def test_spans_merge_like_flags():
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("aé€𝄞", k=rng.randint(0, 40))).encode() for _ in range(60)]
+    spans = []
+    for text in texts:
+        cuts = [sorted(rng.choices(range(len(text) + 1), k=2)) for _ in range(rng.randint(0, 4))]
+        spans.append([{"first": a, "after": b} for a, b in cuts if a < b] if rng.random() < 0.8 else None)
+    copied = np.array([rng.random() < 0.1 and len(t) > 0 for t in texts])
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
+    for offset in (0, 7):
+        column = pa.array(spans, kind).slice(offset)
+        sizes = np.array([len(t) for t in texts[offset:]])
+        row, first, after = suffix_array._merged(column, copied[offset:], sizes)
+        got, whole = [[] for _ in sizes], [[] for _ in sizes]
+        for r, a, b in zip(row.tolist(), first.tolist(), after.tolist(), strict=True):
+            got[r].append((a, b))
+            a, b = suffix_array._whole(texts[offset + r], a, b)
+            whole[r] += [(a, b)] * (a < b)
+        for i, text in enumerate(texts[offset:]):
+            flags = repeats.covered(len(text), spans[offset + i], bool(copied[offset + i]))
+            assert got[i] == [(int(a), int(b)) for a, b in repeats.runs(flags)]
+            starts = [k for k, byte in enumerate(text) if byte & 0xC0 != 0x80] + [len(text)]
+            covers = [all(flags[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+            flags = np.repeat(np.array(covers, dtype=bool), np.diff(starts))
+            assert whole[i] == [(int(a), int(b)) for a, b in repeats.runs(flags)]
+
+
+def test_rolling_in_pieces(monkeypatch):
+    monkeypatch.setattr(common, "_POWERS", {})
+    assert len(Rolling(np.zeros(0, dtype=np.uint8), 1).each(32)) == 0
+    assert len(repeats.Sequences([b"", b""], False, 32, 200).start) == 0 and len(repeats.Sequences([b" "], True, 12, 35).start) == 0
+    symbols = np.random.default_rng(2).integers(0, 256, 20_001).astype(np.uint8)
+    terms = (symbols.astype(np.uint64) + np.uint64(1)) * powers(Rolling.BASE, len(symbols))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(terms)])
+    want = mix((sums[32:] - sums[:-32]) * powers(Rolling.BACK, len(sums))[:-32])
+    assert (Rolling(symbols, 1).each(32) == want).all() and len(Rolling(symbols[:5], 1).each(32)) == 0

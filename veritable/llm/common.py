@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def rows_in_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside give Python so many rows at once; for short rows only."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
@@ -86,18 +99,40 @@ def powers(base: int, n: int) -> np.ndarray:
         return np.multiply.accumulate(steps)
 
 
+#: Numbers that are worked on at once: what is made on the way then stays in memory that is already there.
+PIECE = 1 << 13
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _kept_powers(base: int, n: int) -> np.ndarray:
+    """powers(), kept in the worker for sequences of usual lengths."""
+    if n > 1 << 19:
+        return powers(base, n)
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        _POWERS[base] = powers(base, 1 << max(n - 1, 0).bit_length())
+    return _POWERS[base][:n]
+
+
 class Rolling:
-    """Polynomial hashes of any range of a sequence from its prefix sums, modulo 2 ** 64."""
+    """Polynomial hashes of any range of a sequence from its prefix sums, modulo 2 ** 64. `plus` is added
+    to each symbol."""
 
     BASE = 0x9E3779B97F4A7C15
     BACK = pow(BASE, -1, 1 << 64)
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, plus: int = 0):
         n = len(symbols)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        steps = _kept_powers(self.BASE, n)
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum(symbols * powers(self.BASE, n), out=self.sums[1:])
-        self.back = powers(self.BACK, n + 1)
+            for a in range(0, n, PIECE):
+                part = symbols[a : a + PIECE].astype(np.uint64)
+                if plus:
+                    part += np.uint64(plus)
+                part *= steps[a : a + PIECE]
+                part[0] += self.sums[a]
+                np.cumsum(part, out=self.sums[a + 1 : a + 1 + len(part)])
+        self.back = _kept_powers(self.BACK, n + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -105,11 +140,13 @@ class Rolling:
 
     def each(self, width: int) -> np.ndarray:
         """Hash of the range of that width at every place where it fits."""
-        n = len(self.sums) - width
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
+        n = max(len(self.sums) - width, 0)
+        found = np.empty(n, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            return mix((self.sums[width:] - self.sums[:n]) * self.back[:n])
+            for a in range(0, n, PIECE):
+                b = min(a + PIECE, n)
+                found[a:b] = mix((self.sums[a + width : b + width] - self.sums[a:b]) * self.back[a:b])
+        return found
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -131,7 +168,7 @@ def leftmost_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     """
     n = max(len(hashes) - width + 1, 0)
     found = np.empty(n, dtype=np.int64)
-    low, piece = np.uint64((1 << 24) - 1), 1 << 23
+    low, piece = np.uint64((1 << 24) - 1), max(PIECE, min(8 * width, 1 << 23))
     for start in range(0, n, piece):
         part = hashes[start : start + piece + width - 1]
         best = (part & ~low) | np.arange(len(part), dtype=np.uint64)
@@ -169,6 +206,6 @@ class Words:
 
 
 __all__ = [
-    "WORD", "prepare", "words", "text_key", "remove", "write", "settle", "schema", "held_out_fold", "mix", "powers",
+    "WORD", "prepare", "rows_in_batches", "words", "text_key", "remove", "write", "settle", "schema", "held_out_fold", "mix", "powers",
     "Rolling", "Words", "word_bounds", "leftmost_minima", "by_bytes",
 ]

@@ -39,21 +39,25 @@ class Sequences:
             self.symbols, self.first = words.hashes, words.first
         else:
             self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-            self.symbols = self.data.astype(np.uint64) + np.uint64(1)
+            self.symbols = self.data
             self.first = np.cumsum([0, *map(len, texts)])
-        self.rolling = Rolling(self.symbols)
+        # Bytes count from 1.
+        self.rolling = Rolling(self.symbols, 0 if by_word else 1)
         self.seeds = self.rolling.each(seed)
         choice = leftmost_minima(self.seeds, window - seed + 1)
-        open_ = np.zeros(len(self.symbols) + 1, dtype=np.int64)
+        # Windows that lie in one text are open; those of texts that are shorter are not.
+        steps = np.zeros(len(self.symbols) + 1, dtype=np.int8)
         long_ = np.diff(self.first) >= window
-        np.add.at(open_, self.first[:-1][long_], 1)
-        np.add.at(open_, self.first[1:][long_] - window + 1, -1)
-        starts = np.flatnonzero(np.cumsum(open_)[: len(choice)] > 0)
-        chosen = choice[starts]
+        steps[self.first[:-1][long_]] += 1
+        steps[self.first[1:][long_] - window + 1] -= 1
+        open_ = np.cumsum(steps[: len(choice)], dtype=np.int8) > 0
         # Runs of windows with one seed; a seed lies within one text.
-        new = np.flatnonzero(np.diff(chosen, prepend=-1))
-        self.place, self.start = chosen[new], starts[new]
-        self.count = np.diff(np.append(new, len(starts)))
+        new = open_.copy()
+        new[1:] &= (choice[1:] != choice[:-1]) | ~open_[:-1]
+        self.start = np.flatnonzero(new)
+        self.place = choice[self.start]
+        last = self.first[1:][np.searchsorted(self.first, self.start, side="right") - 1] - window + 1
+        self.count = np.minimum(np.append(self.start[1:], len(choice)), last) - self.start
         self.text = np.searchsorted(self.first, self.place, side="right") - 1
         # Empty texts share their start with the next one.
         self.offset = self.first[self.text]
@@ -249,6 +253,20 @@ def _order(keys: np.ndarray, rows: list[bytes], width: int) -> tuple[np.ndarray,
     return order, np.concatenate([[-1], common])
 
 
+def _with_neighbours(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest common length of each row with another one of its key, out of _order()."""
+    longest = np.empty(len(order), dtype=np.int64)
+    longest[order] = np.maximum(common, np.append(common[1:], -1))
+    return longest
+
+
+def _narrowed(order: np.ndarray, common: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_order() of the live rows alone: the least common length on the way from one to the next is theirs."""
+    at = np.flatnonzero(live[order])
+    between = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1) if len(at) > 1 else common[:0]
+    return order[at], np.concatenate([[-1], between])
+
+
 def _reversed(content: bytes, unit: int) -> bytes:
     return content[::-1] if unit == 1 else np.frombuffer(content, dtype=f"V{unit}")[::-1].tobytes()
 
@@ -290,22 +308,47 @@ def repeated_windows(
     widest = int(back.max())
     ahead, common_ahead = _order(own, [contents[i][b * unit :] for i, b in zip(at, back, strict=True)], window * unit)
     before, common_before = _order(own, [_reversed(contents[i][: b * unit], unit) for i, b in zip(at, back, strict=True)], max(widest, 1) * unit)
+    # A row shares a class with a neighbour or with none, so its neighbours bound the `o` to look at.
+    least = np.maximum(low, window - _with_neighbours(ahead, common_ahead) // unit)
+    most = np.minimum(back, _with_neighbours(before, common_before) // unit)
+    live = least <= most
+    if not live.any():
+        return flags
+    ahead, common_ahead = _narrowed(ahead, common_ahead, live)
+    before, common_before = _narrowed(before, common_before, live)
     hit = np.zeros((len(at), widest + 1), dtype=bool)
     ahead_class, before_class = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    for o in range(int(low.min()), widest + 1):
-        use = (low <= o) & (o <= back)
-        if use.sum() < 2:
+    for o in range(int(least[live].min()), int(most[live].max()) + 1):
+        use = np.flatnonzero((least <= o) & (o <= most))
+        if len(use) < 2:
             continue
         ahead_class[ahead] = np.cumsum(common_ahead < (window - o) * unit)
         before_class[before] = np.cumsum(common_before < o * unit)
         pair = before_class[use] * (len(at) + 1) + ahead_class[use]
-        _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
-        hit[use, o] = times[which] > 1
-    for j, i in enumerate(at):
+        order = np.argsort(pair)
+        same = pair[order][1:] == pair[order][:-1]
+        hit[use[order[1:][same]], o] = True
+        hit[use[order[:-1][same]], o] = True
+    for j in np.flatnonzero(hit.any(axis=1)):
+        i = at[j]
         flags[i] = flags[i] | hit[j, low[j] : back[j] + 1][::-1]
     return flags
 
 
+def joined_runs(flags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, after) of the runs of all rows, in order."""
+    ends = np.cumsum([len(f) + 1 for f in flags])
+    # One flag that is not set stands behind each row.
+    inside = np.ones(ends[-1], dtype=bool)
+    inside[ends - 1] = False
+    inside[inside] = np.concatenate(flags)
+    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+    first, after = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    row = np.searchsorted(ends, first, side="right")
+    begin = np.append(0, ends)[row]
+    return row, first - begin, after - begin
+
+
 def runs(flags: np.ndarray) -> Iterator[tuple[int, int]]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)
@@ -320,12 +363,8 @@ def spans(found: DataFrame, window: int, repeated: Callable[[pa.Table], list[np.
     def run(batches):
         for table in whole_seeds(batches):
             starts = table["start"].to_numpy()
-            rows, first, after = [], [], []
-            for i, flags in enumerate(repeated(table)):
-                for a, b in runs(flags):
-                    rows.append(i)
-                    first.append(starts[i] + a)
-                    after.append(starts[i] + b - 1 + window)
+            rows, first, after = joined_runs(repeated(table))
+            first, after = starts[rows] + first, starts[rows] + after - 1 + window
             keys = table["text_key"].combine_chunks().take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [keys, pa.array(first, pa.int32()), pa.array(after, pa.int32())], ["text_key", "first", "after"]

@@ -29,15 +29,16 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritable.llm import repeats
-from veritable.llm.common import prepare, remove, schema, settle, write
+from veritable.llm.common import prepare, remove, rows_in_batches, schema, settle, write
 from veritable.operators.ranges import Splits, split_points
 from veritable.session import fresh_path
 from veritable.sources import files
@@ -47,6 +48,10 @@ SEED = 32
 BATCHES = 3
 #: Suffixes of a range of heads, and rows that are put in order at once.
 RANGE_ROWS = 200_000
+#: Suffixes are short rows: more of them than of texts go to a task's Python at once.
+BATCH_ROWS = 10_000
+#: Borders of so many ranges are sent to the tasks, some 2 MB; more are joined to the rows.
+MOST_BORDERS = 1 << 16
 
 _ENTRY = "head binary, text_key binary, place int, several boolean"
 
@@ -133,10 +138,37 @@ def _splits(entries: DataFrame) -> Splits:
     return split_points(entries.select("head"), ["head"], rows, max(-(-rows // RANGE_ROWS), 1))
 
 
+def _borders(spark: SparkSession, splits: Splits) -> list[bytes]:
+    """The split points of all levels, in byte order."""
+    found = [] if splits.top is None else spark.range(1).select(splits.top.alias("_bounds")).collect()
+    for table, _ in splits.below:
+        found += table.select("_bounds").collect()
+    return sorted(bytes(point["head"]) for row in found for point in row["_bounds"])
+
+
+def _numbering(borders: list[bytes], thin: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Add the number of each row's range, how many borders are not above its head."""
+
+    def run(batches):
+        for batch in _thin(batches) if thin else batches:
+            if batch.num_rows:
+                number = np.zeros(batch.num_rows, dtype=np.int64)
+                if borders:
+                    width = len(borders[0])
+                    number = np.searchsorted(np.array(borders, dtype=f"S{width}"), _fixed(batch.column("head"), width), side="right")
+                yield batch.append_column("range", pa.array(number, pa.int64()))
+
+    return run
+
+
 def _in_byte_order(entries: DataFrame, splits: Splits) -> DataFrame:
     """The suffix array of entries: ranges of heads, in order and one row per head."""
-    thin = entries.mapInArrow(_thin, _ENTRY) if "seed" in entries.columns else entries
-    dealt = splits.number(thin, "range").repartition(splits.ranges, "range")
+    thin = "seed" in entries.columns
+    if splits.ranges <= MOST_BORDERS:
+        numbered = entries.mapInArrow(_numbering(_borders(entries.sparkSession, splits), thin), f"{_ENTRY}, range long")
+    else:
+        numbered = splits.number(entries.mapInArrow(_thin, _ENTRY) if thin else entries, "range")
+    dealt = numbered.repartition(splits.ranges, "range")
     return dealt.sortWithinPartitions("head").drop("range").mapInArrow(_scan_batches, _ENTRY)
 
 
@@ -165,6 +197,10 @@ class Family:
     def add(self, batch: DataFrame) -> list[DataFrame]:
         """Index a batch of suffixes (seed, head, text_key, places); the heads that it holds more than once or
         shares with a level, each as a written table of (head)."""
+        with rows_in_batches(self.spark, BATCH_ROWS):
+            return self._add(batch)
+
+    def _add(self, batch: DataFrame) -> list[DataFrame]:
         put_aside = []
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (rank, one), (_, two) = self.levels.pop(), self.levels.pop()
@@ -210,10 +246,31 @@ def _content(found: repeats.Sequences, i: int, window: int) -> bytes:
     return found.data[start : start + found.count[i] - 1 + window].tobytes()
 
 
-def _whole(data: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """The flags of characters all of whose bytes are flagged."""
-    starts = np.flatnonzero((data & 0xC0) != 0x80)
-    return np.repeat(np.logical_and.reduceat(flags, starts), np.diff(np.append(starts, len(data))))
+def _whole(text: bytes, first: int, after: int) -> tuple[int, int]:
+    """A run without the characters that it covers in part."""
+    while first < after and text[first] & 0xC0 == 0x80:
+        first += 1
+    while first < after < len(text) and text[after] & 0xC0 == 0x80:
+        after -= 1
+    return first, after
+
+
+def _merged(spans: pa.Array, all_of_it: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, after) of the maximal runs that the spans of each row cover, in order; of some rows all."""
+    listed = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    flat = spans.flatten()
+    row = np.concatenate([np.repeat(np.arange(len(spans)), listed), np.flatnonzero(all_of_it)])
+    first = np.concatenate([flat.field("first").to_numpy(zero_copy_only=False), np.zeros(all_of_it.sum(), dtype=np.int64)]).astype(np.int64)
+    after = np.concatenate([flat.field("after").to_numpy(zero_copy_only=False), sizes[all_of_it]]).astype(np.int64)
+    order = np.lexsort((first, row))
+    row, first, after = row[order], first[order], after[order]
+    # Rows stand one behind the other, with room between them.
+    apart = row * (int(sizes.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(after + apart)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (first + apart)[1:] > reach[:-1]
+    last = np.append(new[1:], True)[: len(row)]
+    return row[new], first[new], (reach - apart)[last]
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, id_column: str = "doc_id", text_column: str = "text", batches: int = BATCHES, whole_characters: bool = False, folder: str | None = None) -> DataFrame:
@@ -259,21 +316,30 @@ def remove_repeats(docs: DataFrame, window: int = 200, id_column: str = "doc_id"
     def run(batches):
         for batch in batches:
             texts = repeats.encoded(batch.column(1).to_pylist())
-            removed, kept, cuts = [], [], []
-            for text, own, copied in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                flags = repeats.covered(len(text), own, copied and len(text) >= window)
-                if whole_characters and flags.any():
-                    flags = _whole(np.frombuffer(text, dtype=np.uint8), flags)
-                removed.append(int(flags.sum()))
-                kept.append(np.frombuffer(text, dtype=np.uint8)[~flags].tobytes() if removed[-1] else text)
-                cuts.append([{"first": int(a), "after": int(b)} for a, b in repeats.runs(flags)])
+            sizes = np.array([len(t) for t in texts], dtype=np.int64)
+            copied = batch.column(3).to_numpy(zero_copy_only=False).astype(bool) & (sizes >= window)
+            row, first, after = _merged(batch.column(2), copied, sizes)
+            if whole_characters:
+                cut = [_whole(texts[r], a, b) for r, a, b in zip(row.tolist(), first.tolist(), after.tolist(), strict=True)]
+                first, after = np.array(cut, dtype=np.int64).reshape(-1, 2).T
+                some = first < after
+                row, first, after = row[some], first[some], after[some]
+            removed = np.bincount(row, after - first, minlength=len(texts)).astype(np.int64)
+            ends = np.cumsum(np.bincount(row, minlength=len(texts)))
+            kept = list(texts)
+            for r in np.unique(row).tolist():
+                own = slice(ends[r - 1] if r else 0, ends[r])
+                edges = zip([0, *after[own].tolist()], [*first[own].tolist(), len(texts[r])], strict=True)
+                kept[r] = b"".join(texts[r][a:b] for a, b in edges)
+            run_kind = pa.struct([("first", pa.int32()), ("after", pa.int32())])
+            cuts = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(after, pa.int32())], fields=list(run_kind))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(removed, pa.int64()),
+                    pa.array(sizes),
+                    pa.array(removed),
                     pa.array(kept, pa.binary()),
-                    pa.array(cuts, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))),
+                    pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), cuts),
                 ],
                 ["id", "n_bytes", "n_removed", "kept", "removed"],
             )
