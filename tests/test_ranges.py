@@ -78,3 +78,15 @@ def test_equal_null_and_no_keys(spark, narrow):
     splits = ranges.split_points(same, ["a", "b"], 500)
     assert splits.number(same, "r").count() == 500
     assert global_index(same.limit(0), ["a"]).count() == 0
+
+
+def test_split_points_sort_their_sample_once(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1009).alias("k"))
+    keys = F.array_sort(F.collect_set("k"))
+    for count, want in ((1, []), (8, list(range(125, 1000, 125))), (5000, list(range(1, 1000)))):
+        chosen = df.agg(ranges._every(keys, count).alias("bounds"))
+        plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("collect_set(") == 1  # a second one would stand inside the lambda and be sorted for each key
+        found = sorted(r.k for r in df.collect())
+        assert chosen.first()["bounds"] == [found[i] for i in want]
+    assert df.filter("k < 0").agg(ranges._every(keys, 8).alias("bounds")).first()["bounds"] == []

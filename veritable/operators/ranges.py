@@ -57,9 +57,16 @@ def range_number(value: Column, bounds: Column, ranges: int) -> Column:
 
 
 def _every(sorted_keys: Column, ranges: int) -> Column:
-    """Split points of `ranges` ranges out of sorted sampled keys."""
-    step = F.greatest(F.lit(1), F.ceil(F.size(sorted_keys) / F.lit(ranges)).cast("int"))
-    return F.filter(sorted_keys, lambda _, i: (i % step == 0) & (i > 0))
+    """Split points of `ranges` ranges out of sorted sampled keys.
+
+    The keys reach the inner lambda as a variable: as an expression they would be sorted again for each of them.
+    """
+
+    def chosen(keys: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.size(keys) / F.lit(ranges)).cast("int"))
+        return F.filter(keys, lambda _, i: (i % step == 0) & (i > 0))
+
+    return F.get(F.transform(F.array(sorted_keys), chosen), 0)
 
 
 def narrow_keys(df: DataFrame, order: Sequence[str]) -> DataFrame:
