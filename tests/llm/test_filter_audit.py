@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from veritable.llm import filter_audit as fa
@@ -112,3 +113,22 @@ def test_shards_give_back_the_words(spark, monkeypatch):
     for i, row in enumerate(rows):
         words_of = (row[1] or "").encode().split()
         assert got[i] == {w.decode(): words_of.count(w) for w in words_of}
+
+
+def test_a_row_group_of_shards_does_not_follow_the_text_of_a_task(spark):
+    text = F.expr("concat_ws(' ', transform(sequence(1, 20000), i -> hex(xxhash64(id, i))))")
+    docs = spark.range(100).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("s").alias("source"))
+    coded, _ = fa._with_codes(docs, "doc_id", "text", "source")
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in coded.inputFiles()]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) >= 8  # one task wrote some 60 MB
+    assert max(g.total_byte_size for g in groups) < 26 << 20  # 16 MB and a row
+
+
+def test_python_gets_shards_by_bytes(spark, monkeypatch):
+    name, given = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(fa, "write", lambda df, *rest, write=fa.write: (given.append(spark.conf.get(name)), write(df, *rest))[1])
+    rows, labels = corpus(30)
+    assert result(spark, rows, labels) == brute(rows, labels)
+    assert given == [str(fa.BATCH_BYTES)] * 2 and spark.conf.get(name) == before

@@ -30,15 +30,26 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 @contextmanager
-def rows_in_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside give Python so many rows at once; for short rows only."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def rows_in_batches(spark: SparkSession, rows: int):
+    """Jobs that run inside give Python so many rows at once; for short rows only."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def bytes_in_batches(spark: SparkSession, most: int):
+    """Jobs that run inside give Python rows of about so many bytes at once, or one row; for long rows."""
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def words(text: Column) -> Column:
@@ -59,10 +70,10 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def write(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """settle(), with the path so that the table can be removed after use."""
+def write(df: DataFrame, label: str, options: dict | None = None) -> tuple[DataFrame, str]:
+    """settle(), with the path so that the table can be removed after use; options of the writer."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options or {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -206,6 +217,6 @@ class Words:
 
 
 __all__ = [
-    "WORD", "prepare", "rows_in_batches", "words", "text_key", "remove", "write", "settle", "schema", "held_out_fold", "mix", "powers",
+    "WORD", "prepare", "rows_in_batches", "bytes_in_batches", "words", "text_key", "remove", "write", "settle", "schema", "held_out_fold", "mix", "powers",
     "Rolling", "Words", "word_bounds", "leftmost_minima", "by_bytes",
 ]

@@ -35,14 +35,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
-from veritable.llm.common import Rolling, by_bytes, schema, word_bounds, write
+from veritable.llm.common import Rolling, by_bytes, bytes_in_batches, schema, word_bounds, write
 
 FILTERS = "ABCDE"
 BLOCK_BYTES = 4 << 20
 PIECE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20  # that Python gets at once: texts, or some shards
 RANGE_BYTES = 8 << 20  # of words of all shards in a range of hashes, while there are not MOST_RANGES
 MOST_RANGES = 1 << 14
 MARKS = b"#$%&*|"
+#: Parquet looks at sizes every hundred rows, and a reader takes a row group at once. A row here is some
+#: megabytes, so sizes are looked at with every row and a row group holds a few: what a task needs does not
+#: follow from how much text the task that wrote the file had.
+SHARD_FILES = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BLOCK = """block long, ids array<{id}>, parts array<string>, keys array<binary>, flags array<int>,
@@ -65,7 +70,7 @@ def _hashes(words: bytes) -> np.ndarray:
     """A hash of each of the words that stand in one blank after the other."""
     data = np.frombuffer(words, dtype=np.uint8)
     starts, ends = word_bounds(data)
-    return Rolling(data.astype(np.uint64) + np.uint64(1))(starts, ends)
+    return Rolling(data, plus=1)(starts, ends)
 
 
 def _codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -177,7 +182,7 @@ def coded_words(shards: DataFrame) -> DataFrame:
 
 def _with_codes(docs: DataFrame, id_column: str, text_column: str, part_column: str) -> tuple[DataFrame, DataFrame]:
     """Shards with `codes`, the slices of their words' codes in order; the dictionary."""
-    shards, _ = write(blocks(docs, id_column, text_column, part_column), "shards")
+    shards, _ = write(blocks(docs, id_column, text_column, part_column), "shards", SHARD_FILES)
     words = coded_words(shards)
     codes = words.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "codes"))).alias("known"))
     joined = shards.drop("words").join(codes, "block", "left")
@@ -329,6 +334,7 @@ def audit(
     part_column: str = "source",
 ) -> DataFrame:
     """One row per part, order of the filters and step, with what the step keeps and removes."""
-    rows = measure(docs, id_column, text_column, part_column)
-    counts, _ = write(failures(rows, labels, id_column), "failures")
+    with bytes_in_batches(docs.sparkSession, BATCH_BYTES):
+        rows = measure(docs, id_column, text_column, part_column)
+        counts, _ = write(failures(rows, labels, id_column), "failures")
     return interactions(counts)
